@@ -30,42 +30,54 @@ def special_allowed(field: str, col: Column) -> Column:
     return F.coalesce(col.isin(list(FIELDS[field][2])), F.lit(False))
 
 
-def _number(field: str, col: Column) -> Column:
-    value = F.when(col == "", F.lit(0.0)).when(col.rlike(r"^[0-9]+\z"), col.try_cast("double"))
-    if field in NAMES:
-        value = F.coalesce(value, F.try_element_at(literal_map(NAMES[field]), F.lower(col)).cast("double"))
-    return value
+def _at_least(number: int) -> str:
+    """Digits whose value is not below ``number``."""
+    text = str(number)
+    if number == 0:
+        return "[0-9]+"
+    choices = [f"[1-9][0-9]{{{len(text)},}}", text]
+    for i, digit in enumerate(text):
+        if digit < "9":
+            choices.append(f"{text[:i]}[{int(digit) + 1}-9][0-9]{{{len(text) - i - 1}}}")
+    return "0*(?:" + "|".join(choices) + ")"
+
+
+def _field_pattern(field: str) -> str:
+    """What one field may hold. ``/`` steps pass unchecked, range ends are not ordered, nothing counts as 0."""
+    low, high, specials = FIELDS[field]
+    names = [f"(?i:{name})" for name in NAMES.get(field, ())]
+    nothing = [""] if low == 0 else []
+    within = "|".join(["0*(?:" + "|".join(map(str, range(low, high + 1))) + ")", *names, *nothing])
+    start = "|".join([_at_least(low), *names, *nothing])
+    end = "|".join([f"(?!{_at_least(high + 1)}(?![0-9]))[0-9]*", *names])
+    choices = [
+        "[" + "".join("\\" + c for c in specials if not c.isalpha()) + "".join(filter(str.isalpha, specials)) + "]",
+        f"(?:{start})-(?:{end})(?:-[^ ]*)?",
+        f"(?:{within})(?:,(?:{within}))*",
+        "[^ ,-]+/[^ ,-]*|/[^ ,-]+",
+    ]
+    return "(?:" + "|".join(choices) + ")"
+
+
+# One pattern per field count; five fields start at minutes.
+_PATTERNS = {
+    5: " ".join(_field_pattern(f) for f in list(FIELDS)[1:6]),
+    6: " ".join(_field_pattern(f) for f in list(FIELDS)[:6]),
+    7: " ".join(_field_pattern(f) for f in FIELDS),
+}
 
 
 def value_allowed(field: str, col: Column) -> Column:
-    """Validity of one cron field. ``/`` steps pass unchecked, range ends are not ordered."""
-    low, high, _ = FIELDS[field]
-    number = _number(field, col)
-    ends = F.split(col, "-")
-    span = (_number(field, F.get(ends, F.lit(0))) >= low) & (_number(field, F.get(ends, F.lit(1))) <= high)
-    listed = F.forall(
-        F.split(col, ","), lambda v: F.coalesce(_number(field, v).between(low, high), F.lit(False))
-    )
-    verdict = (
-        F.when(F.length(col) == 1, special_allowed(field, col) | number.between(low, high))
-        .when(col.contains("-"), span)
-        .when(col.contains(","), listed)
-        .when(col.contains("/"), F.lit(True))
-        .otherwise(number.between(low, high))
-    )
-    return F.coalesce(verdict, F.lit(False))
+    """Validity of the text of one field."""
+    return F.coalesce(col.rlike(rf"\A{_field_pattern(field)}\z"), F.lit(False))
 
 
 def cron_valid(col: Column) -> Column:
     """Validity of an expression. A field count outside 5 to 7 counts as valid."""
-    parts = F.split(col, " ")
-    count = F.size(parts)
-    shift = F.when(count == 5, 1).otherwise(0)  # five fields start at minutes
-    checks = F.lit(True)
-    for index, field in enumerate(FIELDS):
-        part = F.get(parts, F.lit(index) - shift)
-        checks = checks & (part.isNull() | value_allowed(field, part))
-    return F.when(F.coalesce(col, F.lit("")) == "", False).when(count.between(5, 7), checks).otherwise(True)
+    verdict = F.when(F.coalesce(col, F.lit("")) == "", False)
+    for count, pattern in _PATTERNS.items():
+        verdict = verdict.when(F.size(F.split(col, " ")) == count, col.rlike(rf"\A{pattern}\z"))
+    return verdict.otherwise(True)
 
 
 def cron_field(col: Column, field: str) -> Column:

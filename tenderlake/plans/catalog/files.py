@@ -1 +1,92 @@
-"""Queries."""
+"""I: file routing and archives."""
+
+from __future__ import annotations
+
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tenderlake.operators import archives as I
+from tenderlake.plans.catalog import query
+from tenderlake.plans.views import Tables
+
+
+@query(
+    """
+    SELECT doc_id, CASE WHEN uri IS NOT NULL THEN
+        CASE WHEN format IN ('zip', 'rar') THEN 'extract' WHEN format IN ('doc', 'docx') THEN 'convert' ELSE 'reject' END
+      WHEN id IS NOT NULL AND "fileIndex" >= 0 THEN
+        CASE WHEN format IN ('doc', 'docx') THEN 'convert' WHEN format = 'pdf' THEN 'upload' ELSE 'reject' END
+      ELSE 'missing_params' END AS action,
+      CASE WHEN uri IS NOT NULL THEN CASE WHEN format IN ('zip', 'rar') THEN 203 WHEN format IN ('doc', 'docx') THEN 202 ELSE 505 END
+      WHEN id IS NOT NULL AND "fileIndex" >= 0 THEN CASE WHEN format IN ('doc', 'docx', 'pdf') THEN 202 ELSE 506 END END AS code
+    FROM v_files
+    """
+)
+def file_routing(t: Tables) -> DataFrame:
+    return I.route_files(t.file_requests()).select("doc_id", "action", "code")
+
+
+MEMBERS = 50
+
+
+def _zip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        bodies = []
+        for members in batch["members"]:
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+                archive.writestr("dir/", "")
+                for member in members:
+                    archive.writestr(member["path"], member["text"])
+            bodies.append(buffer.getvalue())
+        yield pd.DataFrame({"archive_id": batch["archive_id"], "body": bodies})
+
+
+def _archives(t: Tables) -> DataFrame:
+    """Documents zipped by source and id range, so an archive never holds more than a fixed number."""
+    key = F.col("doc_id")
+    folder = F.when(key % 7 == 0, "edital/").otherwise("other/")
+    path = F.concat(folder, F.lit("d"), key, F.lit(".txt"))
+    zips = (
+        t.documents.select(
+            F.concat("source", F.lit("-"), F.floor(key / MEMBERS)).alias("archive_id"),
+            F.struct(path.alias("path"), F.col("text")).alias("member"),
+        )
+        .groupBy("archive_id")
+        .agg(F.collect_list("member").alias("members"))
+        .mapInPandas(_zip, "archive_id string, body binary")
+    )
+    # Every archive also comes as a stub of another format.
+    rar = zips.select(F.concat("archive_id", F.lit(".rar")).alias("archive_id"), F.lit(b"Rar!....").alias("body"))
+    return zips.unionByName(rar)
+
+
+LISTING_SQL = f"""
+    SELECT archive_id, CAST(row_number() OVER (PARTITION BY archive_id ORDER BY encode(path)) - 1 AS INT) AS idx, path, size,
+      'ok' AS status
+    FROM (SELECT concat(source, '-', doc_id // {MEMBERS}) AS archive_id, octet_length(encode("text")) AS size,
+            concat(CASE WHEN doc_id % 7 = 0 THEN 'edital/' ELSE 'other/' END, 'd', doc_id, '.txt') AS path FROM documents)
+    UNION ALL
+    SELECT DISTINCT concat(source, '-', doc_id // {MEMBERS}, '.rar'), NULL, NULL, NULL, 'not_built' FROM documents
+"""
+
+
+@query(LISTING_SQL)
+def archive_listing(t: Tables) -> DataFrame:
+    return I.list_archives(_archives(t))
+
+
+@query(
+    f"""
+    SELECT archive_id, coalesce(max(idx) FILTER (WHERE lower(path) LIKE '%edital%'), -1) AS notice_idx,
+      regexp_extract(arg_max(path, idx) FILTER (WHERE lower(path) LIKE '%edital%'), '([^/]*)$', 1) AS notice_name
+    FROM ({LISTING_SQL}) GROUP BY archive_id
+    """
+)
+def archive_pick(t: Tables) -> DataFrame:
+    return I.pick_notice(I.list_archives(_archives(t)))

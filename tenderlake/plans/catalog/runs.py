@@ -1 +1,105 @@
-"""Queries."""
+"""F: counters, reports, progress, task state."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tenderlake.operators import runs as R
+from tenderlake.plans.catalog import query
+from tenderlake.plans.catalog.increments import run_time
+from tenderlake.plans.views import Tables
+
+STATS_SQL = """
+      SELECT scraper, count(*) AS "totalBiddings",
+        count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM v_prior p WHERE p.scraper = i.scraper AND p._hash = i._hash))
+          AS "newBiddings",
+        CAST(0 AS BIGINT) AS "totalExtracted", count(DISTINCT page_id) AS "totalPages"
+      FROM v_hashed i GROUP BY scraper
+"""
+
+
+def _stats(t: Tables) -> DataFrame:
+    return R.run_stats(t.hashed_items(), t.prior())
+
+
+@query(STATS_SQL)
+def run_stats(t: Tables) -> DataFrame:
+    return _stats(t)
+
+
+SHORT_TEMPLATE = "%scraper_name% %execution_time%: %new_biddings%/%found_biddings%/%found_biddings% (%scraper_name%) %year%"
+
+
+@query(
+    f"""
+    SELECT scraper, concat(scraper, ' Mon Jan 01 2024: ', "newBiddings", '/', "totalBiddings", '/%found_biddings% (',
+      scraper, ') 2024') AS report FROM ({STATS_SQL})
+    """
+)
+def run_report(t: Tables) -> DataFrame:
+    link = F.concat(F.lit("https://reports.example/"), "scraper")
+    reports = R.render_report(_stats(t), SHORT_TEMPLATE, run_time(), F.col("scraper"), link)
+    return reports.select("scraper", "report")
+
+
+PROGRESS_SQL = """
+    SELECT task, seq, ts, "isRunning", "totalBiddings", "totalExtracted", "currentBidding", "newBiddings",
+      "currentTask", message
+    FROM (SELECT *, lag(x) OVER (PARTITION BY task ORDER BY seq) AS y
+          FROM (SELECT *, concat_ws('|', "isRunning", "totalBiddings", "totalExtracted", "currentBidding",
+                  "newBiddings", "currentTask", message) AS x FROM v_progress))
+    WHERE y IS NULL OR x <> y
+"""
+
+
+@query(PROGRESS_SQL)
+def progress_changes(t: Tables) -> DataFrame:
+    return R.changed_progress(t.progress())
+
+
+STATE_SQL = """
+    SELECT task, arg_max(running, seq) FILTER (WHERE running IS NOT NULL) AS running,
+      arg_max(code, seq) FILTER (WHERE code IS NOT NULL) AS code,
+      arg_max(message, seq) FILTER (WHERE message IS NOT NULL) AS message FROM v_updates GROUP BY task
+"""
+
+
+@query(STATE_SQL)
+def task_state(t: Tables) -> DataFrame:
+    return R.task_state(t.updates())
+
+
+@query(
+    f"""
+    WITH {{views}} s AS ({STATE_SQL}),
+      p AS (SELECT task, seq, row_number() OVER (PARTITION BY task ORDER BY seq) AS n
+            FROM (SELECT user_id % 700 AS task, event_id AS seq FROM events WHERE event_type = 'view'))
+    SELECT p.task, p.seq, 'answer' AS kind, CASE WHEN s.running OR n = 1 THEN s.running END AS running,
+      CASE WHEN s.running OR n = 1 THEN s.code END AS code,
+      CASE WHEN s.task IS NOT NULL AND (s.running OR n = 1) THEN s.message
+        ELSE 'Nenhum processo em execução.' END AS message
+    FROM p LEFT JOIN s ON s.task = p.task
+    UNION ALL
+    SELECT s.task, NULL, 'left', s.running, s.code, s.message FROM s
+    WHERE s.running OR s.task NOT IN (SELECT task FROM p)
+    """
+)
+def task_poll(t: Tables) -> DataFrame:
+    """Every view event polls a task."""
+    polls = t.events.filter("event_type = 'view'").select(
+        (F.col("user_id") % 700).alias("task"), F.col("event_id").alias("seq")
+    )
+    answers, remaining = R.poll(R.task_state(t.updates()), polls)
+    left = remaining.withColumn("kind", F.lit("left"))
+    return answers.withColumn("kind", F.lit("answer")).unionByName(left, allowMissingColumns=True)
+
+
+@query(
+    """
+    SELECT CASE code WHEN 503 THEN 'ERROR_EXTRACTION' WHEN 203 THEN 'SUCCESS_EXTRACTION'
+      WHEN 204 THEN 'SUCCESS_DOWNLOAD' END AS result, count(*) AS n FROM v_updates GROUP BY 1
+    """
+)
+def result_codes(t: Tables) -> DataFrame:
+    return t.updates().groupBy(R.result_class(F.col("code")).alias("result")).agg(F.count(F.lit(1)).alias("n"))

@@ -1 +1,62 @@
-"""Queries."""
+"""J: the same results from streams, run over all that is available."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tenderlake.operators.schedules import make_schedules
+from tenderlake.plans.catalog import query
+from tenderlake.plans.catalog.extraction import SITE_RECIPE
+from tenderlake.plans.catalog.runs import PROGRESS_SQL, STATE_SQL
+from tenderlake.plans.catalog.schedules import DUE_SQL
+from tenderlake.plans.views import Tables
+from tenderlake.session import scratch_path
+from tenderlake.streaming import jobs
+
+
+def _stream(t: Tables, table: str) -> DataFrame:
+    schema = getattr(t, table).schema
+    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.folder)
+
+
+@query("SELECT page_id, scraper, pos, link, _hash FROM v_hashed")
+def stream_new_items(t: Tables) -> DataFrame:
+    """All items of the first batch are new, copies included; a second run of the pages adds none."""
+    host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
+    pages = _stream(t, "pages").withColumn("scraper", host)
+    root = scratch_path(t.spark, "new-items")
+    jobs.stream_new_items(pages, [SITE_RECIPE], root).awaitTermination()
+    jobs.stream_new_items(pages, [SITE_RECIPE], root, run="again").awaitTermination()
+    return t.spark.read.parquet(f"{root}/out").select("page_id", "scraper", "pos", "link", "_hash")
+
+
+@query(PROGRESS_SQL)
+def stream_progress(t: Tables) -> DataFrame:
+    root = scratch_path(t.spark, "progress")
+    jobs.stream_progress(t.progress(_stream(t, "events")), root).awaitTermination()
+    return t.spark.read.parquet(f"{root}/out").drop("batch")
+
+
+@query(
+    f"""
+    WITH {{views}} s AS ({STATE_SQL}),
+      f AS (SELECT task, arg_max(ts, seq) FILTER (WHERE running IS NOT NULL) AS at FROM v_updates GROUP BY task)
+    SELECT s.* FROM s JOIN f ON f.task = s.task
+    WHERE s.running IS NULL OR s.running OR f.at + INTERVAL 5 SECOND >= (SELECT max(ts) FROM v_updates)
+    """
+)
+def stream_task_state(t: Tables) -> DataFrame:
+    root = scratch_path(t.spark, "task-state")
+    run = jobs.stream_task_state(t.updates(_stream(t, "events")), root)
+    run.awaitTermination()
+    return jobs.current_state(t.spark, root, run)
+
+
+@query(DUE_SQL)
+def stream_due(t: Tables) -> DataFrame:
+    schedules, _ = make_schedules(t.schedule_requests())
+    ticks = _stream(t, "events").select(F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("tick"))
+    root = scratch_path(t.spark, "due")
+    jobs.stream_due(ticks, schedules, root).awaitTermination()
+    return t.spark.read.parquet(f"{root}/out").select("scraper", "frequency", "tick")

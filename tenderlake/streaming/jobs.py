@@ -25,10 +25,12 @@ from tenderlake.sources.results import append_new, read_table
 RETENTION_SECONDS = 5
 
 
-def _start(stream: DataFrame, root: str, step: Callable[[DataFrame, int], None]) -> StreamingQuery:
+def _start(
+    stream: DataFrame, root: str, step: Callable[[DataFrame, int], None], run: str = "checkpoint"
+) -> StreamingQuery:
     return (
         stream.writeStream.foreachBatch(step)
-        .option("checkpointLocation", os.path.join(root, "checkpoint"))
+        .option("checkpointLocation", os.path.join(root, run))
         .trigger(availableNow=True)
         .start()
     )
@@ -54,13 +56,18 @@ def _advance(df: DataFrame, root: str, batch: int) -> None:
     _drop(df.sparkSession, _version(root, "state", batch - 2))
 
 
-def stream_new_items(pages: DataFrame, recipes: list[Recipe], root: str) -> StreamingQuery:
-    """Append the new items of each batch of pages. Stored items are read again for every batch."""
+def stream_new_items(
+    pages: DataFrame, recipes: list[Recipe], root: str, run: str = "checkpoint"
+) -> StreamingQuery:
+    """Append the new items of each batch of pages. Stored items are read again for every batch.
+
+    A ``run`` of another name reads all pages again, as a repeated crawl would.
+    """
 
     def step(batch: DataFrame, _: int) -> None:
         append_new(extract_items(batch, recipes), os.path.join(root, "out"))
 
-    return _start(pages, root, step)
+    return _start(pages, root, step, run)
 
 
 def stream_progress(progress: DataFrame, root: str, width: int = BUCKET_WIDTH) -> StreamingQuery:
