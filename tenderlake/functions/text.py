@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters ECMAScript counts as white space or line end.
-JS_SPACES = (
-    "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+_WIDE_SPACES = (
+    "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
-_SPACE = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+JS_SPACES = "\t\n\x0b\x0c\r " + _WIDE_SPACES
+# The ASCII ones as a class. A class with wide characters is several times slower on every character.
+_SPACE = r"[\t-\r ]"
 
 # Characters a link may not hold as such, with their escapes.
 LINK_ESCAPES = {
@@ -31,10 +35,23 @@ def present(col: Column) -> Column:
     return F.coalesce(col != "", F.lit(False))
 
 
+# A run of white space that stands for one blank and is not one already: it is led by no line end, or is
+# a line end alone. Single blanks, by far the most, are passed over.
+_BLANK_RUN = (
+    rf"(?={_SPACE})(?<!{_SPACE})(?:[\t\x0B\f]{_SPACE}*+| {_SPACE}++|(?>\r\n|[\r\n])(?!{_SPACE}))"
+)
+
+
 def squeeze(col: Column) -> Column:
-    """Line ends and runs of white space to one blank; what is still doubled becomes a line end."""
-    one = F.regexp_replace(col, rf"(\r\n|\n|\r|{_SPACE}+)", " ")
-    return F.regexp_replace(one, rf"{_SPACE}{{2,}}", "\n")
+    """White space reduced: a run led by a line end becomes a line end, any other run one blank."""
+    narrow = F.translate(col, _WIDE_SPACES, " " * len(_WIDE_SPACES))
+    narrow = F.when(F.length(col) == F.octet_length(col), col).otherwise(narrow)
+    return F.regexp_replace(F.regexp_replace(narrow, _BLANK_RUN, " "), rf"{_SPACE}{{2,}}", "\n")
+
+
+def once(col: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a costly column that it names several times, evaluated once per row."""
+    return F.get(F.transform(F.array(col), use), F.lit(0))
 
 
 def reduce_pattern(col: Column, pattern: Column, group: Column) -> Column:
@@ -43,9 +60,12 @@ def reduce_pattern(col: Column, pattern: Column, group: Column) -> Column:
     ``pattern`` and ``group`` may vary by row. A NULL pattern keeps the trimmed input as well.
     """
     text = js_trim(col)
-    flat = squeeze(text)
-    hit = F.call_function("rlike", flat, pattern)
-    return F.when(hit, js_trim(F.call_function("regexp_extract", flat, pattern, group))).otherwise(text)
+
+    def reduced(flat: Column) -> Column:
+        hit = F.call_function("rlike", flat, pattern)
+        return F.when(hit, js_trim(F.call_function("regexp_extract", flat, pattern, group))).otherwise(text)
+
+    return F.when(pattern.isNotNull(), once(squeeze(text), reduced)).otherwise(text)
 
 
 def link_target(href: Column) -> Column:

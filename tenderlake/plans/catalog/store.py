@@ -22,11 +22,11 @@ def scrapers_running(t: Tables) -> DataFrame:
     return E.find_scrapers(t.scrapers(), running=True)
 
 
-@query("SELECT * FROM v_scraper WHERE city IN ('BRAZIL', 'CHINA')")
+@query("SELECT * FROM v_scraper WHERE city IN ('NATION_3', 'NATION_7')")
 def scrapers_by_city(t: Tables) -> DataFrame:
     """Two cities, and a numeric one that is refused."""
     scrapers = t.scrapers()
-    found = [E.find_scrapers(scrapers, city=city) for city in ("BRAZIL", "CHINA", "12")]
+    found = [E.find_scrapers(scrapers, city=city) for city in ("NATION_3", "NATION_7", "12")]
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
