@@ -31,6 +31,8 @@ def main(names: list[str]) -> None:
             "spark.sql.shuffle.partitions": CPUS,
             "spark.ui.enabled": "false",
             "spark.driver.memory": "12g",
+            # Query building keeps no call sites: they cost more than most expressions.
+            "spark.python.sql.dataFrameDebugging.enabled": "false",
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

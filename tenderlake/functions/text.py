@@ -35,6 +35,11 @@ def present(col: Column) -> Column:
     return F.coalesce(col != "", F.lit(False))
 
 
+def once(col: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a costly column that it names several times, evaluated once per row."""
+    return F.get(F.transform(F.array(col), use), F.lit(0))
+
+
 # A run of white space that stands for one blank and is not one already: it is led by no line end, or is
 # a line end alone. Single blanks, by far the most, are passed over.
 _BLANK_RUN = (
@@ -49,11 +54,6 @@ def squeeze(col: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(narrow, _BLANK_RUN, " "), rf"{_SPACE}{{2,}}", "\n")
 
 
-def once(col: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a costly column that it names several times, evaluated once per row."""
-    return F.get(F.transform(F.array(col), use), F.lit(0))
-
-
 def reduce_pattern(col: Column, pattern: Column, group: Column) -> Column:
     """The last capture group of ``pattern`` in the squeezed text; a miss keeps the trimmed input.
 
@@ -102,6 +102,15 @@ def _without_dots(path: Column) -> Column:
     return F.when(path.contains("/."), joined).otherwise(path)
 
 
+def _escaped(url: Column, link: Column) -> Column:
+    """Escape what an address may not hold; links of schemes without ``//`` stay as they are."""
+    escaped = url
+    for char, escape in LINK_ESCAPES.items():
+        escaped = F.replace(escaped, F.lit(char), F.lit(escape))
+    unsafe = url.rlike(r"""[\s"'<>\\^`{|}]""")
+    return F.when(unsafe & ~link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:(?!//)"), escaped).otherwise(url)
+
+
 def resolve_url(base: Column, link: Column) -> Column:
     """Absolute form of ``link`` seen from the page at ``base``."""
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
@@ -132,12 +141,7 @@ def resolve_url(base: Column, link: Column) -> Column:
         .when(link == "", F.concat(site, path, query))
         .otherwise(F.concat(site, _without_dots(F.concat(folder, link_path)), link_tail))
     )
-    escaped = resolved
-    for char, escape in LINK_ESCAPES.items():
-        escaped = F.replace(escaped, F.lit(char), F.lit(escape))
-    opaque = link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:(?!//)")
-    unsafe = resolved.rlike(r"""[\s"'<>\\^`{|}]""")
-    return F.when(unsafe & ~opaque, escaped).otherwise(resolved)
+    return once(resolved, lambda url: _escaped(url, link))
 
 
 def path_name(col: Column, include_ext: bool) -> Column:

@@ -41,10 +41,9 @@ def _scan(pages: DataFrame, recipes: list[Recipe], emit: Emit, columns: str) ->
         [("page_id", pa.int64()), ("url", pa.string()), ("scraper", pa.string()), ("recipe_id", pa.string())]
         + list(zip(names, kinds))
     )
-    by_id = pages.sparkSession.sparkContext.broadcast({r.recipe_id: r for r in recipes})
+    known = {r.recipe_id: r for r in recipes}  # small and checked when loaded; part of the task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = by_id.value
         for batch in batches:
             rows = []
             for page_id, url, scraper, recipe_id, html in zip(*(batch.column(i).to_pylist() for i in range(5))):

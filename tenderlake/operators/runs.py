@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderlake.functions.notice import literal_map
-from tenderlake.operators.incremental import IDENTITY, identified
+from tenderlake.operators.incremental import IDENTITY
 from tenderlake.operators.joins import distinct_keys, lookup
 from tenderlake.operators.ordered import BUCKET_WIDTH, with_previous
 
@@ -56,16 +56,18 @@ REPORT_TEMPLATE = """<html><body>
 def run_stats(items: DataFrame, results: DataFrame, notices: DataFrame | None = None) -> DataFrame:
     """Per scraper: items with identity, new ones among them, notices made, and listing pages read.
 
-    Pages count by their first item, so no distinct count per scraper is needed.
+    Pages count by their first item, so no distinct count is needed and the items are read once.
     """
     known = distinct_keys(results, IDENTITY).withColumn("__known", F.lit(True))
-    counted = lookup(identified(items).drop("__known"), known, IDENTITY, "left")
+    # Items without identity have no key to look up.
+    keyed = items.withColumn("_hash", F.nullif("_hash", F.lit("")))
+    counted = lookup(keyed, known, IDENTITY, "left")
+    found = F.col("_hash").isNotNull()
     stats = counted.groupBy("scraper").agg(
-        F.count(F.lit(1)).alias("totalBiddings"),
-        F.count_if(F.col("__known").isNull()).alias("newBiddings"),
+        F.count_if(found).alias("totalBiddings"),
+        F.count_if(found & F.col("__known").isNull()).alias("newBiddings"),
+        F.count_if(F.col("pos") == 0).alias("totalPages"),
     )
-    pages = items.groupBy("scraper").agg(F.count_if(F.col("pos") == 0).alias("totalPages"))
-    stats = pages.join(stats, "scraper", "left")
     if notices is None:
         stats = stats.withColumn("totalExtracted", F.lit(0).cast("bigint"))
     else:

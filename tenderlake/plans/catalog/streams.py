@@ -10,7 +10,7 @@ from tenderlake.plans.catalog import query
 from tenderlake.plans.catalog.extraction import SITE_RECIPE
 from tenderlake.plans.catalog.runs import PROGRESS_SQL, STATE_SQL
 from tenderlake.plans.catalog.schedules import DUE_SQL
-from tenderlake.plans.views import Tables
+from tenderlake.plans.views import Tables, tick
 from tenderlake.session import scratch_path
 from tenderlake.streaming import jobs
 
@@ -56,7 +56,7 @@ def stream_task_state(t: Tables) -> DataFrame:
 @query(DUE_SQL)
 def stream_due(t: Tables) -> DataFrame:
     schedules, _ = make_schedules(t.schedule_requests())
-    ticks = _stream(t, "events").select(F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("tick"))
+    ticks = _stream(t, "events").select(tick().alias("tick"))
     root = scratch_path(t.spark, "due")
     jobs.stream_due(ticks, schedules, root).awaitTermination()
     return t.spark.read.parquet(f"{root}/out").select("scraper", "frequency", "tick")

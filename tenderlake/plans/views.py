@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 SITE = r"^([a-z]+://[^/?#]+)"
 
 
+def tick() -> Column:
+    """The minute of an event, without a detour over the session's time zone."""
+    return F.expr("ts - make_dt_interval(0, 0, 0, extract(SECOND FROM ts))")
+
+
 class Tables:
     """The given tables of one folder, and the views over them."""
 
@@ -127,7 +132,7 @@ class Tables:
         )
 
     def ticks(self) -> DataFrame:
-        return self.events.select(F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("tick")).distinct()
+        return self.events.select(tick().alias("tick")).distinct()
 
     def progress(self, events: DataFrame | None = None) -> DataFrame:
         event, value = F.col("event_id"), F.col("value")

@@ -41,7 +41,7 @@ def _version(root: str, name: str, batch: int) -> str:
 
 
 def output(spark, root: str, schema) -> DataFrame:
-    """All output rows of a job."""
+    """All output rows of a job, empty while there are none."""
     return read_table(spark, os.path.join(root, "out"), schema)
 
 
@@ -70,9 +70,7 @@ def stream_new_items(
     return _start(pages, root, step, run)
 
 
-def stream_progress(progress: DataFrame, root: str, width: int = BUCKET_WIDTH) -> StreamingQuery:
-    """Append the changed snapshots of each batch, compared with the last snapshot of earlier ones."""
-
+def progress_step(root: str, width: int) -> Callable[[DataFrame, int], None]:
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         last = read_table(spark, _version(root, "state", number - 1), batch.schema)
@@ -83,7 +81,12 @@ def stream_progress(progress: DataFrame, root: str, width: int = BUCKET_WIDTH) -
         state = rows.groupBy("task").agg(F.max_by(F.struct(*rest), F.col("seq")).alias("row"))
         _advance(state.select("task", "row.*").select(*batch.columns), root, number)
 
-    return _start(progress, root, step)
+    return step
+
+
+def stream_progress(progress: DataFrame, root: str, width: int = BUCKET_WIDTH) -> StreamingQuery:
+    """Append the changed snapshots of each batch, compared with the last snapshot of earlier ones."""
+    return _start(progress, root, progress_step(root, width))
 
 
 def stamped_state(updates: DataFrame, fields: list[str] = STATE_FIELDS) -> DataFrame:
