@@ -57,12 +57,7 @@ def _as_list(selector: Column) -> Column:
 
 def read_recipes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """All ``*.json`` recipes below ``path``, keyed by file stem."""
-    files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json")
-        .text(path)
-    )
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
     stem = F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1)
     return parse_recipes(files.select(stem.alias("recipe_id"), F.col("value").alias("body")))
 
