@@ -16,38 +16,43 @@ def page_chain(pages: DataFrame, seed: Column, max_depth: int = 1024) -> DataFra
     ``max_depth``. Jumps double each round, so a chain of n pages takes log2(n) rounds of joins rather
     than n. Each round is materialised: the plan stays short and a lost executor costs one round.
     """
-    links = (
+    links = cut(
         pages.select("url", "next_url", seed.alias("is_seed"))
         .groupBy("url")
         .agg(F.max("next_url").alias("next_url"), F.max("is_seed").alias("is_seed"))
     )
-    links = cut(links)
     # Only pages that were fetched can be stepped on.
-    jumps = lookup(
-        links.filter(F.col("next_url").isNotNull()).select("url", F.col("next_url").alias("to")),
-        links.select(F.col("url").alias("to")),
-        ["to"],
+    steps = lookup(
+        links.filter(F.col("next_url").isNotNull()).select(F.col("url").alias("start"), F.col("next_url").alias("url")),
+        links.select("url"),
+        ["url"],
         "left_semi",
     )
-    reached = links.filter("is_seed").select(F.col("url").alias("seed_url"), "url", F.lit(1).alias("depth"))
-    span = 1  # ``jumps`` leads this many pages ahead
+    seeds = links.filter("is_seed").select(F.col("url").alias("start"), "url")
+    state = cut(_round(seeds.withColumn("depth", F.lit(1)), steps))
+    span = 1  # the jumps lead this many pages ahead
     while span < max_depth:
-        jumps = cut(jumps)
+        reached, jumps = (state.filter(F.col("is_jump") == flag).drop("is_jump") for flag in (False, True))
         if jumps.isEmpty():
             break
-        further = lookup(reached, jumps, ["url"], "inner").select(
-            "seed_url", F.col("to").alias("url"), (F.col("depth") + span).alias("depth")
+        ahead = jumps.select(F.col("start").alias("url"), F.col("url").alias("end"))
+        further = lookup(reached, ahead, ["url"], "inner").select(
+            "start", F.col("end").alias("url"), (F.col("depth") + span).alias("depth")
         )
         # On a repeated address the first visit stays.
-        reached = cut(
-            reached.unionByName(further).groupBy("seed_url", "url").agg(F.min("depth").alias("depth"))
-        )
-        ahead = jumps.withColumnsRenamed({"url": "via", "to": "end"})
-        jumps = lookup(
-            jumps.withColumnRenamed("to", "via"), ahead, ["via"], "inner"
-        ).select("url", F.col("end").alias("to"))
+        reached = reached.unionByName(further).groupBy("start", "url").agg(F.min("depth").alias("depth"))
+        jumps = lookup(jumps, ahead, ["url"], "inner").select("start", F.col("end").alias("url"))
+        state = cut(_round(reached, jumps))
         span *= 2
-    return reached.filter(F.col("depth") <= max_depth)
+    chain = state.filter(~F.col("is_jump") & (F.col("depth") <= max_depth))
+    return chain.select(F.col("start").alias("seed_url"), "url", "depth")
+
+
+def _round(reached: DataFrame, jumps: DataFrame) -> DataFrame:
+    """Pages reached so far and jumps as one table, so a round is one write."""
+    return reached.withColumn("is_jump", F.lit(False)).unionByName(
+        jumps.select("start", "url", F.lit(None).cast("int").alias("depth"), F.lit(True).alias("is_jump"))
+    )
 
 
 def chain_items(chain: DataFrame, items: DataFrame) -> DataFrame:

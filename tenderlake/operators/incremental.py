@@ -9,6 +9,7 @@ from tenderlake.functions.text import is_uri, present, resolve_url
 from tenderlake.operators.joins import distinct_keys, lookup
 
 IDENTITY = ["scraper", "_hash"]
+MAX_NAMED = 1000
 
 
 def identified(items: DataFrame) -> DataFrame:
@@ -16,6 +17,18 @@ def identified(items: DataFrame) -> DataFrame:
     return items.filter(present(F.col("_hash")))
 
 
+def prior_of(items: DataFrame, results: DataFrame) -> DataFrame:
+    """The stored results of the scrapers in a (materialised) run.
+
+    A run of few scrapers names them, so only their partitions of the table are read; a run of many
+    reads the table as a whole.
+    """
+    names = items.select("scraper").filter(F.col("scraper").isNotNull()).distinct().limit(MAX_NAMED + 1).collect()
+    if len(names) > MAX_NAMED:
+        return results
+    return results.filter(F.col("scraper").isin([r.scraper for r in names]))
+
+
 def prior_index(results: DataFrame, order: str) -> DataFrame:
     """Stored results by identity: the last row of each (scraper, hash) and how many share it.
 

@@ -13,7 +13,7 @@ BUCKET_WIDTH = 1_000_000
 
 
 def with_bucket(df: DataFrame, order: str, width: int) -> DataFrame:
-    return df.withColumn("__bucket", F.floor(F.col(order) / width).cast("bigint"))
+    return df.withColumn("__bucket", F.col(order) - F.pmod(F.col(order), F.lit(width)))
 
 
 def with_previous(
@@ -31,7 +31,7 @@ def with_previous(
     inside = Window.partitionBy(key, "__bucket").orderBy(order)
     return (
         rows.withColumn("__inside", F.lag(packed).over(inside))
-        .join(before, [key, "__bucket"])
+        .join(before, [key, "__bucket"], "left")
         .withColumn("__prev", F.coalesce("__inside", "__carry"))
         .drop("__inside", "__carry", "__bucket")
     )
@@ -51,7 +51,7 @@ def with_running_sum(
     inside = Window.partitionBy(key, "__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         rows.withColumn("__inside", F.sum("__value").over(inside))
-        .join(before, [key, "__bucket"])
-        .withColumn(name, F.coalesce("__inside", F.lit(0)) + F.col("__carry"))
+        .join(before, [key, "__bucket"], "left")
+        .withColumn(name, F.coalesce("__inside", F.lit(0)) + F.coalesce("__carry", F.lit(0)))
         .drop("__inside", "__carry", "__bucket", "__value")
     )

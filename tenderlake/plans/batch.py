@@ -8,12 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderlake.operators.extract import extract_items, extract_notices
-from tenderlake.operators.incremental import enrich, frontier, join_details, new_items, resolve_links
+from tenderlake.operators.incremental import (
+    enrich,
+    frontier,
+    join_details,
+    new_items,
+    prior_of,
+    resolve_links,
+)
 from tenderlake.operators.runs import run_stats
 from tenderlake.session import cut
 from tenderlake.sources.recipes import Recipe
 from tenderlake.sources.results import append_results, with_defaults
 
+MAX_BROADCAST_BYTES = 256 << 20
+
 
 @dataclass(frozen=True)
 class Batch:
@@ -25,10 +34,24 @@ class Batch:
     stats: DataFrame
 
 
+def wanted_pages(resolved: DataFrame, pages: DataFrame) -> DataFrame:
+    """The pages that (materialised) links ask for.
+
+    While all wanted addresses fit a broadcast, measured here, the others drop out before they are parsed.
+    Beyond that all pages stay: parsing more of them in place costs less than shuffling their html.
+    """
+    wanted = resolved.select(F.col("resolved").alias("url")).filter("url IS NOT NULL").distinct()
+    size = wanted.agg(F.sum(F.octet_length("url") + 64)).first()[0] or 0
+    if size > MAX_BROADCAST_BYTES:
+        return pages
+    return pages.join(F.broadcast(wanted), "url", "left_semi")
+
+
 def new_notices(resolved: DataFrame, detail_pages: DataFrame, recipes: list[Recipe], run_ts: Column) -> DataFrame:
     """Complete result rows for items whose detail page is there."""
     # The detail pages shrink to their notice fields where they are read; only those are shuffled.
-    details = extract_notices(detail_pages, recipes).drop("scraper", "recipe_id")
+    pages = wanted_pages(resolved, detail_pages)
+    details = extract_notices(pages, recipes).drop("scraper", "recipe_id")
     joined = join_details(resolved.select("scraper", "_hash", "resolved"), details, "resolved")
     notices = joined.select("scraper", "_hash", F.col("resolved").alias("url"), "detail.*")
     return with_defaults(enrich(notices, run_ts))
@@ -46,13 +69,14 @@ def run_batch(
     items = cut(extract_items(list_pages, recipes))
     postback = [r.recipe_id for r in recipes if r.aspnet]
     aspnet = F.col("recipe_id").isin(postback) if postback else None
-    resolved = cut(resolve_links(new_items(items, results), responses, aspnet))
+    stored = prior_of(items, results)
+    resolved = cut(resolve_links(new_items(items, stored), responses, aspnet))
     notices = cut(new_notices(resolved, detail_pages, recipes, run_ts))
     return Batch(
         items,
         notices,
         frontier(resolved, detail_pages, "resolved"),
-        run_stats(items, results, notices),
+        run_stats(items, stored, notices),
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tenderlake.operators.incremental import new_items
+from tenderlake.operators.incremental import new_items, prior_of
 from tenderlake.schemas import RESULT
 
 # Defaults of stored results.
@@ -39,11 +39,11 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 def append_new(df: DataFrame, path: str) -> None:
     """Append the rows whose ``(scraper, _hash)`` the table lacks. Repeating an append adds nothing.
 
-    Rows are rebalanced by scraper before writing, so a small scraper makes one file and a huge one
+    ``df`` is read twice, so it should be materialised. Rows are rebalanced by scraper before writing, so a small scraper makes one file and a huge one
     is split over several tasks.
     """
     stored = read_table(df.sparkSession, path, df.schema)
-    fresh = new_items(df, stored)
+    fresh = new_items(df, prior_of(df, stored))
     fresh.hint("rebalance", F.col("scraper")).write.mode("append").partitionBy("scraper").parquet(path)
 
 

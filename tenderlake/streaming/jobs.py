@@ -19,6 +19,7 @@ from tenderlake.operators.extract import extract_items
 from tenderlake.operators.ordered import BUCKET_WIDTH
 from tenderlake.operators.runs import STATE_FIELDS, changed_progress
 from tenderlake.operators.schedules import due
+from tenderlake.session import cut
 from tenderlake.sources.recipes import Recipe
 from tenderlake.sources.results import append_new, read_table
 
@@ -65,7 +66,7 @@ def stream_new_items(
     """
 
     def step(batch: DataFrame, _: int) -> None:
-        append_new(extract_items(batch, recipes), os.path.join(root, "out"))
+        append_new(cut(extract_items(batch, recipes)), os.path.join(root, "out"))
 
     return _start(pages, root, step, run)
 
