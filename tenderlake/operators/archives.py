@@ -14,7 +14,10 @@ from tenderlake.functions.text import path_name, present
 
 
 def route_files(requests: DataFrame) -> DataFrame:
-    """Add ``action`` and the intended ``code`` to rows of uri, id, filename, format, fileIndex."""
+    """Add ``action``, the intended result ``code``, and ``steps``: the codes a task passes on its way.
+
+    Requests hold uri, id, filename, format and fileIndex. Formats are told apart by case.
+    """
     kind = F.col("format")
     by_uri = present(F.col("uri")) & present(kind)
     by_id = (
@@ -22,22 +25,26 @@ def route_files(requests: DataFrame) -> DataFrame:
         & F.coalesce(F.col("fileIndex") >= 0, F.lit(False))
     )
     packed, word, pdf = kind.isin("zip", "rar"), kind.isin("doc", "docx"), kind == "pdf"
-
-    def pick(remote: dict, local: dict, missing):
-        out = F.when(by_uri & packed, remote["packed"]).when(by_uri & word, remote["word"])
-        out = out.when(by_uri, remote["other"])
-        out = out.when(by_id & word, local["word"]).when(by_id & pdf, local["pdf"])
-        return out.when(by_id, local["other"]).otherwise(missing)
-
-    action = pick(
-        {"packed": "extract", "word": "convert", "other": "reject"},
-        {"word": "convert", "pdf": "upload", "other": "reject"},
-        "missing_params",
-    )
-    code = pick(
-        {"packed": 203, "word": 202, "other": 505}, {"word": 202, "pdf": 202, "other": 506}, None
-    )
-    return requests.withColumns({"action": action, "code": code.cast("int")})
+    routes = [
+        (by_uri & packed, "extract", 203, "204,203"),
+        (by_uri & word, "convert", 202, "204,201,202"),
+        (by_uri, "reject", 505, "204,505"),
+        (by_id & word, "convert", 202, "0,201,202"),
+        (by_id & pdf, "upload", 202, "202"),
+        (by_id, "reject", 506, "506"),
+    ]
+    route = F.lit(None)
+    for condition, action, code, steps in reversed(routes):
+        chosen = F.struct(F.lit(action).alias("action"), F.lit(code).alias("code"), F.lit(steps).alias("steps"))
+        route = F.when(condition, chosen).otherwise(route)
+    routed = requests.withColumn("__route", route)
+    return routed.withColumns(
+        {
+            "action": F.coalesce("__route.action", F.lit("missing_params")),
+            "code": F.col("__route.code"),
+            "steps": F.col("__route.steps"),
+        }
+    ).drop("__route")
 
 
 def list_archives(archives: DataFrame) -> DataFrame:

@@ -33,7 +33,10 @@ _ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+
 
 
 class Page:
-    """Elements in document order, each with its text span and the end of its subtree."""
+    """Elements in document order, each with its text span and the end of its subtree.
+
+    Building and finding stay near linear in the page, however deep or broken its markup.
+    """
 
     def __init__(self, html: str, entities: bool = False):
         self.entities = entities
@@ -41,13 +44,22 @@ class Page:
         self._raw_attrs, self._attrs = [], {}
         self._spans, self._texts = [], []
         self._by_tag: dict[str, list[int]] = {}
+        self._found: dict[str, list[int]] = {}
         self._build(html)
 
     def _build(self, html: str) -> None:
-        stack, children, roots = [], [], 0
-        position = 0
+        stack, open_tags, children = [], {}, [0]  # children[0] counts the roots
+
+        def close() -> str:
+            node = stack.pop()
+            self.ends[node] = len(self.tags)
+            self._spans[node][1] = len(self._texts)
+            open_tags[self.tags[node]] -= 1
+            return self.tags[node]
+
+        position, last = 0, html.rfind(">") + 1
         while True:
-            token = _TOKEN.search(html, position)
+            token = _TOKEN.search(html, position, last)
             end = token.start() if token else len(html)
             if end > position:
                 self._texts.append(html[position:end])
@@ -56,47 +68,37 @@ class Page:
             position = token.end()
             tag = token["tag"]
             if tag is None:
+                if token[0].startswith("<!--") and not token[0].endswith("-->"):
+                    break  # a comment without an end hides the rest
                 continue
             tag = tag.lower()
             if token["close"]:
-                if tag in (self.tags[i] for i in stack):
-                    while True:
-                        top = stack.pop()
-                        self._close(top)
-                        if self.tags[top] == tag:
-                            break
+                if open_tags.get(tag):
+                    while close() != tag:
+                        pass
                 continue
-            implied = CLOSES.get(tag)
-            while implied and stack and self.tags[stack[-1]] in implied:
-                self._close(stack.pop())
+            implied = CLOSES.get(tag, ())
+            while stack and self.tags[stack[-1]] in implied:
+                close()
+            parent = stack[-1] if stack else -1
             node = len(self.tags)
-            if stack:
-                children[stack[-1]] += 1
-                nth = children[stack[-1]]
-            else:
-                roots += 1
-                nth = roots
+            children[parent + 1] += 1
+            children.append(0)
             self.tags.append(tag)
-            self.parents.append(stack[-1] if stack else -1)
-            self.nth.append(nth)
+            self.parents.append(parent)
+            self.nth.append(children[parent + 1])
             self.ends.append(node + 1)
             self._raw_attrs.append(token["attrs"])
             self._spans.append([len(self._texts), len(self._texts)])
             self._by_tag.setdefault(tag, []).append(node)
-            children.append(0)
-            if tag in VOID:
-                continue
             if tag in RAW_TEXT:  # its content is no text of the page
                 stop = RAW_TEXT[tag].search(html, position)
                 position = stop.end() if stop else len(html)
-                continue
-            stack.append(node)
+            elif tag not in VOID:
+                stack.append(node)
+                open_tags[tag] = open_tags.get(tag, 0) + 1
         while stack:
-            self._close(stack.pop())
-
-    def _close(self, node: int) -> None:
-        self.ends[node] = len(self.tags)
-        self._spans[node][1] = len(self._texts)
+            close()
 
     def attr(self, node: int, name: str) -> str | None:
         attrs = self._attrs.get(node)
@@ -115,20 +117,42 @@ class Page:
 
     def find(self, selector: Selector, within: list[int] | None = None) -> list[int]:
         """Matches in document order; ``within`` keeps proper descendants of those nodes."""
-        tag = selector.steps[-1][1].tag
-        pool = self._by_tag.get(tag, []) if tag else range(len(self.tags))
+        found = self._found.get(selector.source)
+        if found is None:
+            found = self._found[selector.source] = self._match(selector)
         if within is None:
-            return [n for n in pool if selector.matches(self, n)]
-        found, reached = [], -1
+            return found
+        kept, reached = [], -1
         for root in within:
-            if root < reached:
-                continue  # inside the previous root, already searched
-            reached = self.ends[root]
-            for at in range(bisect_left(pool, root + 1), bisect_left(pool, reached)):
-                if selector.matches(self, pool[at]):
-                    found.append(pool[at])
+            if root >= reached:  # else inside the root before, already taken
+                reached = self.ends[root]
+                kept += found[bisect_left(found, root + 1) : bisect_left(found, reached)]
+        return kept
+
+    def _match(self, selector: Selector) -> list[int]:
+        found: list[int] = []
+        for step, (combinator, compound) in enumerate(selector.steps):
+            pool = self._by_tag.get(compound.tag, []) if compound.tag else range(len(self.tags))
+            hits = [n for n in pool if compound.holds(self, n)]
+            if step and combinator == ">":
+                parents = set(found)
+                hits = [n for n in hits if self.parents[n] in parents]
+            elif step:
+                hits = self._below(hits, found)
+            found = hits
         return found
 
+    def _below(self, nodes: list[int], roots: list[int]) -> list[int]:
+        """The nodes inside any of the roots; both are in document order."""
+        kept, reached, at = [], -1, 0
+        for node in nodes:
+            while at < len(roots) and roots[at] < node:
+                reached = max(reached, self.ends[roots[at]])
+                at += 1
+            if node < reached:
+                kept.append(node)
+        return kept
+
 
 class _Compound:
     __slots__ = ("tag", "tests", "nth")
@@ -199,19 +223,3 @@ class Selector:
         if position == start or (position < len(text) and text[position] not in " \t\n>"):
             raise ValueError(f"selector not supported: {self.source!r}")
         return _Compound(tag, tests, nth), position
-
-    def matches(self, page: Page, node: int) -> bool:
-        return self.steps[-1][1].holds(page, node) and self._tied(page, node, len(self.steps) - 1)
-
-    def _tied(self, page: Page, node: int, step: int) -> bool:
-        if step == 0:
-            return True
-        combinator, before = self.steps[step][0], self.steps[step - 1][1]
-        parent = page.parents[node]
-        while parent >= 0:
-            if before.holds(page, parent) and self._tied(page, parent, step - 1):
-                return True
-            if combinator == ">":
-                return False
-            parent = page.parents[parent]
-        return False

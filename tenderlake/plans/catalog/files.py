@@ -23,12 +23,16 @@ from tenderlake.plans.views import Tables
         CASE WHEN format IN ('doc', 'docx') THEN 'convert' WHEN format = 'pdf' THEN 'upload' ELSE 'reject' END
       ELSE 'missing_params' END AS action,
       CASE WHEN uri IS NOT NULL THEN CASE WHEN format IN ('zip', 'rar') THEN 203 WHEN format IN ('doc', 'docx') THEN 202 ELSE 505 END
-      WHEN id IS NOT NULL AND "fileIndex" >= 0 THEN CASE WHEN format IN ('doc', 'docx', 'pdf') THEN 202 ELSE 506 END END AS code
+      WHEN id IS NOT NULL AND "fileIndex" >= 0 THEN CASE WHEN format IN ('doc', 'docx', 'pdf') THEN 202 ELSE 506 END END AS code,
+      CASE WHEN uri IS NOT NULL THEN CASE WHEN format IN ('zip', 'rar') THEN '204,203'
+          WHEN format IN ('doc', 'docx') THEN '204,201,202' ELSE '204,505' END
+        WHEN id IS NOT NULL AND "fileIndex" >= 0 THEN CASE WHEN format IN ('doc', 'docx') THEN '0,201,202'
+          WHEN format = 'pdf' THEN '202' ELSE '506' END END AS steps
     FROM v_files
     """
 )
 def file_routing(t: Tables) -> DataFrame:
-    return I.route_files(t.file_requests()).select("doc_id", "action", "code")
+    return I.route_files(t.file_requests()).select("doc_id", "action", "code", "steps")
 
 
 MEMBERS = 50

@@ -15,8 +15,6 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Pages are large rows: small Arrow batches bound the Python worker's memory.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -56,6 +56,14 @@ def test_broken_markup_ends():
     assert Page("").find(Selector("p")) == []
 
 
+def test_hostile_markup_stays_fast():
+    n = 40000
+    for body in ("<b>" * n + "</i>" * n, "<a<" * n, '<a "' * n, "<div>" * n + "<p>x", "<!--" * n, "<p>" * n):
+        page = Page(body)
+        page.find(Selector("div div p"))
+    assert Page("<p>a<!-- b <p>c").find(Selector("p")) == [0]
+
+
 def pages(spark, *bodies):
     rows = [(i, f"http://h.example/l/{i}", "s", body) for i, body in enumerate(bodies)]
     return spark.createDataFrame(rows, "page_id bigint, url string, scraper string, html string")
