@@ -88,6 +88,12 @@ def insert_scrapers(existing: DataFrame, new: DataFrame) -> tuple[DataFrame, Dat
     return existing.unionByName(accepted), new.filter(~complete)
 
 
+def inserted_recipes(new: DataFrame) -> DataFrame:
+    """Recipes that came with accepted new scrapers in ``config``, as ``(recipe_id, body)``."""
+    complete = present(F.col("name")) & present(F.col("city")) & present(F.col("config"))
+    return new.filter(complete).select(F.col("id").alias("recipe_id"), F.col("config").alias("body"))
+
+
 def patch(df: DataFrame, patches: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
     """Apply partial updates. ``fields`` lists the columns a patch sets, so a set NULL differs from an
     absent one; of several patches of a column the last by ``order`` counts. Unusable keys are skipped.

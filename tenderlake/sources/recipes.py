@@ -55,11 +55,22 @@ def _as_list(selector: Column) -> Column:
     return F.when(F.element_at(many, 1).isNotNull(), many).otherwise(F.array(selector))
 
 
-def read_recipes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """All ``*.json`` recipes below ``path``, keyed by file stem."""
+def read_bodies(spark: SparkSession, path: str) -> DataFrame:
+    """The text of all ``*.json`` recipes below ``path``, keyed by file stem."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
     stem = F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1)
-    return parse_recipes(files.select(stem.alias("recipe_id"), F.col("value").alias("body")))
+    return files.select(stem.alias("recipe_id"), F.col("value").alias("body"))
+
+
+def read_recipes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Task rows and rejects of all recipes below ``path``."""
+    return parse_recipes(read_bodies(spark, path))
+
+
+def find_recipe(bodies: DataFrame, recipe_id: str) -> DataFrame:
+    """The text of one recipe, if it is a JSON object."""
+    found = bodies.filter(F.col("recipe_id") == recipe_id)
+    return found.filter(F.json_object_keys("body").isNotNull())
 
 
 @dataclass(frozen=True)

@@ -182,3 +182,54 @@ def test_archives(spark):
     )
     picked = {r.archive_id: (r.notice_idx, r.notice_name) for r in archives.pick_notice(listing).collect()}
     assert picked == {"a": (1, ""), "r": (-1, None), "n": (-1, None), "e": (-1, None)}
+
+
+def test_job_over_folders(spark, tmp_path):
+    """Two portals with their own recipes, chosen by page; the second run stores nothing more."""
+    from tenderlake.plans.job import main
+
+    html = '<nav><ul><li><a href="/n/1">1</a><li><a href="n/2">2</a></ul></nav>'
+    pages = [(1, "http://h.example/l", "site", html), (2, "http://g.example/l", "other", html)]
+    notice = "<article><h1>7/2017</h1><p>Objeto</p></article>"
+    details = [(3, "http://h.example/n/1", "site", notice), (4, "http://h.example/x", "site", notice)]
+    schema = "page_id bigint, url string, recipe_id string, html string"
+    folders = {n: str(tmp_path / n) for n in ("list-pages", "detail-pages", "results", "frontier", "reports")}
+    spark.createDataFrame(pages, schema).write.parquet(folders["list-pages"])
+    spark.createDataFrame(details, schema).write.parquet(folders["detail-pages"])
+    arguments = ["--recipes", "tests/fixtures/recipes", "--run-ts", "2024-01-01 06:00:00"]
+    for name, folder in folders.items():
+        arguments += [f"--{name}", folder]
+    for _ in range(2):
+        main(arguments, spark)
+        row = read_results(spark, folders["results"]).collect()
+        assert [(r.scraper, r.number, r.description, r.website, r.amount) for r in row] == [
+            ("site", "7/2017", "Objeto", "http://h.example/n/1", 0.0)
+        ]
+        assert [r.link for r in spark.read.parquet(folders["frontier"]).collect()] == ["http://h.example/n/2"]
+    report = {r.scraper: r.report for r in spark.read.parquet(folders["reports"]).collect()}
+    assert set(report) == {"site"} and "1 of 2 notices are new" in report["site"]
+
+
+def test_run_of_scrapers(spark, tmp_path):
+    from tenderlake.plans.job import run_scrapers
+
+    t = Tables(spark, FOLDER)
+    rows = [("s1", "One", "C", False), ("s2", "Two", "C", True), ("s3", "Three", "C", False)]
+    scrapers = spark.createDataFrame(rows, "id string, name string, city string, running boolean")
+    scrapers = scrapers.withColumns({"hidden": F.lit(False), "lastRunDate": F.lit(None).cast("timestamp_ntz")})
+    ids = spark.createDataFrame([("s1",), ("s2",)], "id string")
+    after, refused, batch = run_scrapers(
+        scrapers, ids, t.site_pages(), t.detail_pages(), [SITE_RECIPE], str(tmp_path / "r"), "2024-01-01 06:00:00"
+    )
+    got = {r.id: (r.running, r.lastRunDate is not None) for r in after.collect()}
+    assert got == {"s1": (False, True), "s2": (True, False), "s3": (False, False)}
+    assert [r.id for r in refused.collect()] == ["s2"] and not batch.notices.isEmpty()
+
+
+def test_recipes_of_new_scrapers(spark):
+    from tenderlake.sources.recipes import find_recipe
+
+    rows = [("a", "A", "C", '{"name": "x"}'), ("b", "", "C", "{}"), ("c", "C", "C", None)]
+    bodies = store.inserted_recipes(spark.createDataFrame(rows, "id string, name string, city string, config string"))
+    assert [tuple(r) for r in bodies.collect()] == [("a", '{"name": "x"}')]
+    assert find_recipe(bodies, "a").count() == 1 and find_recipe(bodies, "b").count() == 0
