@@ -1,8 +1,8 @@
 """Pages and recipes to rows. One pass parses each page once and emits small raw rows; all
 pattern, trim, hash and type work follows as column expressions.
 
-Pages are ``(page_id, url, html)`` and may carry ``scraper`` (kept) and ``recipe_id`` (then only that
-recipe applies, else every recipe does). ``html`` is read in the scan's own partitions, never shuffled.
+Pages are ``(page_id, url, html)`` and may carry ``scraper`` (else the recipe is the scraper) and
+``recipe_id`` (then only that recipe applies, else every recipe does). ``html`` is read in the scan's own partitions, never shuffled.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ def _scan(pages: DataFrame, recipes: list[Recipe], emit: Emit, columns: str) ->
                     entities = recipe.charset is None
                     if entities not in parsed:
                         parsed[entities] = Page(html or "", entities)
-                    head = (page_id, url, scraper, recipe.recipe_id)
+                    head = (page_id, url, recipe.recipe_id if scraper is None else scraper, recipe.recipe_id)
                     rows.extend(head + row for row in emit(parsed[entities], recipe))
             columns_ = zip(*rows) if rows else [[] for _ in schema]
             yield pa.RecordBatch.from_arrays(

@@ -61,16 +61,12 @@ def known_items(items: DataFrame, results: DataFrame, order: str) -> DataFrame:
     return lookup(identified(items), last, IDENTITY, "inner")
 
 
-def _first_links(items: DataFrame) -> DataFrame:
-    return items.groupBy("page_id").agg(F.min_by("link", "pos").alias("__first"))
-
-
 def resolve_links(
     items: DataFrame,
     responses: DataFrame | None = None,
     aspnet: Column | None = None,
 ) -> DataFrame:
-    """Add ``resolved``, decided for a whole page by its first item.
+    """Add ``resolved``, decided for all items a recipe found on a page by the first of them.
 
     Where that link is a valid URI, or the site has no postbacks, all links resolve against the page.
     Else they are event targets: the final address comes from ``responses(page_url, event_target,
@@ -78,7 +74,9 @@ def resolve_links(
     """
     aspnet = F.lit(False) if aspnet is None else aspnet
     # The first link travels by aggregate and lookup, not by a window: no task sorts a whole page group.
-    rows = lookup(items, _first_links(items), ["page_id"], "inner")
+    keys = [c for c in ("recipe_id", "page_id") if c in items.columns]
+    first = items.groupBy(*keys).agg(F.min_by("link", "pos").alias("__first"))
+    rows = lookup(items, first, keys, "inner")
     direct = is_uri(F.col("__first")) | ~aspnet
     absolute = resolve_url(F.col("url"), F.col("link"))
     if responses is None:

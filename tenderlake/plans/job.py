@@ -48,12 +48,6 @@ def reports(batch: Batch, run_ts: str, site: str, template: str = REPORT_TEMPLAT
     return render_report(batch.stats, template, moment, F.col("scraper"), link)
 
 
-def _by_recipe(pages: DataFrame) -> DataFrame:
-    if "scraper" in pages.columns or "recipe_id" not in pages.columns:
-        return pages
-    return pages.withColumn("scraper", F.col("recipe_id"))
-
-
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     for name in ("recipes", "list-pages", "detail-pages", "results", "frontier", "reports", "run-ts"):
@@ -62,7 +56,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     given = parser.parse_args(arguments)
     spark = spark or build_session()
     recipes = load_recipes(read_recipes(spark, given.recipes)[0])
-    pages = [_by_recipe(spark.read.parquet(p)) for p in (given.list_pages, given.detail_pages)]
+    pages = [spark.read.parquet(p) for p in (given.list_pages, given.detail_pages)]
     moment = F.lit(given.run_ts).cast("timestamp_ntz")
     batch = run_batch(*pages, recipes, read_results(spark, given.results), moment)
     store_batch(batch, given.results)

@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tenderlake.operators.extract import extract_items
+from tenderlake.operators.incremental import new_items, prior_of
 from tenderlake.operators.ordered import BUCKET_WIDTH
 from tenderlake.operators.runs import STATE_FIELDS, changed_progress
 from tenderlake.operators.schedules import due
 from tenderlake.session import cut
 from tenderlake.sources.recipes import Recipe
-from tenderlake.sources.results import append_new, read_table
+from tenderlake.sources.results import read_table
 
 RETENTION_SECONDS = 5
 
@@ -57,18 +58,27 @@ def _advance(df: DataFrame, root: str, batch: int) -> None:
     _drop(df.sparkSession, _version(root, "state", batch - 2))
 
 
-def stream_new_items(
-    pages: DataFrame, recipes: list[Recipe], root: str, run: str = "checkpoint"
-) -> StreamingQuery:
+def new_items_step(recipes: list[Recipe], root: str, run: str) -> Callable[[DataFrame, int], None]:
+    out = os.path.join(root, "out")
+
+    def step(batch: DataFrame, number: int) -> None:
+        items = cut(extract_items(batch, recipes))
+        keyed = items.withColumns({"run": F.lit(run), "batch": F.lit(number)})
+        stored = read_table(batch.sparkSession, out, keyed.schema)
+        earlier = stored.filter((F.col("run") != run) | (F.col("batch") < number))
+        fresh = new_items(items, prior_of(items, earlier)).hint("rebalance", F.col("scraper"))
+        path = os.path.join(out, f"run={run}", f"batch={number}")
+        fresh.write.mode("overwrite").partitionBy("scraper").parquet(path)
+
+    return step
+
+
+def stream_new_items(pages: DataFrame, recipes: list[Recipe], root: str, run: str = "first") -> StreamingQuery:
     """Append the new items of each batch of pages. Stored items are read again for every batch.
 
     A ``run`` of another name reads all pages again, as a repeated crawl would.
     """
-
-    def step(batch: DataFrame, _: int) -> None:
-        append_new(cut(extract_items(batch, recipes)), os.path.join(root, "out"))
-
-    return _start(pages, root, step, run)
+    return _start(pages, root, new_items_step(recipes, root, run), f"checkpoint-{run}")
 
 
 def progress_step(root: str, width: int) -> Callable[[DataFrame, int], None]:

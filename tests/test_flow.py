@@ -119,6 +119,22 @@ def test_run_twice_adds_nothing(spark, tmp_path):
     assert tuple(counters) == (0, batch.items.count(), 50)
 
 
+def test_limits_only_change_the_way(spark, monkeypatch):
+    """Beyond the broadcast limit and the named scrapers a run finds the same."""
+    from tenderlake.plans import batch as plan
+
+    t = Tables(spark, FOLDER)
+
+    def found():
+        run = plan.run_batch(t.site_pages(), t.detail_pages(), [SITE_RECIPE], t.prior(), run_time())
+        return sorted(map(str, run.notices.collect())), sorted(map(str, run.stats.collect()))
+
+    want = found()
+    monkeypatch.setattr(plan, "MAX_BROADCAST_BYTES", 0)
+    monkeypatch.setattr(incremental, "MAX_NAMED", 0)
+    assert found() == want and want[0]
+
+
 def test_copies_within_a_run_stay(spark, tmp_path):
     path = str(tmp_path / "results")
     rows = spark.createDataFrame([("s", "h1"), ("s", "h1"), ("t", "h1"), ("s", "")], "scraper string, _hash string")

@@ -81,18 +81,36 @@ def test_task_state_leaves_and_starts_anew(spark, tmp_path):
 
 
 def test_repeated_batch_changes_nothing(spark, tmp_path):
-    """The steps overwrite what a failed attempt of the same batch left behind."""
+    """A step overwrites what a failed attempt of the same batch left behind."""
     t = Tables(spark, FOLDER)
-    t.events.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(t.events.schema).parquet(str(tmp_path / "in"))
-    for attempt in ("a", "b"):
-        jobs._start(t.progress(stream), str(tmp_path / "job"), _progress_step(str(tmp_path / "job")), attempt).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "job/out")).drop("batch")
+    root = str(tmp_path)
+    halves = [t.events.filter("event_id < 500"), t.events.filter("event_id >= 500")]
+    step = jobs.progress_step(root, 1000)
+    for number, attempts in ((0, 2), (1, 3)):
+        for _ in range(attempts):
+            step(t.progress(halves[number]), number)
+    got = spark.read.parquet(f"{root}/out").drop("batch")
     assert same(got, runs.changed_progress(t.progress()))
 
 
-def _progress_step(root):
-    return jobs.progress_step(root, 1000)
+def test_repeated_batch_of_items(spark, tmp_path):
+    """Copies within a batch stay when it is repeated, and another run adds nothing."""
+    t = Tables(spark, FOLDER)
+    root = str(tmp_path)
+    for run in ("first", "first", "other"):
+        jobs.new_items_step([SITE_RECIPE], root, run)(t.site_pages(), 0)
+    columns = ["page_id", "scraper", "pos", "link", "_hash"]
+    assert same(spark.read.parquet(f"{root}/out").select(columns), t.hashed_items().select(columns))
+
+
+def test_due_takes_a_stream_of_ticks(spark, tmp_path):
+    t = Tables(spark, FOLDER)
+    made, _ = schedules.make_schedules(t.schedule_requests())
+    t.ticks().coalesce(1).write.parquet(str(tmp_path / "in"))
+    ticks = spark.readStream.schema(t.ticks().schema).parquet(str(tmp_path / "in"))
+    out = schedules.due(made, ticks).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    out.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert same(spark.read.parquet(str(tmp_path / "out")), schedules.due(made, t.ticks()))
 
 
 def test_stream_equals_sequence_of_batches(spark):
