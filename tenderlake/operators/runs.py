@@ -39,6 +39,7 @@ PROGRESS_FIELDS = [
 ]
 
 STATE_FIELDS = ["running", "code", "message"]
+# Fixed value: the answer to a poll of no task.
 NO_TASK = "Nenhum processo em execução."
 
 # Report placeholders replaced wherever they occur, and those replaced once.

@@ -61,7 +61,8 @@ def find_schedules(schedules: DataFrame, scrapers: DataFrame, filter_json: str |
         elif value is None:
             found = found.filter(F.col(name).isNull())
         else:
-            found = found.filter(F.col(name) == F.lit(value))
+            # A value that does not read as the column's type equals nothing.
+            found = found.filter(F.col(name) == F.lit(value).try_cast(schedules.schema[name].dataType))
     names = scrapers.select(F.col("id").alias("scraper"), F.col("name").alias("scraper_name"))
     return found.join(names, "scraper", "left").drop(INTERNAL)
 
@@ -71,7 +72,11 @@ def _equalities(text: str | None) -> dict:
         parsed = json.loads(text) if text else {}
     except ValueError:
         return {}
-    return parsed if isinstance(parsed, dict) else {}
+    if not isinstance(parsed, dict):
+        return {}
+    if any(isinstance(value, (dict, list)) for value in parsed.values()):
+        raise ValueError("a schedule filter holds equalities only")
+    return parsed
 
 
 def insert_scrapers(existing: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,17 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The character sets Spark's decode accepts.
-CHARSETS = ("iso-8859-1", "us-ascii", "utf-8", "utf-16", "utf-16be", "utf-16le", "utf-32")
+# Names of the character sets that are read, bare of punctuation.
+UTF_8 = ("utf8",)
+ASCII = ("ascii", "usascii")
+LATIN_1 = ("latin1", "iso88591")
+WINDOWS_1252 = ("windows1252", "win1252", "cp1252")
+CHARSETS = UTF_8 + ASCII + LATIN_1 + WINDOWS_1252
 
+# Windows-1252 is ISO-8859-1 but for the bytes of its control characters.
+_CONTROLS = bytes(b for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore"))
 
-def _decoded(body: Column, charset: Column) -> Column:
-    """One branch per accepted name, so decode never meets a name it would raise on."""
-    name = F.lower(F.coalesce(charset, F.lit("utf-8")))
-    html = F.lit(None).cast("string")
-    for accepted in CHARSETS:
-        html = F.when(name == accepted, F.decode(body, accepted)).otherwise(html)
-    return html
+
+def _name(charset: Column) -> Column:
+    return F.regexp_replace(F.lower(F.coalesce(charset, F.lit("utf-8"))), "[^a-z0-9]", "")
+
+
+def _decoded(body: Column, name: Column) -> Column:
+    """Bytes that are no text become U+FFFD: a broken page must not end the job, as decode would for UTF-8."""
+    latin = F.decode(body, "ISO-8859-1")
+    windows = F.translate(latin, _CONTROLS.decode("latin-1"), _CONTROLS.decode("cp1252"))
+    return (
+        F.when(name.isin(*UTF_8), F.ltrim(F.make_valid_utf8(body.cast("string")), F.lit("\ufeff")))
+        .when(name.isin(*LATIN_1), latin)
+        .when(name.isin(*WINDOWS_1252), windows)
+        .when(name.isin(*ASCII), F.regexp_replace(latin, "[^\\x00-\\x7F]", "\ufffd"))
+    )
 
 
 def decode_pages(df: DataFrame, body_col: str = "body", charset_col: str = "charset") -> DataFrame:
@@ -23,11 +37,11 @@ def decode_pages(df: DataFrame, body_col: str = "body", charset_col: str = "char
 
     ``entities`` tells whether entities still are to be decoded: only without a charset.
     """
-    accepted = F.lower(F.coalesce(F.col(charset_col), F.lit("utf-8"))).isin(*CHARSETS)
+    name = _name(F.col(charset_col))
     return (
-        df.withColumn("html", _decoded(F.col(body_col), F.col(charset_col)))
+        df.withColumn("html", _decoded(F.col(body_col), name))
         .withColumn("entities", F.col(charset_col).isNull())
-        .withColumn("rejected", ~accepted)
+        .withColumn("rejected", ~name.isin(*CHARSETS))
         .drop(body_col)
     )
 

@@ -152,7 +152,12 @@ def test_recipe_with_a_foreign_selector_is_refused(spark):
 
 
 def test_decode(spark):
-    rows = [(1, "São".encode("latin-1"), "ISO-8859-1"), (2, "São".encode(), "utf-8"), (3, "São".encode(), None), (4, b"x", "koi8-r")]
+    rows = [
+        (1, "São".encode("latin-1"), "ISO-8859-1"), (2, "São".encode(), "utf-8"), (3, "São".encode(), None),
+        (4, b"x", "koi8-r"), (5, "“São” €".encode("cp1252"), "windows-1252"), (6, "São".encode(), "UTF8"),
+        (7, b"\xef\xbb\xbfa\xffb", "utf-8"), (8, b"a\xe3", "us-ascii"), (9, b"\xd8\x00", "utf-16"),
+    ]
     df = spark.createDataFrame(rows, "page_id int, body binary, charset string")
     got = [(r.html, r.entities, r.rejected) for r in decode_pages(df).orderBy("page_id").collect()]
-    assert got == [("São", False, False), ("São", False, False), ("São", True, False), (None, False, True)]
+    assert got == [("São", False, False), ("São", False, False), ("São", True, False), (None, False, True), ("“São” €", False, False), ("São", False, False),
+        ("a\ufffdb", False, False), ("a\ufffd", False, False), (None, False, True)]

@@ -160,6 +160,9 @@ def test_schedule_filters(spark):
     both = [("s1", "One"), ("s2", None)]
     assert found(None) == both and found("{") == both and found("[1]") == both
     assert found('{"weekday": 1}') == both[:1] and found('{"weekday": null}') == both[1:]
+    assert found('{"weekday": "1"}') == both[:1] and found('{"weekday": "WED"}') == []
+    with pytest.raises(ValueError):
+        found('{"weekday": {"$gt": 0}}')
     assert found('{"nope": 1}') == [] and found('{"weekday": 1, "frequency": "daily"}') == []
 
 
