@@ -111,37 +111,47 @@ def _escaped(url: Column, link: Column) -> Column:
     return F.when(unsafe & ~link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:(?!//)"), escaped).otherwise(url)
 
 
-def resolve_url(base: Column, link: Column) -> Column:
-    """Absolute form of ``link`` seen from the page at ``base``."""
+def _cleaned(link: Column) -> Column:
+    """A link without white space around it, with backslashes before the query read as slashes."""
+    link = js_trim(link)
+    path = F.replace(F.regexp_extract(link, r"(?s)^([^?]*)", 1), F.lit("\\"), F.lit("/"))
+    slashed = F.concat(path, F.regexp_extract(link, r"(?s)^[^?]*(.*)", 1))
+    return F.when(link.contains("\\"), slashed).otherwise(link)
+
+
+def _absolute(url: Column) -> Column:
+    head = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    tail = F.regexp_extract(url, r"(?s)^[^?#]*(.*)", 1)
+    rest = F.when(rest == "", "/").otherwise(rest)
+    return F.concat(F.lower(head), _without_dots(rest), tail)
+
+
+def _joined(base: Column, link: Column) -> Column:
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
     authority = F.lower(F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/?#]*)", 1))
     path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     path = F.when(path == "", "/").otherwise(path)
     query = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
     site = F.concat(scheme, authority)
-
+    folder = F.regexp_extract(path, r"(?s)^(.*/)", 1)
     link_path = F.regexp_extract(link, r"^([^?#]*)", 1)
-    link_tail = F.regexp_extract(link, r"^[^?#]*(.*)", 1)
-    folder = F.regexp_extract(path, r"^(.*/)", 1)
-
-    def absolute(url: Column) -> Column:
-        head = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-        rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-        tail = F.regexp_extract(url, r"^[^?#]*(.*)", 1)
-        rest = F.when(rest == "", "/").otherwise(rest)
-        return F.concat(F.lower(head), _without_dots(rest), tail)
-
-    resolved = (
-        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), absolute(link))
+    link_tail = F.regexp_extract(link, r"(?s)^[^?#]*(.*)", 1)
+    return (
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), _absolute(link))
         .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
-        .when(link.startswith("//"), absolute(F.concat(scheme, link)))
+        .when(link.startswith("//"), _absolute(F.concat(scheme, link)))
         .when(link.startswith("/"), F.concat(site, _without_dots(link_path), link_tail))
         .when(link.startswith("?"), F.concat(site, path, link))
         .when(link.startswith("#"), F.concat(site, path, query, link))
         .when(link == "", F.concat(site, path, query))
         .otherwise(F.concat(site, _without_dots(F.concat(folder, link_path)), link_tail))
     )
-    return once(resolved, lambda url: _escaped(url, link))
+
+
+def resolve_url(base: Column, link: Column) -> Column:
+    """Absolute form of ``link`` seen from the page at ``base``."""
+    return once(_cleaned(link), lambda clean: once(_joined(base, clean), lambda url: _escaped(url, clean)))
 
 
 def path_name(col: Column, include_ext: bool) -> Column:

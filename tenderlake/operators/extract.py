@@ -175,7 +175,7 @@ def _patterned(df: DataFrame, recipes: list[Recipe], task_id: str) -> tuple[Data
     rows = []
     for recipe_id, task in tasks.items():
         given = [task.patterns.get(f) if task else None for f in used]
-        rows.append((recipe_id, *given, *(p and pattern_groups(p) for p in given)))
+        rows.append((recipe_id, *given, *(p and pattern_groups(df.sparkSession, p) for p in given)))
     columns = ", ".join([f"_p_{f} string" for f in used] + [f"_g_{f} int" for f in used])
     table = df.sparkSession.createDataFrame(rows, f"recipe_id string, {columns}")
     joined = df.join(table, "recipe_id", "left")

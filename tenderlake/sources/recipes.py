@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,9 +95,9 @@ class Recipe:
         return next((t for t in self.tasks if t.id == task_id), None)
 
 
-def pattern_groups(pattern: str) -> int:
-    """Number of capture groups; 0 makes the whole match the result."""
-    return re.compile(pattern).groups
+def pattern_groups(spark: SparkSession, pattern: str) -> int:
+    """Number of capture groups as the JVM counts them; 0 makes the whole match the result."""
+    return spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern).matcher("").groupCount()
 
 
 def load_recipes(tasks: DataFrame) -> list[Recipe]:
@@ -111,8 +111,11 @@ def load_recipes(tasks: DataFrame) -> list[Recipe]:
     recipes: dict[str, Recipe] = {}
     for row in rows:
         patterns = row.patterns or {}
-        for pattern in patterns.values():
-            pattern_groups(pattern)
+        for name, pattern in patterns.items():
+            try:
+                pattern_groups(tasks.sparkSession, pattern)
+            except IllegalArgumentException as error:
+                raise ValueError(f"pattern not supported in {row.recipe_id}: {name}") from error
         task = Task(
             row.task_id,
             row.is_list,

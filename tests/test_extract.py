@@ -6,7 +6,7 @@ from tenderlake.operators.dom import Page, Selector
 from tenderlake.operators.extract import extract_items, extract_notices, page_links
 from tenderlake.plans.catalog.extraction import task
 from tenderlake.sources.pages import decode_pages
-from tenderlake.sources.recipes import Recipe, load_recipes, read_recipes
+from tenderlake.sources.recipes import Recipe, load_recipes, parse_recipes, read_recipes
 
 HTML = """<!DOCTYPE html><html><body class="a b"><!-- <p>no</p> --><script>var t="</p><p>x";</script>
 <table id="t"><tr><td>1<td>A &amp; B<td>pp<tr><td>2</td><td>C</td><td>pe</td></table>
@@ -142,13 +142,11 @@ def test_read_recipes(spark):
     assert forms == [{"area": "10", "__EVENTTARGET": "", "from": "$today"}]
 
 
-def test_recipe_with_a_foreign_selector_is_refused(spark):
-    tasks, _ = read_recipes(spark, "tests/fixtures/recipes")
-    bad = tasks.sparkSession.createDataFrame([("x", '{"routine":[{"id":"GET_LINKS","selectors":{"link":"a, b"}}]}')], "recipe_id string, body string")
-    from tenderlake.sources.recipes import parse_recipes
-
+@pytest.mark.parametrize("task", ['"selectors":{"link":"a, b"}', '"patterns":{"number":"[^]"}'])
+def test_foreign_selectors_and_patterns_are_refused(spark, task):
+    bodies = spark.createDataFrame([("x", '{"routine":[{"id":"GET_LINKS",%s}]}' % task)], "recipe_id string, body string")
     with pytest.raises(ValueError):
-        load_recipes(parse_recipes(bad)[0])
+        load_recipes(parse_recipes(bodies)[0])
 
 
 def test_decode(spark):

@@ -102,6 +102,9 @@ def test_resolve_url(spark):
         ("", "http://a.example/b/c/d.html?q=1"),
         ("my file's.pdf", "http://a.example/b/c/my%20file%27s.pdf"),
         ("javascript:f('a b')", "javascript:f('a b')"),
+        (" \n/x ", "http://a.example/x"),
+        ("docs\\a.pdf?f=\\b", "http://a.example/b/c/docs/a.pdf?f=%5Cb"),
+        ("/a?b=1\n2#c", "http://a.example/a?b=1%0A2#c"),
         (None, None),
     ]
     check(spark, text.resolve_url, [((base, link), want) for link, want in links], "b string, l string")
