@@ -127,13 +127,16 @@ def _absolute(url: Column) -> Column:
     return F.concat(F.lower(head), _without_dots(rest), tail)
 
 
+def _site(base: Column) -> Column:
+    return F.lower(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
+
+
 def _joined(base: Column, link: Column) -> Column:
-    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
-    authority = F.lower(F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/?#]*)", 1))
+    scheme = F.lower(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1))
     path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     path = F.when(path == "", "/").otherwise(path)
     query = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
-    site = F.concat(scheme, authority)
+    site = _site(base)
     folder = F.regexp_extract(path, r"(?s)^(.*/)", 1)
     link_path = F.regexp_extract(link, r"^([^?#]*)", 1)
     link_tail = F.regexp_extract(link, r"(?s)^[^?#]*(.*)", 1)
@@ -150,8 +153,13 @@ def _joined(base: Column, link: Column) -> Column:
 
 
 def resolve_url(base: Column, link: Column) -> Column:
-    """Absolute form of ``link`` seen from the page at ``base``."""
-    return once(_cleaned(link), lambda clean: once(_joined(base, clean), lambda url: _escaped(url, clean)))
+    """Absolute form of ``link`` seen from the page at ``base``.
+
+    Most links are paths from the root that need no work; the full rules run for the others only.
+    """
+    plain = link.rlike(r"^/(?!/)[!#-&(-;=?-\[\]_a-z~\u00A1-\u167F]*\z") & ~link.contains("/.")
+    worked = once(_cleaned(link), lambda clean: once(_joined(base, clean), lambda url: _escaped(url, clean)))
+    return F.when(plain, F.concat(_site(base), link)).otherwise(worked)
 
 
 def path_name(col: Column, include_ext: bool) -> Column:
