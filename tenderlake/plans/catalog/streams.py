@@ -48,9 +48,8 @@ def stream_progress(t: Tables) -> DataFrame:
 )
 def stream_task_state(t: Tables) -> DataFrame:
     root = scratch_path(t.spark, "task-state")
-    run = jobs.stream_task_state(t.updates(_stream(t, "events")), root)
-    run.awaitTermination()
-    return jobs.current_state(t.spark, root, run)
+    jobs.stream_task_state(t.updates(_stream(t, "events")), root).awaitTermination()
+    return jobs.current_state(t.spark, root)
 
 
 @query(DUE_SQL)

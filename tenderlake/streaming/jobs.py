@@ -47,9 +47,20 @@ def output(spark, root: str, schema) -> DataFrame:
     return read_table(spark, os.path.join(root, "out"), schema)
 
 
-def _drop(spark, path: str) -> None:
+def _files(spark, path: str):
+    """The path and its file system."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _drop(spark, path: str) -> None:
+    target, files = _files(spark, path)
+    files.delete(target, True)
+
+
+def _last_version(spark, root: str, name: str) -> int:
+    target, files = _files(spark, os.path.join(root, name))
+    return max(int(f.getPath().getName().removeprefix("batch=")) for f in files.listStatus(target))
 
 
 def _advance(df: DataFrame, root: str, batch: int) -> None:
@@ -153,11 +164,9 @@ def stream_task_state(
     return _start(updates, root, step)
 
 
-def current_state(spark, root: str, query: StreamingQuery, fields: list[str] = STATE_FIELDS) -> DataFrame:
-    """The state after the query's last batch."""
-    progress = query.lastProgress
-    path = _version(root, "state", progress.batchId if progress else 0)
-    state = spark.read.parquet(path)
+def current_state(spark, root: str, fields: list[str] = STATE_FIELDS) -> DataFrame:
+    """The state after the last batch."""
+    state = spark.read.parquet(_version(root, "state", _last_version(spark, root, "state")))
     return state.select("task", *[F.col(f"{f}.{f}").alias(f) for f in fields])
 
 

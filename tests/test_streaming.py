@@ -69,9 +69,9 @@ def test_task_state_leaves_and_starts_anew(spark, tmp_path):
     for low, high in ((1, 3), (4, 4), (5, 5)):
         df.filter(F.col("seq").between(low, high)).coalesce(1).write.mode("append").parquet(path)
         stream = spark.readStream.schema(df.schema).parquet(path)
-        run = jobs.stream_task_state(stream, str(tmp_path / "job"))
-        run.awaitTermination()
-        state = jobs.current_state(spark, str(tmp_path / "job"), run)
+        for _ in range(2):  # the second start finds nothing new
+            jobs.stream_task_state(stream, str(tmp_path / "job")).awaitTermination()
+        state = jobs.current_state(spark, str(tmp_path / "job"))
         seen.append({r.task: (r.running, r.code, r.message) for r in state.collect()})
     assert seen == [
         {1: (False, 203, "one"), 2: (True, 204, "two")},
