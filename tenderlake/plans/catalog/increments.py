@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tenderlake.operators import chains
 from tenderlake.operators import incremental as D
 from tenderlake.operators.extract import extract_notices
+from tenderlake.operators.joins import lookup
 from tenderlake.plans.batch import run_batch
 from tenderlake.plans.catalog import query
 from tenderlake.plans.catalog.extraction import SITE_RECIPE
@@ -40,7 +41,7 @@ def prior_index(t: Tables) -> DataFrame:
         F.col("o_orderkey").alias("o"),
     )
     index = D.prior_index(stored, "o").drop("o")
-    return index.join(D.prior_counts(index), "scraper")
+    return lookup(index, D.prior_counts(index), ["scraper"], "inner")
 
 
 @query(

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+
+from tenderlake.operators.ordered import with_previous
 
 SITE = r"^([a-z]+://[^/?#]+)"
 
@@ -78,10 +79,11 @@ class Tables:
     def chain_pages(self) -> DataFrame:
         """Pages of a host in sequence, each naming the next."""
         listed = self.items().filter("pos = 0").select("page_id", F.col("scraper").alias("host"), "url")
-        w = Window.partitionBy("host").orderBy("page_id")
-        return listed.select(
-            "page_id", "host", "url", F.lead("url").over(w).alias("next_url"), (F.row_number().over(w) == 1).alias("is_seed")
-        )
+        # The page after is the page before in descending order; a host of many pages is cut into buckets.
+        ahead = with_previous(listed.withColumn("back", -F.col("page_id")), "host", "back", ["url"])
+        ahead = ahead.select("page_id", "host", "url", F.col("__prev.url").alias("next_url"))
+        behind = with_previous(ahead, "host", "page_id", ["page_id"])
+        return behind.withColumn("is_seed", F.col("__prev").isNull()).drop("__prev")
 
     def scrapers(self) -> DataFrame:
         last = self.orders.groupBy("o_custkey").agg(F.max("o_orderdate").alias("lastRunDate"))
