@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql.types import StructField, StructType
 
 from tenderlake.session import cut
 
-__all__ = ["add_columns", "cut", "free_name", "remainder", "training_rows"]
+__all__ = ["add_columns", "cut", "find_all", "free_name", "remainder", "training_documents"]
 
 
 def add_columns(
@@ -62,33 +63,39 @@ def remainder(doc_id: Column | str, modulus: int) -> Column:
     return F.crc32(column.cast("string")) % modulus
 
 
-def training_rows(
+def training_documents(
     documents: DataFrame, labels: DataFrame, target: str, modulus: int, held_out: int, sample: int
-) -> list[tuple[str, int]]:
-    """(text, label) of at most ``sample`` labelled documents outside the held-out fold.
+) -> DataFrame:
+    """(doc_id, text, label) of at most ``sample`` labelled documents outside the held-out fold, stored.
 
-    The sample is the bound of what a model is fitted on, and of what reaches the driver. It is taken by
-    hash of the id, so it is the same whatever the partitioning. Several labels of one document count as
-    their majority; documents with as many ones as zeros teach nothing.
+    The sample is the bound of what a model is fitted on. It is taken by hash of the id, so it is the same
+    whatever the partitioning. Several labels of one document count as their majority; documents with as
+    many ones as zeros teach nothing. Texts stay distributed: a single one may be very long.
     """
     votes = (
         labels.where(F.col("doc_id").isNotNull() & F.col(target).isin(0, 1))
         .where(remainder("doc_id", modulus) != held_out)
         .groupBy("doc_id")
-        .agg(F.avg(F.col(target).cast("double")).alias("__vote"))
-        .where(F.col("__vote") != 0.5)
-        .select("doc_id", (F.col("__vote") > 0.5).cast("int").alias("__label"))
+        .agg(F.avg(F.col(target).cast("double")).alias("vote"))
+        .where("vote <> 0.5")
+        .select("doc_id", (F.col("vote") > 0.5).cast("int").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
     )
-    # At most ``sample`` rows of two numbers: small enough for any executor.
-    rows = (
-        documents.select("doc_id", F.coalesce("text", F.lit("")).alias("__text"))
-        .join(F.broadcast(votes), "doc_id")
+    return cut(
+        documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        .join(F.broadcast(votes), "doc_id")  # at most ``sample`` rows of two numbers
         .groupBy("doc_id")
-        .agg(F.min("__text").alias("__text"), F.first("__label").alias("__label"))
+        .agg(F.min("text").alias("text"), F.first("label").alias("label"))
     )
-    return sorted((row["__text"], row["__label"]) for row in rows.collect())
+
+
+def find_all(pattern: re.Pattern, text: str) -> Iterator[list[str]]:
+    """Matches of a pattern in lists: one for an ordinary text, several for a very long one."""
+    if len(text) <= 1_000_000:
+        yield pattern.findall(text)
+    else:
+        yield from batches_of((m.group() for m in pattern.finditer(text)), 100_000)
 
 
 def batches_of(values: Iterable, size: int) -> Iterator[list]:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.llm import bpe, jaccard, mixing, pii
+from tenderlake.llm import bpe, html, jaccard, mixing, neighbours, pii, quality, topk, toxicity, urls
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -15,6 +15,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, folder, "embeddings"))
+
+
 def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path(TOKENIZER)
     encoded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), path).drop("text")
@@ -31,10 +39,23 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents).drop("text")
 
 
+def op5_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_products(table(spark, folder, "embeddings"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, folder, "documents"), words=3, percent=90)
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op8_html(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return html.main_text(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, folder, "documents").select("doc_id", "text"))
     digest = "concat_ws(',', transform({}, x -> concat_ws(':', x.kind, x.start, x.end)))"
@@ -50,11 +71,21 @@ def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge_urls(table(spark, folder, "pages"))
+
+
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_neighbours": op2_neighbours,
     "op3_bpe": op3_bpe,
     "op4_mixing": op4_mixing,
+    "op5_topk": op5_topk,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_toxicity": op7_toxicity,
+    "op8_html": op8_html,
     "op9_pii": op9_pii,
+    "op10_urls": op10_urls,
 }
 
-ORACLES = {"op4_mixing": mixing.ORACLE_SQL}
+ORACLES = {"op4_mixing": mixing.ORACLE_SQL, "op5_topk": topk.ORACLE_SQL}
