@@ -57,7 +57,7 @@ def list_archives(archives: DataFrame) -> DataFrame:
     def rows(archive_id: str, body: bytes | None) -> Iterator[tuple]:
         try:
             names = zipfile.ZipFile(io.BytesIO(body or b"")).infolist()
-        except zipfile.BadZipFile:
+        except (zipfile.BadZipFile, UnicodeDecodeError, NotImplementedError, OverflowError, ValueError):
             yield archive_id, None, None, None, "not_built" if (body or b"")[:4] == b"Rar!" else "unreadable"
             return
         files = sorted((i.filename, i.file_size) for i in names if not i.is_dir())

@@ -9,17 +9,20 @@ from tenderlake.operators.joins import lookup
 from tenderlake.session import cut
 
 
-def page_chain(pages: DataFrame, seed: Column, max_depth: int = 1024) -> DataFrame:
+def page_chain(pages: DataFrame, seed: Column) -> DataFrame:
     """Pages reached from each seed by following ``next_url``: ``(seed_url, url, depth)``, depth from 1.
 
-    A chain stops at a missing or unknown next page, at an address it already holds, or at
-    ``max_depth``. Jumps double each round, so a chain of n pages takes log2(n) rounds of joins rather
-    than n. Each round is materialised: the plan stays short and a lost executor costs one round.
+    A chain stops at a missing or unknown next page, or at an address it already holds. Of several fetches
+    of an address the last (``page_id``) counts. Jumps double each round, so a chain of n pages takes
+    log2(n) rounds of joins rather than n; the rounds end when one reaches no new page. Each round is
+    materialised: the plan stays short and a lost executor costs one round.
     """
+    order = F.col("page_id") if "page_id" in pages.columns else F.coalesce("next_url", F.lit(""))
     links = cut(
-        pages.select("url", "next_url", seed.alias("is_seed"))
+        pages.withColumn("is_seed", seed)
         .groupBy("url")
-        .agg(F.max("next_url").alias("next_url"), F.max("is_seed").alias("is_seed"))
+        .agg(F.max_by(F.struct("next_url"), order).alias("last"), F.max("is_seed").alias("is_seed"))
+        .select("url", "last.next_url", "is_seed")
     )
     # Only pages that were fetched can be stepped on.
     steps = lookup(
@@ -30,10 +33,11 @@ def page_chain(pages: DataFrame, seed: Column, max_depth: int = 1024) -> DataFra
     )
     seeds = links.filter("is_seed").select(F.col("url").alias("start"), "url")
     state = cut(_round(seeds.withColumn("depth", F.lit(1)), steps))
-    span = 1  # the jumps lead this many pages ahead
-    while span < max_depth:
+    span, size = 1, 0  # the jumps lead ``span`` pages ahead
+    while True:
         reached, jumps = (state.filter(F.col("is_jump") == flag).drop("is_jump") for flag in (False, True))
-        if jumps.isEmpty():
+        before, size = size, reached.count()
+        if size == before or jumps.isEmpty():
             break
         ahead = jumps.select(F.col("start").alias("url"), F.col("url").alias("end"))
         further = lookup(reached, ahead, ["url"], "inner").select(
@@ -44,8 +48,7 @@ def page_chain(pages: DataFrame, seed: Column, max_depth: int = 1024) -> DataFra
         jumps = lookup(jumps, ahead, ["url"], "inner").select("start", F.col("end").alias("url"))
         state = cut(_round(reached, jumps))
         span *= 2
-    chain = state.filter(~F.col("is_jump") & (F.col("depth") <= max_depth))
-    return chain.select(F.col("start").alias("seed_url"), "url", "depth")
+    return state.filter(~F.col("is_jump")).select(F.col("start").alias("seed_url"), "url", "depth")
 
 
 def _round(reached: DataFrame, jumps: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from tenderlake.functions.text import is_uri, present, resolve_url
 from tenderlake.operators.joins import distinct_keys, lookup
 
 IDENTITY = ["scraper", "_hash"]
-MAX_NAMED = 1000
+BUCKET, BUCKETS = "scraper_bucket", 256
 
 
 def identified(items: DataFrame) -> DataFrame:
@@ -20,13 +20,18 @@ def identified(items: DataFrame) -> DataFrame:
 def prior_of(items: DataFrame, results: DataFrame) -> DataFrame:
     """The stored results of the scrapers in a (materialised) run.
 
-    A run of few scrapers names them, so only their partitions of the table are read; a run of many
-    reads the table as a whole.
+    Where the table is stored in buckets of scrapers, only those are read that the run has a scraper of.
+    There are ``BUCKETS`` of them, however many scrapers.
     """
-    names = items.select("scraper").filter(F.col("scraper").isNotNull()).distinct().limit(MAX_NAMED + 1).collect()
-    if len(names) > MAX_NAMED:
+    if BUCKET not in results.columns:
         return results
-    return results.filter(F.col("scraper").isin([r.scraper for r in names]))
+    wanted = items.select(scraper_bucket().alias("bucket")).distinct().collect()
+    return results.filter(F.col(BUCKET).isin([row.bucket for row in wanted])).drop(BUCKET)
+
+
+def scraper_bucket() -> Column:
+    """The bucket of a stored row's scraper."""
+    return F.pmod(F.xxhash64("scraper"), F.lit(BUCKETS)).cast("int")
 
 
 def prior_index(results: DataFrame, order: str) -> DataFrame:
@@ -70,7 +75,8 @@ def resolve_links(
 
     Where that link is a valid URI, or the site has no postbacks, all links resolve against the page.
     Else they are event targets: the final address comes from ``responses(page_url, event_target,
-    final_url)``, NULL while no response is known.
+    final_url)``, NULL while no response is known. Of several responses the last by ``seq`` counts, where
+    they have one.
     """
     aspnet = F.lit(False) if aspnet is None else aspnet
     # The first link travels by aggregate and lookup, not by a window: no task sorts a whole page group.
@@ -84,7 +90,7 @@ def resolve_links(
     known = (
         responses.groupBy(
             F.col("page_url").alias("url"), F.col("event_target").alias("link")
-        ).agg(F.max("final_url").alias("__final"))
+        ).agg(F.max_by("final_url", "seq" if "seq" in responses.columns else "final_url").alias("__final"))
     )
     joined = lookup(rows, known, ["url", "link"], "left")
     return joined.withColumn("resolved", F.when(direct, absolute).otherwise(F.col("__final"))).drop(
@@ -96,13 +102,15 @@ def join_details(items: DataFrame, details: DataFrame, link: str = "link") -> Da
     """Items with the detail page their link names, as ``detail``.
 
     ``details`` holds small rows taken from the pages (no html). Of several fetches of an address the
-    last one counts, as a request would return it.
+    last one counts, as a request would return it. Where both sides name a ``recipe_id``, an item takes
+    what its own recipe read from the page.
     """
-    rest = [c for c in details.columns if c != "url"]
-    last = details.groupBy(F.col("url").alias(link)).agg(
+    keys = [c for c in ("recipe_id",) if c in items.columns and c in details.columns]
+    rest = [c for c in details.columns if c not in ("url", *keys)]
+    last = details.groupBy(*keys, F.col("url").alias(link)).agg(
         F.max_by(F.struct(*rest), F.col("page_id")).alias("detail")
     )
-    return lookup(items, last, [link], "inner")
+    return lookup(items, last, [*keys, link], "inner")
 
 
 def frontier(items: DataFrame, pages: DataFrame, link: str = "link") -> DataFrame:
@@ -112,6 +120,21 @@ def frontier(items: DataFrame, pages: DataFrame, link: str = "link") -> DataFram
     return wanted.join(fetched, "link", "left_anti")
 
 
+def postback_requests(resolved: DataFrame, forms: DataFrame) -> DataFrame:
+    """Requests for the links that no response answers yet: page, event target, and the form to send.
+
+    ``forms`` holds the hidden state of the listing pages (``form_state``); of several fetches the last
+    counts, and a page whose form is not known is asked with the event target alone.
+    """
+    keys = [c for c in ("recipe_id", "url") if c in resolved.columns and c in forms.columns]
+    last = forms.groupBy(*keys).agg(F.max_by("form", "page_id").alias("form"))
+    open_links = resolved.filter(F.col("resolved").isNull() & present(F.col("link")))
+    asked = open_links.select(*keys, F.col("link").alias("event_target")).distinct()
+    target = F.create_map(F.lit("__EVENTTARGET"), F.col("event_target"))
+    state = F.map_filter(F.coalesce("form", F.map_from_arrays(F.array(), F.array()).cast("map<string,string>")), lambda k, v: k != "__EVENTTARGET")
+    return lookup(asked, last, keys, "left").withColumn("form", F.map_concat(state, target))
+
+
 def enrich(notices: DataFrame, run_ts: Column, website: str = "url") -> DataFrame:
     """Complete notices for storing. The run's time is given, so a repeat yields the same rows."""
     return notices.withColumns(

@@ -9,8 +9,10 @@ _KEY = "__lookup_key"
 
 
 def lookup_key(*names: str) -> Column:
-    """One text from the key columns, NULL if any of them is NULL."""
-    return F.concat(*(part for name in names for part in (F.lit("\x1f"), F.col(name))))
+    """One text from the key columns, NULL if any of them is NULL. Each value has its length in front, so
+    no two keys give the same text."""
+    texts = [F.col(name).cast("string") for name in names]
+    return F.concat(*(part for text in texts for part in (F.length(text), F.lit(":"), text)))
 
 
 def lookup(left: DataFrame, table: DataFrame, keys: list[str], how: str) -> DataFrame:

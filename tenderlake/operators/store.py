@@ -13,8 +13,9 @@ INTERNAL = "__v"
 
 
 def usable_id(col: Column) -> Column:
-    """Ids must be given and must not read as a number."""
-    return present(col) & F.trim(col).try_cast("double").isNull()
+    """Ids must be given and must not be written as a number: decimal, or 0x, 0o, 0b, or infinite."""
+    number = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|0[xX][0-9A-Fa-f]+|0[oO][0-7]+|0[bB][01]+|[+-]?Infinity"
+    return present(col) & ~col.rlike(rf"^\s*(?:{number})?\s*$")
 
 
 def find_scrapers(scrapers: DataFrame, **equal) -> DataFrame:

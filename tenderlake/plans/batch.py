@@ -7,12 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenderlake.operators.extract import extract_items, extract_notices
+from tenderlake.operators.extract import extract_items, extract_notices, form_state
 from tenderlake.operators.incremental import (
     enrich,
     frontier,
     join_details,
     new_items,
+    postback_requests,
     prior_of,
     resolve_links,
 )
@@ -21,7 +22,7 @@ from tenderlake.session import cut
 from tenderlake.sources.recipes import Recipe
 from tenderlake.sources.results import append_results, with_defaults
 
-MAX_BROADCAST_BYTES = 256 << 20
+FILTER_WORDS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -31,28 +32,52 @@ class Batch:
     items: DataFrame
     notices: DataFrame
     to_fetch: DataFrame
+    to_post: DataFrame
     stats: DataFrame
 
 
+def assign_recipes(pages: DataFrame, recipes: list[Recipe]) -> DataFrame:
+    """Pages with the recipe that reads them: their own ``recipe_id``, else the only recipe, else the one of
+    their site. Pages of no recipe's site drop out; several recipes of one site each get the page."""
+    if "recipe_id" in pages.columns:
+        return pages
+    if len(recipes) == 1:
+        return pages.withColumn("recipe_id", F.lit(recipes[0].recipe_id))
+    sites = pages.sparkSession.createDataFrame([(r.recipe_id, r.base_uri) for r in recipes], "recipe_id string, base string")
+    sites = sites.select("recipe_id", site(F.col("base")).alias("__site")).filter("__site <> ''")
+    # The recipes are in the driver's memory as it is.
+    return pages.withColumn("__site", site(F.col("url"))).join(F.broadcast(sites), "__site").drop("__site")
+
+
+def site(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1))
+
+
 def wanted_pages(resolved: DataFrame, pages: DataFrame) -> DataFrame:
-    """The pages that (materialised) links ask for.
+    """The pages that (materialised) links ask for, and perhaps a few more.
 
-    While all wanted addresses fit a broadcast, measured here, the others drop out before they are parsed.
-    Beyond that all pages stay: parsing more of them in place costs less than shuffling their html.
+    The others drop out where they are read, before they are parsed, by a bit set of address hashes. It has
+    ``FILTER_WORDS`` words however many links there are; a page it lets through in error meets no link later.
     """
-    wanted = resolved.select(F.col("resolved").alias("url")).filter("url IS NOT NULL").distinct()
-    size = wanted.agg(F.sum(F.octet_length("url") + 64)).first()[0] or 0
-    if size > MAX_BROADCAST_BYTES:
-        return pages
-    return pages.join(F.broadcast(wanted), "url", "left_semi")
+    hashed = F.xxhash64("url")
+    word = F.pmod(hashed, F.lit(FILTER_WORDS))
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(xxhash64(url), 58) as int))")
+    wanted = resolved.select(F.col("resolved").alias("url")).filter("url IS NOT NULL")
+    bits = wanted.groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    return (
+        pages.withColumn("__word", word)
+        .join(F.broadcast(bits), "__word")
+        .filter(F.col("__bits").bitwiseAND(bit) != 0)
+        .drop("__word", "__bits")
+    )
 
 
 def new_notices(resolved: DataFrame, detail_pages: DataFrame, recipes: list[Recipe], run_ts: Column) -> DataFrame:
     """Complete result rows for items whose detail page is there."""
     # The detail pages shrink to their notice fields where they are read; only those are shuffled.
-    pages = wanted_pages(resolved, detail_pages)
-    details = extract_notices(pages, recipes).drop("scraper", "recipe_id")
-    joined = join_details(resolved.select("scraper", "_hash", "resolved"), details, "resolved")
+    pages = assign_recipes(wanted_pages(resolved, detail_pages), recipes)
+    details = extract_notices(pages, recipes).drop("scraper")
+    joined = join_details(resolved.select("scraper", "_hash", "recipe_id", "resolved"), details, "resolved")
     notices = joined.select("scraper", "_hash", F.col("resolved").alias("url"), "detail.*")
     return with_defaults(enrich(notices, run_ts))
 
@@ -66,7 +91,8 @@ def run_batch(
     responses: DataFrame | None = None,
 ) -> Batch:
     """Items, new ones, their links, their notices, and what is still to be fetched."""
-    items = cut(extract_items(list_pages, recipes))
+    listed = assign_recipes(list_pages, recipes)
+    items = cut(extract_items(listed, recipes))
     postback = [r.recipe_id for r in recipes if r.aspnet]
     aspnet = F.col("recipe_id").isin(postback) if postback else None
     stored = prior_of(items, results)
@@ -76,9 +102,21 @@ def run_batch(
         items,
         notices,
         frontier(resolved, detail_pages, "resolved"),
+        _to_post(resolved, listed, recipes, postback),
         run_stats(items, stored, notices),
     )
 
 
+def _to_post(resolved: DataFrame, listed: DataFrame, recipes: list[Recipe], postback: list[str]) -> DataFrame:
+    """Postback requests of the recipes of such sites; only their pages are read again for their forms."""
+    asked = [r for r in recipes if r.recipe_id in postback]
+    forms = form_state(listed.filter(F.col("recipe_id").isin(postback)), asked)
+    open_links = resolved.filter(F.col("recipe_id").isin(postback))
+    return postback_requests(open_links, forms).join(
+        resolved.sparkSession.createDataFrame([(r.recipe_id, r.delay) for r in asked], "recipe_id string, wait_ms string"),
+        "recipe_id",
+    )
+
+
 def store_batch(batch: Batch, path: str) -> None:
     append_results(batch.notices, path)

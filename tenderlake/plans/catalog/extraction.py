@@ -154,11 +154,11 @@ def results_defaults(t: Tables) -> DataFrame:
     return _stored(with_defaults(_partial_results(t)))
 
 
-@query(RESULT_SQL.format(source="(SELECT * REPLACE (agency AS scraper) FROM v_result)"))
+@query(RESULT_SQL.format(source="v_result"))
 def results_append(t: Tables) -> DataFrame:
     """Three appends, of which the last repeats all rows: nothing is stored twice."""
     path = scratch_path(t.spark, "results")
-    rows = with_defaults(_partial_results(t).withColumn("scraper", F.col("agency")))
+    rows = with_defaults(_partial_results(t))
     append_new(rows.filter("modality < 4"), path)
     append_new(rows.filter("modality >= 4"), path)
     append_new(rows, path)

@@ -115,10 +115,10 @@ def frontier(t: Tables) -> DataFrame:
 @query(
     """
     WITH RECURSIVE {views} chain AS (
-      SELECT url AS seed_url, url, next_url, 1 AS depth FROM v_chain WHERE is_seed
+      SELECT url AS seed_url, url, next_url, 1 AS depth, [url] AS path FROM v_chain WHERE is_seed
       UNION ALL
-      SELECT c.seed_url, v.url, v.next_url, c.depth + 1 FROM chain c JOIN v_chain v ON v.url = c.next_url
-      WHERE c.depth < 1024)
+      SELECT c.seed_url, v.url, v.next_url, c.depth + 1, list_append(c.path, v.url)
+      FROM chain c JOIN v_chain v ON v.url = c.next_url WHERE NOT list_contains(c.path, v.url))
     SELECT c.seed_url, c.url, c.depth, n.n_items
     FROM chain c JOIN (SELECT url, count(*) AS n_items FROM v_items GROUP BY url) n ON n.url = c.url
     """

@@ -15,7 +15,7 @@ from tenderlake.operators.runs import REPORT_TEMPLATE, render_report
 from tenderlake.operators.store import finish_runs, start_runs
 from tenderlake.plans.batch import Batch, run_batch, store_batch
 from tenderlake.session import build_session
-from tenderlake.sources.recipes import Recipe, load_recipes, read_recipes
+from tenderlake.sources.recipes import Recipe, compile_recipes, read_recipes
 from tenderlake.sources.results import read_results
 
 
@@ -52,14 +52,23 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     parser = argparse.ArgumentParser(description=__doc__)
     for name in ("recipes", "list-pages", "detail-pages", "results", "frontier", "reports", "run-ts"):
         parser.add_argument(f"--{name}", required=True)
+    parser.add_argument("--requests", help="where to write the postback requests that no response answers yet")
+    parser.add_argument("--responses", help="answers to postback requests: page_url, event_target, final_url")
+    parser.add_argument("--rejects", help="where to write the recipes that cannot run, with the reason")
     parser.add_argument("--site", default="", help="address in front of a scraper's id in its report")
     given = parser.parse_args(arguments)
     spark = spark or build_session()
-    recipes = load_recipes(read_recipes(spark, given.recipes)[0])
+    tasks, unread = read_recipes(spark, given.recipes)
+    recipes, unsupported = compile_recipes(tasks)
+    if given.rejects:
+        unread.unionByName(unsupported).write.mode("overwrite").parquet(given.rejects)
+    responses = spark.read.parquet(given.responses) if given.responses else None
     pages = [spark.read.parquet(p) for p in (given.list_pages, given.detail_pages)]
     moment = F.lit(given.run_ts).cast("timestamp_ntz")
-    batch = run_batch(*pages, recipes, read_results(spark, given.results), moment)
+    batch = run_batch(*pages, recipes, read_results(spark, given.results), moment, responses)
     store_batch(batch, given.results)
+    if given.requests:
+        batch.to_post.write.mode("overwrite").parquet(given.requests)
     batch.to_fetch.write.mode("overwrite").parquet(given.frontier)
     reports(batch, given.run_ts, given.site).write.mode("overwrite").parquet(given.reports)
 

@@ -10,12 +10,17 @@ UTF_8 = ("utf8",)
 ASCII = ("ascii", "usascii")
 LATIN_1 = ("latin1", "iso88591")
 WINDOWS_1252 = ("windows1252", "win1252", "cp1252")
-CHARSETS = UTF_8 + ASCII + LATIN_1 + WINDOWS_1252
+LATIN_9 = ("latin9", "iso885915")
+CHARSETS = UTF_8 + ASCII + LATIN_1 + LATIN_9 + WINDOWS_1252
 
 # Windows-1252 is ISO-8859-1 but for the bytes of its control characters.
 _CONTROLS = bytes(b for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore"))
 
 
+# ISO-8859-15 is ISO-8859-1 but for eight signs.
+_REPLACED = bytes(b for b in range(0xA0, 0x100) if bytes([b]).decode("iso8859-15") != chr(b))
+
+
 def _name(charset: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(charset, F.lit("utf-8"))), "[^a-z0-9]", "")
 
@@ -28,6 +33,7 @@ def _decoded(body: Column, name: Column) -> Column:
         F.when(name.isin(*UTF_8), F.ltrim(F.make_valid_utf8(body.cast("string")), F.lit("\ufeff")))
         .when(name.isin(*LATIN_1), latin)
         .when(name.isin(*WINDOWS_1252), windows)
+        .when(name.isin(*LATIN_9), F.translate(latin, _REPLACED.decode("latin-1"), _REPLACED.decode("iso8859-15")))
         .when(name.isin(*ASCII), F.regexp_replace(latin, "[^\\x00-\\x7F]", "\ufffd"))
     )
 

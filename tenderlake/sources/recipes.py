@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from tenderlake.operators.dom import Selector
 from tenderlake.schemas import RECIPE
 
-# Recipes are configuration that every task holds in memory; a larger set is refused, not cut.
-MAX_RECIPE_BYTES = 64 << 20
-
 
 def parse_recipes(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(recipe_id, body)`` rows to task rows, and the rejected recipes with a reason."""
@@ -90,6 +87,8 @@ class Recipe:
     charset: str | None = None
     aspnet: bool = False
     tasks: tuple[Task, ...] = field(default=())
+    base_uri: str | None = None
+    delay: str | None = None
 
     def task(self, task_id: str) -> Task | None:
         return next((t for t in self.tasks if t.id == task_id), None)
@@ -100,31 +99,44 @@ def pattern_groups(spark: SparkSession, pattern: str) -> int:
     return spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern).matcher("").groupCount()
 
 
-def load_recipes(tasks: DataFrame) -> list[Recipe]:
-    """Compile task rows on the driver. Unsupported selectors or patterns raise here."""
-    size = tasks.agg(
-        F.coalesce(F.sum(F.length(F.to_json(F.struct("selectors", "patterns")))), F.lit(0))
-    ).first()[0]
-    if size > MAX_RECIPE_BYTES:
-        raise ValueError(f"recipes hold {size} characters, limit is {MAX_RECIPE_BYTES}")
+def compile_recipes(tasks: DataFrame) -> tuple[list[Recipe], DataFrame]:
+    """Recipes compiled on the driver, and the rejected ones with a reason.
+
+    A recipe with a selector or pattern that is not supported is rejected whole; the others run.
+    """
+    spark = tasks.sparkSession
     rows = tasks.filter(F.col("task_idx").isNotNull()).orderBy("recipe_id", "task_idx").collect()
     recipes: dict[str, Recipe] = {}
+    rejected: dict[str, str] = {}
     for row in rows:
-        patterns = row.patterns or {}
-        for name, pattern in patterns.items():
-            try:
-                pattern_groups(tasks.sparkSession, pattern)
-            except IllegalArgumentException as error:
-                raise ValueError(f"pattern not supported in {row.recipe_id}: {name}") from error
-        task = Task(
-            row.task_id,
-            row.is_list,
-            row.pagination,
-            {k: tuple(Selector(s) for s in v) for k, v in (row.selectors or {}).items()},
-            patterns,
-        )
+        try:
+            task = _compile(spark, row)
+        except ValueError as error:
+            rejected.setdefault(row.recipe_id, str(error))
+            continue
         known = recipes.get(row.recipe_id)
         recipes[row.recipe_id] = Recipe(
-            row.recipe_id, row.charset, bool(row.aspnet), (known.tasks if known else ()) + (task,)
+            row.recipe_id, row.charset, bool(row.aspnet), (known.tasks if known else ()) + (task,), row.baseURI, row.delay
         )
-    return list(recipes.values())
+    kept = [recipe for name, recipe in recipes.items() if name not in rejected]
+    return kept, spark.createDataFrame(sorted(rejected.items()), "recipe_id string, reason string")
+
+
+def _compile(spark: SparkSession, row) -> Task:
+    patterns = row.patterns or {}
+    for name, pattern in patterns.items():
+        try:
+            pattern_groups(spark, pattern)
+        except IllegalArgumentException as error:
+            raise ValueError(f"pattern not supported in {row.recipe_id}: {name}") from error
+    selectors = {k: tuple(Selector(s) for s in v) for k, v in (row.selectors or {}).items()}
+    return Task(row.task_id, row.is_list, row.pagination, selectors, patterns)
+
+
+def load_recipes(tasks: DataFrame) -> list[Recipe]:
+    """All recipes, compiled; the first that is not supported raises."""
+    recipes, rejects = compile_recipes(tasks)
+    first = rejects.first()
+    if first:
+        raise ValueError(first.reason)
+    return recipes

@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tenderlake.operators.extract import extract_items
-from tenderlake.operators.incremental import new_items, prior_of
+from tenderlake.operators.incremental import BUCKET, new_items, prior_of, scraper_bucket
 from tenderlake.operators.ordered import BUCKET_WIDTH
 from tenderlake.operators.runs import STATE_FIELDS, changed_progress
 from tenderlake.operators.schedules import due
 from tenderlake.session import cut
 from tenderlake.sources.recipes import Recipe
-from tenderlake.sources.results import read_table
+from tenderlake.sources.results import read_buckets, read_table
 
 RETENTION_SECONDS = 5
 
@@ -47,6 +47,15 @@ def output(spark, root: str, schema) -> DataFrame:
     return read_table(spark, os.path.join(root, "out"), schema)
 
 
+def _state(spark, root: str, number: int, schema) -> DataFrame:
+    """The state before batch ``number``: empty before the first, and never silently lost after it."""
+    path = _version(root, "state", number - 1)
+    target, files = _files(spark, path)
+    if number > 0 and not files.exists(target):
+        raise FileNotFoundError(f"the state of batch {number - 1} is missing: {path}")
+    return read_table(spark, path, schema)
+
+
 def _files(spark, path: str):
     """The path and its file system."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -75,11 +84,11 @@ def new_items_step(recipes: list[Recipe], root: str, run: str) -> Callable[[Data
     def step(batch: DataFrame, number: int) -> None:
         items = cut(extract_items(batch, recipes))
         keyed = items.withColumns({"run": F.lit(run), "batch": F.lit(number)})
-        stored = read_table(batch.sparkSession, out, keyed.schema)
+        stored = read_buckets(batch.sparkSession, out, keyed.schema)
         earlier = stored.filter((F.col("run") != run) | (F.col("batch") < number))
-        fresh = new_items(items, prior_of(items, earlier)).hint("rebalance", F.col("scraper"))
+        fresh = new_items(items, prior_of(items, earlier)).withColumn(BUCKET, scraper_bucket()).hint("rebalance", F.col(BUCKET))
         path = os.path.join(out, f"run={run}", f"batch={number}")
-        fresh.write.mode("overwrite").partitionBy("scraper").parquet(path)
+        fresh.write.mode("overwrite").partitionBy(BUCKET).parquet(path)
 
     return step
 
@@ -95,7 +104,7 @@ def stream_new_items(pages: DataFrame, recipes: list[Recipe], root: str, run: st
 def progress_step(root: str, width: int) -> Callable[[DataFrame, int], None]:
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        last = read_table(spark, _version(root, "state", number - 1), batch.schema)
+        last = _state(spark, root, number, batch.schema)
         rows = batch.withColumn("__old", F.lit(False)).unionByName(last.withColumn("__old", F.lit(True)))
         fresh = changed_progress(rows, width).filter(~F.col("__old")).drop("__old")
         fresh.write.mode("overwrite").parquet(_version(root, "out", number))
@@ -152,7 +161,7 @@ def stream_task_state(
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         empty = stamped_state(batch.limit(0), fields).withColumn("clock", F.lit(None).cast("timestamp_ntz"))
-        stored = read_table(spark, _version(root, "state", number - 1), empty.schema)
+        stored = _state(spark, root, number, empty.schema)
         times = batch.select("ts").unionByName(stored.select(F.col("clock").alias("ts")))
         clock = F.lit(str(times.agg(F.max("ts")).first()[0])).try_cast("timestamp_ntz")
         rows = batch.select("task", "seq", "ts", *fields).unionByName(_as_updates(stored, fields))

@@ -106,15 +106,15 @@ def test_recipe_of_the_page(spark):
 
 
 def test_notice_of_a_page(spark):
-    body = """<body><h1>Edital</h1><div class="c">Número: 7/2017
-        Abertura de Propostas:  03/03/2017  Modalidade <i>PP</i></div><a class="d" href="e.PDF">baixar</a></body>"""
+    body = """<body><h1>Edital</h1><div class="c">Notice No. 7-2017
+        opens  03/03/2017  kind <i>PP</i></div><a class="d" href="e.PDF">baixar</a></body>"""
     details = task(
         "GET_DETAILS",
         {"container": "div.c", "modality": ["u", "i"], "link": "a.d", "publishDate": "u"},
-        {"number": r"(?:Número): (\d{1,}/\d{4})", "openDate": r"(?:Propostas\:\s*)(\d{2}/\d{2}/\d{4})"},
+        {"number": r"No\. (?:de )?([0-9]+-[0-9]+)", "openDate": r"(?:opens|from) *([0-9/]{10})"},
     )
     row = extract_notices(pages(spark, body), [Recipe("r", "utf-8", False, (details,))]).first()
-    assert (row.number, row.modality, str(row.openDate), row.publishDate) == ("7/2017", 0, "2017-03-03 03:00:00", None)
+    assert (row.number, row.modality, str(row.openDate), row.publishDate) == ("7-2017", 0, "2017-03-03 03:00:00", None)
     assert (row.description, row.agency) == ("", "")
     assert tuple(row.download) == ("e.PDF", "http://h.example/l/e.PDF", "e.PDF", "PDF")
 

@@ -84,8 +84,19 @@ def test_chain(spark):
         "e0": {1: "e0"},
         "f0": {1: "f0"},
     }
-    short = chains.page_chain(pages, F.col("is_seed"), max_depth=5)
-    assert short.groupBy("seed_url").agg(F.max("depth")).filter("seed_url = 'a0'").first()[1] == 5
+
+
+def test_long_chain_and_last_fetch(spark):
+    """A chain and a cycle of well over a thousand pages; an older fetch names another next page."""
+    rows = [(i, f"a{i:04}", f"a{i + 1:04}", i == 0) for i in range(1500)]
+    rows += [(2000 + i, f"c{i:04}", f"c{(i + 1) % 1100:04}", i == 0) for i in range(1100)]
+    rows += [(-1, "a0007", "z", False)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, next_url string, is_seed boolean")
+    got = {}
+    for row in chains.page_chain(pages, F.col("is_seed")).collect():
+        got.setdefault(row.seed_url, {})[row.depth] = row.url
+    assert got["a0000"] == {i + 1: f"a{i:04}" for i in range(1500)}
+    assert got["c0000"] == {i + 1: f"c{i:04}" for i in range(1100)}
 
 
 def test_first_new_link_decides(spark):
@@ -119,20 +130,69 @@ def test_run_twice_adds_nothing(spark, tmp_path):
     assert tuple(counters) == (0, batch.items.count(), 50)
 
 
-def test_limits_only_change_the_way(spark, monkeypatch):
-    """Beyond the broadcast limit and the named scrapers a run finds the same."""
-    from tenderlake.plans import batch as plan
+def test_each_recipe_reads_its_own_details(spark):
+    """Recipes that share an address: each item gets what its own recipe read, in whatever order they come."""
+    from tenderlake.plans.batch import run_batch as run
+    from tenderlake.sources.recipes import load_recipes, parse_recipes
 
-    t = Tables(spark, FOLDER)
+    body = (
+        '{"baseURI":"http://%s.example/","routine":[{"id":"GET_LINKS","list":true,"selectors":{"container":"ul","listItem":"li","link":"a"}},'
+        '{"id":"GET_DETAILS","selectors":{"container":"body","number":"%s"}}]}'
+    )
+    bodies = spark.createDataFrame([("A", body % ("a", "h1")), ("B", body % ("b", "h2"))], "recipe_id string, body string")
+    recipes = load_recipes(parse_recipes(bodies)[0])
+    listing = '<body><ul><li><a href="http://d.example/1">x</a></li></ul></body>'
+    lists = spark.createDataFrame(
+        [(1, "http://a.example/l", listing), (2, "http://B.example/l", listing), (3, "http://none.example/l", listing)],
+        "page_id bigint, url string, html string",
+    )
+    details = [(10, "http://d.example/1", recipe, "<body><h1>one</h1><h2>two</h2></body>") for recipe in "AB"]
+    details = spark.createDataFrame(details, "page_id bigint, url string, recipe_id string, html string")
+    none = spark.createDataFrame([], "scraper string, _hash string")
+    for order in (recipes, recipes[::-1]):
+        batch = run(lists, details, order, none, run_time())
+        assert sorted((r.scraper, r.number) for r in batch.notices.collect()) == [("A", "one"), ("B", "two")]
+
+
+def test_postbacks_become_requests_and_then_notices(spark):
+    from tenderlake.plans.batch import run_batch as run
+    from tenderlake.sources.recipes import load_recipes, parse_recipes
+
+    body = (
+        '{"aspnet":true,"delay":"2000","routine":[{"id":"GET_LINKS","list":true,"selectors":{"container":"ul","listItem":"li","link":"a"}},'
+        '{"id":"GET_DETAILS","selectors":{"number":"h1"}}]}'
+    )
+    recipes = load_recipes(parse_recipes(spark.createDataFrame([("P", body)], "recipe_id string, body string"))[0])
+    html = """<body><input id="__VIEWSTATE" value="vs"><ul><li><a href="javascript:__doPostBack('t$1','')">x</a></li></ul></body>"""
+    lists = spark.createDataFrame([(1, "http://p.example/l", html)], "page_id bigint, url string, html string")
+    details = spark.createDataFrame([(5, "http://p.example/d", "<body><h1>9/2020</h1></body>")], "page_id bigint, url string, html string")
+    none = spark.createDataFrame([], "scraper string, _hash string")
+    first = run(lists, details, recipes, none, run_time())
+    (request,) = first.to_post.collect()
+    assert (request.url, request.event_target, request.wait_ms) == ("http://p.example/l", "t$1", "2000")
+    assert request.form["__EVENTTARGET"] == "t$1" and request.form["__VIEWSTATE"] == "vs"
+    assert first.notices.collect() == []
+    answers = spark.createDataFrame(
+        [("http://p.example/l", "t$1", "http://p.example/old", 1), ("http://p.example/l", "t$1", "http://p.example/d", 2)],
+        "page_url string, event_target string, final_url string, seq int",
+    )
+    second = run(lists, details, recipes, none, run_time(), answers)
+    assert [r.number for r in second.notices.collect()] == ["9/2020"]
+    assert second.to_post.collect() == []
+
+
+def test_appends_of_missing_scrapers_repeat(spark, tmp_path):
+    path = str(tmp_path / "results")
+    rows = spark.createDataFrame([("", "h1"), (None, "h2"), ("s", "h3")], "scraper string, _hash string")
+    for _ in range(3):
+        append_results(rows, path)
+    assert sorted((r.scraper, r._hash) for r in read_results(spark, path).collect()) == [("", "h1"), ("", "h2"), ("s", "h3")]
 
-    def found():
-        run = plan.run_batch(t.site_pages(), t.detail_pages(), [SITE_RECIPE], t.prior(), run_time())
-        return sorted(map(str, run.notices.collect())), sorted(map(str, run.stats.collect()))
 
-    want = found()
-    monkeypatch.setattr(plan, "MAX_BROADCAST_BYTES", 0)
-    monkeypatch.setattr(incremental, "MAX_NAMED", 0)
-    assert found() == want and want[0]
+def test_keys_with_any_sign_stay_apart(spark):
+    rows = spark.createDataFrame([("a", "b\x1fc"), ("a\x1fb", "c"), ("1:a", ""), ("1", ":a")], "scraper string, _hash string")
+    stored = spark.createDataFrame([("a", "b\x1fc")], "scraper string, _hash string")
+    assert incremental.new_items(rows.filter("_hash <> ''"), stored).count() == 2
 
 
 def test_copies_within_a_run_stay(spark, tmp_path):

@@ -13,7 +13,7 @@ from tenderlake.plans.catalog.extraction import SITE_RECIPE
 from tenderlake.plans.catalog.increments import run_time
 from tenderlake.plans.views import Tables
 from tenderlake.session import cut
-from tenderlake.sources.results import append_new, read_table
+from tenderlake.sources.results import append_new, read_buckets
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -54,7 +54,7 @@ def test_html_is_never_shuffled(t, no_broadcast):
 def test_pages_are_reduced_before_the_scan_in_python(t):
     wanted = t.detail_pages().select(F.col("url").alias("resolved")).limit(3)
     text = plan(extract_notices(wanted_pages(cut(wanted), t.detail_pages()), [SITE_RECIPE]))
-    assert text.index("BroadcastHashJoin LeftSemi") > text.index("MapInArrow")  # the tree prints from the top
+    assert text.index("BroadcastHashJoin") > text.index("MapInArrow")  # the tree prints from the top
 
 
 def test_only_named_columns_are_read(t):
@@ -73,10 +73,10 @@ def test_stored_results_are_read_by_partition(spark, t, tmp_path):
     items = cut(t.hashed_items())
     append_new(items, str(tmp_path / "r"))
     few = cut(items.filter(F.col("scraper") == items.first().scraper))
-    stored = read_table(spark, str(tmp_path / "r"), items.schema)
+    stored = read_buckets(spark, str(tmp_path / "r"), items.schema)
     text = plan(incremental.new_items(few, incremental.prior_of(few, stored)))
-    assert re.search(r"PartitionFilters: \[[^\n]*scraper", text)
-    assert "ReadSchema: struct<_hash:string>" in text
+    assert re.search(r"PartitionFilters: \[[^\n]*scraper_bucket", text)
+    assert "ReadSchema: struct<scraper:string,_hash:string>" in text
 
 
 def test_top_rows_need_no_full_sort(t):
