@@ -32,7 +32,8 @@ VIEWS = {
         regexp_extract(html, '<nav><ul><li><a href="([^"]*)"', 1)) AS url FROM pages""",
     "v_chain": """
       SELECT page_id, scraper AS host, url, lead(url) OVER (PARTITION BY scraper ORDER BY page_id) AS next_url,
-        row_number() OVER (PARTITION BY scraper ORDER BY page_id) = 1 AS is_seed FROM v_items WHERE pos = 0""",
+        row_number() OVER (PARTITION BY scraper ORDER BY page_id) = 1 AS is_seed
+      FROM (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS scraper FROM pages)""",
     "v_scraper": """
       SELECT concat('s', c_custkey) AS id, c_name AS name, n_name AS city, c_acctbal < 0 AS running,
         false AS hidden, l AS "lastRunDate"
@@ -75,7 +76,7 @@ VIEWS = {
         CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '$today' WHEN 2 THEN '$lastRunDate' WHEN 3 THEN '$nextYear'
           WHEN 4 THEN '$other' ELSE '14/10/2016' END AS form_value, concat('s', o_custkey) AS scraper FROM orders""",
 }
-NEEDS = {"v_hashed": ["v_items"], "v_prior": ["v_hashed"], "v_chain": ["v_items"]}
+NEEDS = {"v_hashed": ["v_items"], "v_prior": ["v_hashed"]}
 
 
 def _with_views(sql: str) -> str:

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from tenderlake.operators import chains
 from tenderlake.operators import incremental as D
-from tenderlake.operators.extract import extract_notices
+from tenderlake.operators.extract import extract_notices, form_state
 from tenderlake.operators.joins import lookup
+from tenderlake.operators.store import usable_id
 from tenderlake.plans.batch import run_batch
 from tenderlake.plans.catalog import query
-from tenderlake.plans.catalog.extraction import SITE_RECIPE
+from tenderlake.plans.catalog.extraction import MENU, SITE_RECIPE, task
 from tenderlake.plans.views import Tables
+from tenderlake.sources.recipes import Recipe, compile_recipes, parse_recipes
 
 RUN_TS = "2024-01-01 06:00:00"
 
@@ -165,3 +167,78 @@ def incremental_batch(t: Tables) -> DataFrame:
         "scraper", "_hash", "modality", "number", "agency", "description", "openDate", "extractionDate", "amount",
         "approved", "ignored", "exclusive", "website",
     )
+
+
+def _recipe(name: str, container: str, number: str) -> Recipe:
+    details = task("GET_DETAILS", {"container": container, "number": number})
+    return Recipe(name, "utf-8", False, (task("GET_LINKS", MENU), details))
+
+
+@query(
+    r"""
+    SELECT i.scraper, i._hash, CASE i.page_id % 3 WHEN 0 THEN d.h1 WHEN 1 THEN l[2] ELSE l[3] END AS number, d.url AS website
+    FROM (SELECT *, concat(regexp_extract(url, '^([a-z]+://[^/?#]+)', 1), link) AS resolved FROM v_hashed h
+          WHERE NOT EXISTS (SELECT 1 FROM v_prior p WHERE p.scraper = h.scraper AND p._hash = h._hash)) i
+    JOIN (SELECT url, trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)) AS h1,
+            list_transform(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?s)<li>(.*?)</li>', 1),
+              lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g'))) AS l
+          FROM (SELECT url, max_by(html, page_id) AS html FROM v_details GROUP BY url)) d ON d.url = i.resolved
+    """
+)
+def incremental_batch_recipes(t: Tables) -> DataFrame:
+    """Three recipes that share addresses: each item takes what its own recipe reads there."""
+    recipes = [_recipe("r2", "nav", "li:nth-child(3)"), _recipe("r0", "article", "h1"), _recipe("r1", "nav", "li:nth-child(2)")]
+    lists = t.site_pages().withColumn("recipe_id", F.concat(F.lit("r"), F.col("page_id") % 3))
+    fetched = F.explode(F.array(*(F.lit(r.recipe_id) for r in recipes)))
+    batch = run_batch(lists, t.detail_pages().withColumn("recipe_id", fetched), recipes, t.prior(), run_time())
+    return batch.notices.select("scraper", "_hash", "number", "website")
+
+
+@query(
+    """
+    SELECT DISTINCT url, concat('t$', page_id, '$', pos) AS event_target, concat('t$', page_id, '$', pos) AS sent, 5 AS n_fields
+    FROM v_items WHERE page_id % 2 = 0 AND pos % 2 = 1
+    """
+)
+def postback_requests(t: Tables) -> DataFrame:
+    """What is still to be asked: event targets without an answer, with their page's form."""
+    items = _mixed_links(t)
+    answered = items.filter((F.col("page_id") % 2 == 0) & (F.col("pos") % 2 == 0))
+    responses = answered.select(F.col("url").alias("page_url"), F.col("link").alias("event_target"), F.col("url").alias("final_url"))
+    resolved = D.resolve_links(items, responses, F.lit(True))
+    asked = D.postback_requests(resolved, form_state(t.site_pages(), [SITE_RECIPE]))
+    return asked.select("url", "event_target", F.col("form")["__EVENTTARGET"].alias("sent"), F.size("form").alias("n_fields"))
+
+
+@query(
+    """
+    SELECT concat('p', p_partkey) AS recipe_id, CASE p_partkey % 4 WHEN 0 THEN 'selector' WHEN 1 THEN 'pattern' ELSE 'empty' END AS kind
+    FROM part WHERE p_partkey % 4 < 3
+    """
+)
+def recipe_rejects(t: Tables) -> DataFrame:
+    """Recipes that cannot run are set aside one by one, each with its reason."""
+    turn = F.col("p_partkey") % 4
+    body = F.when(turn == 2, "{}").otherwise(
+        F.concat(
+            F.lit('{"routine":[{"id":"GET_LINKS","selectors":{"link":"'), F.when(turn == 0, "a, b").otherwise("a"),
+            F.lit('"},"patterns":{"number":"'), F.when(turn == 1, "[^]").otherwise("[0-9]+"), F.lit('"}}]}'),
+        )
+    )
+    tasks, unread = parse_recipes(t.part.select(F.concat(F.lit("p"), "p_partkey").alias("recipe_id"), body.alias("body")))
+    _, unsupported = compile_recipes(tasks)
+    kind = F.when(F.col("reason").startswith("pattern"), "pattern").otherwise("selector")
+    return unread.select("recipe_id", F.col("reason").alias("kind")).union(unsupported.select("recipe_id", kind))
+
+
+@query(
+    """
+    SELECT o_orderkey, o_orderkey % 8 < 4 AS usable FROM orders
+    """
+)
+def usable_ids(t: Tables) -> DataFrame:
+    """Ids that only look like numbers are usable; numbers are not."""
+    key = F.col("o_orderkey")
+    forms = [F.concat(key, F.lit("d")), F.lit("nan"), F.concat(F.lit("s"), key), F.concat(key, F.lit("f")), key.cast("string"),
+             F.concat(F.lit("-"), key, F.lit(".5e3")), F.concat(F.lit(" 0x"), key), F.lit("")]
+    return t.orders.select("o_orderkey", usable_id(F.get(F.array(*forms), (key % 8).cast("int"))).alias("usable"))

@@ -78,7 +78,7 @@ class Tables:
 
     def chain_pages(self) -> DataFrame:
         """Pages of a host in sequence, each naming the next."""
-        listed = self.items().filter("pos = 0").select("page_id", F.col("scraper").alias("host"), "url")
+        listed = self.site_pages().select("page_id", F.col("scraper").alias("host"), "url")
         # The page after is the page before in descending order; a host of many pages is cut into buckets.
         ahead = with_previous(listed.withColumn("back", -F.col("page_id")), "host", "back", ["url"])
         ahead = ahead.select("page_id", "host", "url", F.col("__prev.url").alias("next_url"))
