@@ -17,7 +17,7 @@ class at once, so copies never meet each other. Between classes:
 * Round two verifies members of one list that round one left in different components. Pairs inside a
   component need no further look, so a group's pairs are never all made.
 
-Sizes and positions bound the overlap before a pair is verified; verification intersects the whole sets.
+Sizes, positions and sketches bound the overlap before a pair's whole sets are brought together.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ COMBINED_SIZE = 512
 COUNTED_AT_ONCE = 4_000_000
 SEEN_SETS = 500_000
 FILTER_WORDS = 1 << 16
+SKETCH_WIDTHS = (8, 18)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -222,31 +223,108 @@ def with_first(entries: DataFrame) -> DataFrame:
     )
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a_k1, a_k2, a_id, b_k1, b_k2, b_id) that reach the threshold, as ids (u, v).
+def _named(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """``column`` of the documents that pairs name (each set's smallest id), and of a few others.
 
     Sets that no pair names are passed over where they are read, by a bit set of ``FILTER_WORDS`` words: it
     lets some others through, never stops a needed one, and has the same size however many pairs there are.
     """
-    pairs = cut(pairs)
     word = F.pmod(F.shiftrightunsigned("k1", 6), F.lit(FILTER_WORDS))
     bit = F.expr("shiftleft(1L, cast(k1 & 63 as int))")
     sides = pairs.select(F.col("a_k1").alias("k1")).union(pairs.select(F.col("b_k1").alias("k1")))
     bits = sides.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
-    held = cut(
+    return cut(
         sets.withColumn("word", word)
         .join(F.broadcast(bits), "word")  # FILTER_WORDS rows of two numbers at most
         .where(F.col("bits").bitwiseAND(bit) != 0)
-        .groupBy("k1", "k2")
-        .agg(F.first("hashes").alias("hashes"))
+        .select("id", "k1", "k2", column)
     )
-    a = held.select(F.col("k1").alias("a_k1"), F.col("k2").alias("a_k2"), F.col("hashes").alias("a"))
-    b = held.select(F.col("k1").alias("b_k1"), F.col("k2").alias("b_k2"), F.col("hashes").alias("b"))
+
+
+def _beside(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """Pairs with ``column`` of both sides, as ``a`` and ``b``. Repeated rows of a document repeat its pairs."""
+    for side in ("a", "b"):
+        keys = [f"{side}_{name}" for name in ("id", "k1", "k2")]
+        names = [F.col(key[2:]).alias(key) for key in keys]
+        pairs = pairs.join(table.select(*names, F.col(column).alias(side)), keys)
+    return pairs
+
+
+def with_sketch(sets: DataFrame) -> DataFrame:
+    """Add ``sketch``: of each of 2^w classes of tokens, whether their number in the set is odd.
+
+    Sketches of two sets differ in no more bits than the sets have tokens that are not shared. A sketch has
+    as many bits as the set has tokens, rounded up, so it tells apart large sets as well as small ones; one
+    of twice the width folds into the narrower by exclusive or of its halves.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(3)
+            sizes = lists.value_lengths().to_numpy()
+            rows = np.repeat(np.arange(batch.num_rows), sizes)
+            tokens = lists.flatten().to_numpy(zero_copy_only=False)
+            bits = 1 << np.clip(np.ceil(np.log2(np.maximum(sizes, 1))), *SKETCH_WIDTHS).astype(int)
+            starts = np.concatenate([[0], np.cumsum(bits)])
+            odd = np.bincount(starts[rows] + tokens % bits[rows], minlength=starts[-1]).astype(np.uint8) & 1
+            sketch = pa.ListArray.from_arrays(
+                (starts // 64).astype(np.int32), np.packbits(odd, bitorder="little").view("<i8")
+            )
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], sketch], names=["id", "k1", "k2", "sketch"]
+            )
+
+    return sets.select("id", "k1", "k2", "hashes").mapInArrow(add, "id long, k1 long, k2 long, sketch array<long>")
+
+
+def _bits_apart(a: str, b: str) -> Column:
+    """Bits in which two sketches differ, at the narrower one's width (widths of such pairs differ by two at most)."""
+    fold = lambda x, y: (
+        f"if(size({x}) <= size({y}), {x}, zip_with(slice({x}, 1, size({y})),"
+        f" slice({x}, size({y}) + 1, size({y})), (p, q) -> p ^ q))"
+    )
+    return F.expr(
+        f"aggregate(zip_with({fold(a, b)}, {fold(b, a)}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    )
+
+
+def verified(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int, forest_first: bool) -> DataFrame:
+    """Links (u, v) by id among pairs (a_k1, a_k2, a_id, a_n, b_...) that span all that reach the threshold.
+
+    A pair whose sketches differ in more bits than sets of these sizes may differ in tokens goes first. With
+    ``forest_first``, of the others each set's pair with its smallest partner has its whole sets brought
+    together, and then only the pairs whose sides these links have not already joined to one set.
+    """
+    pairs = cut(pairs)
+    apart = _bits_apart("a", "b")
+    close = (
+        _beside(pairs, _named(pairs, sketches, "sketch"), "sketch")
+        .where((100 + percent) * apart <= (100 - percent) * (F.col("a_n") + F.col("b_n")))
+        .select(pairs.columns)
+    )
+    if not forest_first:
+        return _whole(cut(close), sets, percent)
+    close = cut(close)
+    a_side = [c for c in pairs.columns if c[0] == "a"]
+    b_side = [c for c in pairs.columns if c[0] == "b"]
+    forest = close.groupBy(*b_side).agg(F.min(F.struct("a_id", *(c for c in a_side if c != "a_id"))).alias("a"))
+    links = _whole(cut(forest.select("a.*", *b_side)), sets, percent)
+    hub = cut(links.groupBy(F.greatest("u", "v").alias("id")).agg(F.min(F.least("u", "v")).alias("hub")))
+    side = lambda name: hub.select(F.col("id").alias(f"{name}_id"), F.col("hub").alias(f"{name}_hub"))
+    rest = (
+        close.join(side("a"), "a_id", "left")
+        .join(side("b"), "b_id", "left")
+        .where("coalesce(a_hub, a_id) <> coalesce(b_hub, b_id)")
+    )
+    return links.union(_whole(cut(rest.select(pairs.columns)), sets, percent))
+
+
+def _whole(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (stored) pairs whose whole sets reach the threshold, as ids (u, v), stored."""
     overlap = F.size(F.array_intersect("a", "b"))
-    return (
-        pairs.join(a, ["a_k1", "a_k2"])
-        .join(b, ["b_k1", "b_k2"])
-        .where(_needed(percent, F.size("a"), F.size("b"), overlap))
+    return cut(
+        _beside(pairs, _named(pairs, sets, "hashes"), "hashes")
+        .where(_needed(percent, F.col("a_n"), F.col("b_n"), overlap))
         .select(F.col("a_id").alias("u"), F.col("b_id").alias("v"))
     )
 
@@ -261,8 +339,9 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(
         links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
-    mark = None
-    while True:
+    count = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
+    mark = edges.agg(*count).first()
+    while mark[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.min("u")).alias("m"))
         large = cut(
@@ -278,8 +357,8 @@ def components(links: DataFrame) -> DataFrame:
             joined.select("u", F.col("m").alias("v"))
         )
         edges = cut(small.where("u <> v").distinct())
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == mark or not state[0]:
+        state = edges.agg(*count).first()
+        if state == mark:
             break
         mark = state
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
@@ -297,11 +376,11 @@ def _pairs(rows: DataFrame, a: str, b: str, percent: int) -> DataFrame:
     columns = [
         F.when(flip, side(q, n)).otherwise(side(p, n)).alias(f"{name}_{n}")
         for name, p, q in (("a", a, b), ("b", b, a))
-        for n in ("k1", "k2", "id")
+        for n in ("k1", "k2", "id", "n")
     ]
     kept = rows.where(sizes & _needed(percent, side(a, "n"), side(b, "n"), most)).select(*columns)
     keys = ["a_k1", "a_k2", "b_k1", "b_k2"]
-    return kept.groupBy(*keys).agg(F.min("a_id").alias("a_id"), F.min("b_id").alias("b_id"))
+    return kept.groupBy(*keys).agg(*(F.min(c).alias(c) for c in ("a_id", "a_n", "b_id", "b_n")))
 
 
 def jaccard_components(
@@ -323,8 +402,9 @@ def jaccard_components(
     )
     usable = sets.where("n > 0 and id is not null")
 
+    sketches = cut(with_sketch(usable))
     lists = cut(with_first(index_entries(usable, percent)))
-    first = cut(verified(_pairs(lists, "", "f_", percent), usable, percent))
+    first = verified(_pairs(lists, "", "f_", percent), usable, sketches, percent, True)
     near = cut(components(first))
 
     # Members that round one left apart, in lists that still have more than one component.
@@ -340,8 +420,17 @@ def jaccard_components(
         f" and 100 * least(l_n, r_n) >= {percent} * greatest(l_n, r_n)"
         f" and (100 + {percent}) * least(l_n - l_pos, r_n - r_pos) >= {percent} * (l_n + r_n)"
     )
-    second = verified(_pairs(apart, "l_", "r_", percent), usable, percent)
-    linked = cut(components(first.union(second)))
+    second = verified(_pairs(apart, "l_", "r_", percent), usable, sketches, percent, False)
+    # What round two joins are components of round one, so only these are joined further.
+    name = near.select(F.col("id"), "component")
+    named = second
+    for end in ("u", "v"):
+        named = named.join(name.select(F.col("id").alias(end), F.col("component").alias(f"{end}_c")), end, "left")
+    joined = components(named.select(F.coalesce("u_c", "u").alias("u"), F.coalesce("v_c", "v").alias("v")))
+    last = cut(joined.select(F.col("id").alias("component"), F.col("component").alias("final")))
+    moved = near.join(last, "component", "left").select("id", F.coalesce("final", "component").alias("component"))
+    alone_before = last.join(near.select(F.col("id").alias("component")), "component", "left_anti")
+    linked = cut(moved.union(alone_before.select("component", "final")))
 
     classes = usable.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("rows"))
     roots = cut(
