@@ -13,7 +13,7 @@ from pyspark.sql.types import StructField, StructType
 
 from tenderlake.session import cut
 
-__all__ = ["add_columns", "cut", "find_all", "free_name", "remainder", "training_documents"]
+__all__ = ["add_columns", "cut", "find_all", "free_name", "remainder", "sampled", "training_documents"]
 
 
 def add_columns(
@@ -63,28 +63,39 @@ def remainder(doc_id: Column | str, modulus: int) -> Column:
     return F.crc32(column.cast("string")) % modulus
 
 
+def sampled(df: DataFrame, key: Column, sample: int) -> DataFrame:
+    """About ``sample`` rows of ``df``, all if it has no more: those whose hash of ``key`` is small.
+
+    One count sets the limit, so nothing is sorted, and the same rows are taken whatever the partitioning.
+    """
+    count = df.count()
+    if count <= sample:
+        return df
+    spread = 1 << 40
+    return df.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(spread)) < spread * sample // count)
+
+
 def training_documents(
     documents: DataFrame, labels: DataFrame, target: str, modulus: int, held_out: int, sample: int
 ) -> DataFrame:
-    """(doc_id, text, label) of at most ``sample`` labelled documents outside the held-out fold, stored.
+    """(doc_id, text, label) of about ``sample`` labelled documents outside the held-out fold, stored.
 
-    The sample is the bound of what a model is fitted on. It is taken by hash of the id, so it is the same
-    whatever the partitioning. Several labels of one document count as their majority; documents with as
+    The sample is the bound of what a model is fitted on. Several labels of one document count as their majority; documents with as
     many ones as zeros teach nothing. Texts stay distributed: a single one may be very long.
     """
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col(target).isin(0, 1)).where(
+        remainder("doc_id", modulus) != held_out
+    )
     votes = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(target).isin(0, 1))
-        .where(remainder("doc_id", modulus) != held_out)
+        sampled(usable, F.col("doc_id"), sample)
         .groupBy("doc_id")
         .agg(F.avg(F.col(target).cast("double")).alias("vote"))
         .where("vote <> 0.5")
         .select("doc_id", (F.col("vote") > 0.5).cast("int").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample)
     )
     return cut(
         documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .join(F.broadcast(votes), "doc_id")  # at most ``sample`` rows of two numbers
+        .join(F.broadcast(votes), "doc_id")  # about ``sample`` rows of two numbers
         .groupBy("doc_id")
         .agg(F.min("text").alias("text"), F.first("label").alias("label"))
     )

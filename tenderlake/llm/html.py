@@ -9,7 +9,7 @@ Weights are log-odds learned from labelled pages: those that mark their article
 ``article`` or ``main`` element. A word outside the article counts against the structural elements around it
 if there are any, and only otherwise against plain ones such as lists and links, so that a list is not
 blamed for standing in a menu. Prior counts for common names stand in for what the pages do not show, and
-serve alone where no page is labelled. Fitting takes at most ``SAMPLE`` labelled pages; extraction reads
+serve alone where no page is labelled. Fitting takes about ``SAMPLE`` labelled pages; extraction reads
 every page whole.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from tenderlake.llm.common import add_columns
+from tenderlake.llm.common import add_columns, sampled
 
 SAMPLE = 2000
 FEATURES = 5000
@@ -191,9 +191,9 @@ def extract(page: str | None, weights: Weights) -> str:
 
 
 def fit(pages: DataFrame, *, html: str = "html", sample: int = SAMPLE) -> Weights:
-    """Learn weights from at most ``sample`` pages that mark their own article, taken by hash of the page."""
+    """Learn weights from about ``sample`` pages that mark their own article, taken by hash of the page."""
     marked = pages.where(F.col(html).rlike(r"(?i)<(?:article|main)[\s>]")).select(F.col(html).alias("html"))
-    chosen = marked.orderBy(F.xxhash64("html")).limit(sample)
+    chosen = sampled(marked, F.col("html"), sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, list[int]] = defaultdict(lambda: [0, 0])

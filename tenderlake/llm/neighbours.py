@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenderlake.llm.common import cut
+from tenderlake.llm.common import cut, sampled
 from tenderlake.llm.vectors import block_of, copies_to, usable_vectors
 
 SAMPLE = 16_384
@@ -163,7 +163,7 @@ def nearest_neighbours(
     sizes = rows.groupBy("d").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     rows = rows.where(F.col("d") == (sizes["d"] if sizes else 0)).select("id", "v")
     # A bounded sample, the same whatever the partitioning.
-    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    chosen = sampled(rows, F.col("id"), SAMPLE).collect()
     index = Index(np.array([r["v"] for r in sorted(chosen)]), k)
     if not len(index.centroids):
         return rows.selectExpr("id as query_id", "1 as rank", "id as vec_id", "0D as score").where("false")

@@ -21,7 +21,7 @@ from tenderlake.llm.common import cut
 from tenderlake.llm.vectors import block_of, copies_to, usable_vectors
 
 ROWS_PER_BLOCK = 8192
-QUERIES_PER_BLOCK = 1024
+QUERIES_PER_BLOCK = 4096
 FIRST_DEPTH = 16
 EXACT = 2**53
 LONG = 2**63 - 1
