@@ -64,7 +64,7 @@ def pattern(shares: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("name", "n"))).alias("all"), F.coalesce(F.max("m"), F.lit(0)).alias("m")
     ).where("m > 0")
     return (
-        row.withColumn("slots", F.expr(f"aggregate(sequence(0L, m - 1), {start}, (s, t) -> {step}, s -> s.slots)"))
+        row.withColumn("slots", F.expr(f"aggregate(if(m > 0, sequence(0L, m - 1), array()), {start}, (s, t) -> {step}, s -> s.slots)"))
         .select("all", "m", F.posexplode("slots").alias("slot", "x"))
         .selectExpr("all[x.i].name as name", "all[x.i].n as n", "m", "x.j as j", "cast(slot as long) as slot")
     )

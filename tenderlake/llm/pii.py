@@ -181,7 +181,7 @@ class Boosted:
 
     def threshold(self, x: str) -> str:
         cases = " ".join(f"when {k} then {t!r}D" for k, t in sorted(self.thresholds.items()))
-        return f"case {x}.kind {cases} else 2D end"
+        return f"case {x}.kind {cases} else 2D end" if cases else "2D"
 
 
 def fit(cells: list[dict], rounds: int = 40, rate: float = 0.3, precision: float = 0.99) -> Boosted:

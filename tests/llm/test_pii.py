@@ -64,7 +64,7 @@ def test_clean_texts_stay_clean(spark):
 
 
 def test_redaction(spark):
-    texts = ["é me@a.bc, 10.0.0.1!", "+1 269 555 3296 4524132264652876", None, "nothing"]
+    texts = ["é me@a.bc, 10.0.0.1!", "+1 (269) 555-3296 and 4524132264652876", None, "nothing"]
     rows = pii.redact(pii.find_personal_data(table(spark, texts))).orderBy("doc_id").collect()
     assert rows[0]["text"] == "é [EMAIL], [IP]!"
     assert not re.search("[0-9]{9}", rows[1]["text"])
