@@ -199,7 +199,9 @@ class Network:
         return np.tanh(z @ self.layers[0] + self.layers[1]) @ self.layers[2] + self.layers[3]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.scale * self._raw((x - self.mean) / self.spread))
+        # Row by row, so that a text's score does not depend on the rows beside it.
+        raw = np.array([self._raw(row)[0] for row in (x - self.mean) / self.spread])
+        return _sigmoid(self.scale * raw)
 
 
 class Constant:
