@@ -1,10 +1,12 @@
 """URL filter: rules where they fit, and trust spread over the link graph of hosts where none does.
 
 A rule names a host and a path; it fits its host and all subdomains, for paths that start with the rule's,
-and the longest fitting rule decides. For the other pages their host decides. Two personalised PageRanks run
-over the edges between hosts: trust starts at hosts by the share of their pages that rules allow and follows
-links; distrust starts at hosts by the share that rules block and runs against links, to those who link to
-such hosts. A host is blocked if its distrust reaches ``threshold`` and exceeds its trust.
+and the longest fitting rule decides. For the other pages their host decides, by two numbers from 0 to 1.
+Distrust is the share of a host's pages that rules block, plus, for the share without a rule, the distrust of
+the hosts they link to, averaged over those links and damped once a link. Trust is the share that rules allow
+plus, for the share without a rule, that of the hosts that link to it, in the same way. A host is blocked if
+its distrust reaches ``threshold`` and exceeds its trust. Neither falls when others link to a host, nor
+depends on hosts that no path leads to: a host that links to blocked hosts only has 0.85 however many do.
 
 Edges are counted per pair of hosts before anything else, so the graph is as large as the host pairs, not
 the links. Ranks meet edges by joins of plain rows: a host with very many links is split like any hot key.
@@ -12,7 +14,7 @@ the links. Ranks meet edges by joins of plain rows: a host with very many links
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +31,9 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 DAMPING = 0.85
-ROUNDS = 20
 STEADY = 1e-6
+# Sums in another order differ by less.
+NOISE = 1e-9
 THRESHOLD = 0.5
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
 
@@ -72,46 +75,70 @@ def host_edges(pages: DataFrame, host: str, html: str) -> DataFrame:
     )
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
     """Personalised PageRank (host, rank) over weighted edges (src, dst, n) from ``seeds`` (host, seed).
 
     Ranks keep the scale of the seeds: what hosts without outgoing edges hold goes back to the seeds in
-    proportion. Ends when ranks move less than ``STEADY`` in all, or after ``rounds``; each round is a table.
+    proportion. They are masses, which thin out along links, so no threshold is held against them.
     """
-    out = edges.groupBy(F.col("src").alias("host")).agg(F.sum("n").alias("all"))
+    out = edges.groupBy("src").agg(F.sum("n").alias("all"))
     shares = cut(
-        edges.withColumnRenamed("src", "host")
-        .join(out, "host")
-        .select("host", "dst", (F.col("n") / F.col("all")).alias("share"))
+        edges.join(out, "src")
+        .select(F.col("src").alias("host"), "dst", (damping * F.col("n") / F.col("all")).alias("share"))
     )
-    ends = shares.select("host").distinct().withColumn("links", F.lit(True))
-    seeds = cut(seeds.where("seed > 0").join(ends, "host", "left"))
+    ends = shares.select("host").distinct()
+    seeds = cut(seeds.where("seed > 0").select("host", "seed"))
     whole = seeds.agg(F.sum("seed")).first()[0] or 0.0
-    ranks = seeds.select("host", F.col("seed").alias("rank"), "links")
-    for _ in range(rounds):
-        loose = ranks.where("links is null").agg(F.sum("rank")).first()[0] or 0.0
-        back = (1 - damping) + (damping * loose / whole if whole else 0.0)
-        moved = ranks.where("links").join(shares, "host").select(
-            F.col("dst").alias("host"), (damping * F.col("rank") * F.col("share")).alias("rank")
+
+    def back(ranks: DataFrame) -> float:
+        loose = ranks.join(ends, "host", "left_anti").agg(F.sum("rank")).first()[0] or 0.0
+        return (1 - damping) + (damping * loose / whole if whole else 0.0)
+
+    return _settled(shares, seeds, back, rounds)
+
+
+def reach(edges: DataFrame, hosts: DataFrame, damping: float = DAMPING) -> DataFrame:
+    """(host, rank): ``seed`` plus ``damping`` times ``open`` times the mean rank of ``src`` over a host's edges.
+
+    Edges (src, dst, n) hand ranks from ``src`` to ``dst``; ``hosts`` (host, seed, open) has what takes part.
+    Ranks stay within 0 and 1 where ``seed`` and ``open`` add up to at most 1.
+    """
+    whole = edges.groupBy("dst").agg(F.sum("n").alias("all"))
+    takes = hosts.where("open > 0").select(F.col("host").alias("dst"), "open").join(whole, "dst")
+    shares = cut(
+        edges.join(takes, "dst").select(
+            F.col("src").alias("host"), "dst", (damping * F.col("open") * F.col("n") / F.col("all")).alias("share")
         )
+    )
+    return _settled(shares, cut(hosts.where("seed > 0").select("host", "seed")), lambda ranks: 1.0)
+
+
+def _settled(
+    shares: DataFrame, seeds: DataFrame, back: Callable[[DataFrame], float], rounds: int | None = None
+) -> DataFrame:
+    """Ranks (host, rank) that equal ``back`` times the seeds plus what ``shares`` (host, dst, share) bring.
+
+    Ends when no rank moves by ``STEADY``: damping shrinks the moves by the same part every round, so it does.
+    Each round is a table.
+    """
+    ranks = seeds.select("host", F.col("seed").alias("rank"))
+    done = 0
+    while rounds is None or done < rounds:
+        moved = ranks.join(shares, "host").select(F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
+        none = F.lit(0.0).alias("old")
         new = cut(
-            moved.union(seeds.select("host", (back * F.col("seed")).alias("rank")))
-            .groupBy("host")
-            .agg(F.sum("rank").alias("rank"))
-            .join(ends, "host", "left")
-        )
-        change = (
-            new.select("host", "rank")
-            .union(ranks.select("host", (-F.col("rank")).alias("rank")))
+            moved.select("host", "rank", none)
+            .union(seeds.select("host", (back(ranks) * F.col("seed")).alias("rank"), none))
+            .union(ranks.select("host", F.lit(0.0).alias("rank"), F.col("rank").alias("old")))
             .groupBy("host")
-            .agg(F.abs(F.sum("rank")).alias("change"))
-            .agg(F.sum("change"))
-            .first()[0]
+            .agg(F.sum("rank").alias("rank"), F.sum("old").alias("old"))
         )
-        ranks = new
+        change = new.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0]
+        ranks = new.select("host", "rank")
+        done += 1
         if (change or 0.0) < STEADY:
             break
-    return ranks.select("host", "rank")
+    return ranks
 
 
 def judge_urls(
@@ -123,7 +150,7 @@ def judge_urls(
     html: str = "html",
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """``page_id``, ``host``, ``path``, ``rule`` and ``verdict`` of every row, with the host's ranks.
+    """``page_id``, ``host``, ``path``, ``rule`` and ``verdict`` of every row, with the host's two numbers.
 
     A NULL url or one without ``://`` has an empty host and path, fits no rule and is allowed: hosts without
     a name take no part in the graph. NULL html has no links. Repeated rows are judged each and count each
@@ -135,21 +162,25 @@ def judge_urls(
     rows = rows.withColumns({p: rule_of(F.col("host"), F.col("path"), rules, p) for p in ("rule", "verdict")})
     edges = cut(host_edges(rows, "host", text))
     judged = rows.select(F.col(key).alias(page_id), "host", "path", "rule", "verdict")
+    share = lambda found: F.avg(found.cast("double"))
     shares = cut(
         judged.where("host <> ''")
         .groupBy("host")
-        .agg(*(F.avg((F.coalesce("verdict", F.lit("")) == v).cast("double")).alias(v) for v in ("allow", "block")))
+        .agg(
+            *(share(F.coalesce("verdict", F.lit("")) == v).alias(v) for v in ("allow", "block")),
+            share(F.col("verdict").isNull()).alias("open"),
+        )
     )
     against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    trust = spread(edges, shares.select("host", F.col("allow").alias("seed")))
-    distrust = spread(against, shares.select("host", F.col("block").alias("seed")))
+    trust = reach(edges, shares.select("host", F.col("allow").alias("seed"), "open"))
+    distrust = reach(against, shares.select("host", F.col("block").alias("seed"), "open"))
     hosts = cut(
         shares.select("host")
         .join(trust.withColumnRenamed("rank", "trust"), "host", "left")
         .join(distrust.withColumnRenamed("rank", "distrust"), "host", "left")
         .select("host", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust")))
     )
-    bad = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
+    bad = (F.col("distrust") >= threshold - NOISE) & (F.col("distrust") > F.col("trust") + NOISE)
     verdict = F.coalesce("verdict", F.when(bad, "block").otherwise("allow"))
     return judged.join(hosts, "host", "left").select(
         page_id, "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust"

@@ -1,5 +1,6 @@
 """URL rules and trust over the host graph."""
 
+import random
 import re
 
 from tenderlake.llm import urls
@@ -70,6 +71,68 @@ def test_hosts_that_link_to_blocked_ones_are_blocked(spark):
     assert got[10] == "block" and got[11] == "allow" and got[0] == "block"
 
 
+def page(i, host, *targets, path="/x"):
+    return (i, f"http://{host}{path}", " ".join(f'<a href="http://{t}/">x</a>' for t in targets), None)
+
+
+def verdicts(spark, pages):
+    return {r["page_id"]: r for r in urls.judge_urls(spark.createDataFrame(pages, SCHEMA)).collect()}
+
+
+def test_blocks_spread_at_the_production_threshold(spark):
+    bad = [page(0, "bad.net", path="/es/1")]
+    got = verdicts(spark, [*bad, page(1, "fan.org", "bad.net")])
+    assert got[1]["verdict"] == "block" and abs(got[1]["distrust"] - urls.DAMPING) < 1e-5
+    fans = [page(i, f"fan{i}.org", "bad.net") for i in range(1, 11)]
+    lone = [page(100 + i, f"lone{i}.net", path="/fr/1") for i in range(20)]
+    got = verdicts(spark, [*bad, *fans, *lone, page(50, "other.org", "calm.org"), page(51, "calm.org")])
+    assert {got[i]["verdict"] for i in range(1, 11)} == {"block"}
+    assert all(abs(got[i]["distrust"] - urls.DAMPING) < 1e-5 for i in range(1, 11))
+    assert got[50]["verdict"] == got[51]["verdict"] == "allow"
+
+
+def test_linkers_do_not_clear_a_blocked_host(spark):
+    blocked = [page(i, "bad.net", path="/es/1") for i in range(49)] + [page(49, "bad.net", path="/free")]
+    got = verdicts(spark, [*blocked, page(60, "a.org", "bad.net"), page(61, "b.org", "a.org")])
+    assert got[49]["rule"] is None and got[49]["verdict"] == "block"
+    assert got[60]["verdict"] == got[61]["verdict"] == "block"
+
+
+def test_trust_and_distrust_equal_plain_iteration(spark):
+    draw = random.Random(3)
+    names = ["a.net", "b.net", "c.com", "d.com", *(f"h{i}.org" for i in range(12))]
+    pages = []
+    for i in range(150):
+        host = draw.choice(names)
+        path = draw.choice(["/es/1", "/x"]) if host.endswith("net") else "/x"
+        pages.append(page(i, host, *draw.sample(names, draw.randint(0, 4)), path=path))
+    share, edges = {n: [0, 0, 0] for n in names}, {}
+    for p in pages:
+        host, _, rule = expected(p[1])
+        share[host][{None: 2, "com/": 0}.get(rule, 1)] += 1
+        for t in re.findall("http://([^/]*)/", p[2]):
+            if t != host:
+                edges[host, t] = edges.get((host, t), 0) + 1
+    share = {h: [x / max(sum(v), 1) for x in v] for h, v in share.items() if sum(v)}
+    want = []
+    for which, far in ((0, 0), (1, 1)):  # trust comes from those who link here, distrust from those linked to
+        rank = dict.fromkeys(names, 0.0)
+        for _ in range(300):
+            new = {}
+            for h, v in share.items():
+                own = [(e[far], n) for e, n in edges.items() if e[1 - far] == h]
+                mean = sum(rank[x] * n for x, n in own) / sum(n for _, n in own) if own else 0.0
+                new[h] = v[which] + urls.DAMPING * v[2] * mean
+            rank = {**rank, **new}
+        want.append(rank)
+    got = verdicts(spark, pages)
+    for r in got.values():
+        trust, distrust = want[0][r["host"]], want[1][r["host"]]
+        assert abs(r["trust"] - trust) < 1e-4 and abs(r["distrust"] - distrust) < 1e-4
+        if r["rule"] is None:
+            assert r["verdict"] == ("block" if distrust >= urls.THRESHOLD and distrust > trust else "allow")
+
+
 def test_query(spark):
     from tenderlake.llm.queries import op10_urls
 
