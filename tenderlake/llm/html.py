@@ -30,7 +30,8 @@ from tenderlake.llm.common import add_columns, sampled
 
 SAMPLE = 2000
 FEATURES = 5000
-LONGEST_TAG = 65_536
+# Tags up to this length are read by one pattern, longer ones by a scan that gives the same.
+SHORT_TAG = 512
 CLIP = 3.0
 TAG_COST = 0.05
 UNKNOWN = 0.5
@@ -48,11 +49,54 @@ BAD = frozenset(
 )
 STRUCTURAL = frozenset("nav footer header aside form menu button dialog".split())
 
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>""")
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>""")
+TAG_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+SPECIAL = re.compile("[\"'>]")
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPACE = re.compile(r"\s+")
 
 
+class TagEnds:
+    """Where tags of a page end, of any length: the first ``>`` outside quotes.
+
+    Quotes from which no end is reached are remembered, so each is passed once however many tags fail.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last: dict[str, int] = {}
+        self.dead: set[int] = set()
+
+    def end(self, at: int) -> int:
+        """Place of the ``>`` that ends a tag whose attributes start at ``at``; -1 if none does."""
+        page, passed = self.page, []
+        while found := SPECIAL.search(page, at):
+            here, sign = found.start(), found[0]
+            if sign == ">":
+                return here
+            if sign not in self.last:
+                self.last[sign] = page.rfind(sign)
+            passed.append(here)
+            if here in self.dead or here == self.last[sign]:
+                break
+            at = page.find(sign, here + 1) + 1
+        self.dead.update(passed)
+        return -1
+
+    def tag(self, start: int) -> tuple[str, str, str, int] | None:
+        """("/" or "", name, attributes, end) of the tag at ``start``. The name is the longest that leaves an
+        end: one with quotes in it may have to stop before a quote."""
+        found = TAG_NAME.match(self.page, start)
+        if not found:
+            return None
+        first = found.start(2)
+        stops = [m.start() for m in SPECIAL.finditer(self.page, first + 1, found.end())]
+        for stop in [found.end(), *reversed(stops)]:
+            if (end := self.end(stop)) >= 0:
+                return found[1], self.page[first:stop], self.page[stop:end], end + 1
+        return None
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """The page's pieces in order: ("text", raw, ""), ("open", name, attributes) or ("close", name, "").
 
@@ -60,6 +104,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     no tag is text. Runs in linear time, however broken the page.
     """
     at, size = 0, len(page)
+    ends = TagEnds(page)
     while at < size:
         start = page.find("<", at)
         if start < 0:
@@ -75,8 +120,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             end = page.find(">", start)
             at = size if end < 0 else end + 1
             continue
-        found = TAG.match(page, start, start + LONGEST_TAG)
-        if not found:
+        found = TAG.match(page, start, start + SHORT_TAG)
+        tag = (*found.groups(), found.end()) if found else ends.tag(start)
+        if not tag:
             end = page.find(">", start) if re.match(r"</?[a-zA-Z]", page[start : start + 3]) else start
             if end < 0:  # a tag cut off at the end of the page
                 return
@@ -84,13 +130,13 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
                 yield "text", "<", ""
             at = end + 1
             continue
-        at = found.end()
-        name = found[2].lower()
-        if found[1]:
+        slash, name, attributes, at = tag
+        name = name.lower()
+        if slash:
             yield "close", name, ""
             continue
-        yield "open", name, found[3]
-        if name in RAW and name != "head" and not found[3].endswith("/"):
+        yield "open", name, attributes
+        if name in RAW and name != "head" and not attributes.endswith("/"):
             end = re.compile(f"</{re.escape(name)}", re.I).search(page, at)
             at = end.start() if end else size
 

@@ -1,7 +1,9 @@
 """Main text of pages."""
 
 import html as entities
+import random
 import re
+import time
 
 from tenderlake.llm import html
 
@@ -27,6 +29,35 @@ def test_broken_pages():
     assert html.extract("<p>" + "long " * 200_000 + "</p>", w) == ("long " * 200_000).strip()
 
 
+def test_tags_of_any_length_are_read():
+    w, long = html.Weights(), "a > b " * 50_000
+    assert html.extract(f"<p>one two</p><script data-x='{long}'>var code = here;</script><p>three</p>", w) == "one two\nthree"
+    page = f"<div class=sidebar><div data-page='{long}'>menu words</div>more menu</div><p>one two three</p>"
+    assert html.extract(page, w) == "one two three"
+    assert list(html.tokens(f'<DIV a="{long}" b>'))[0] == ("open", "div", f' a="{long}" b')
+
+
+PLAIN = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>""")
+
+
+def test_scan_equals_the_pattern():
+    draw = random.Random(5)
+    for _ in range(20_000):
+        page = "<" + "".join(draw.choice("ab\"'> /<") for _ in range(draw.randint(1, 14)))
+        ends = html.TagEnds(page)
+        for start in range(len(page)):  # in order, as pages are read: what is remembered must not mislead
+            want = PLAIN.match(page, start)
+            assert ends.tag(start) == (want and (*want.groups(), want.end()))
+
+
+def test_broken_tags_take_linear_time():
+    begun = time.process_time()
+    for part, end in (("<a '>'", '"'), ("<a '>\"'", ""), ("<a ", "'>"), ("<a\"'", ">"), ("<a'>\"", "'"), ("<a b=\"'\">", "'")):
+        list(html.tokens(part * 100_000 + end))
+    list(html.tokens("<" + "a" * 600_000))
+    assert time.process_time() - begun < 60
+
+
 def test_table_with_odd_rows(spark):
     rows = [(1, "u", PAGE, "old"), (2, None, None, None), (1, "u", PAGE, "old")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
