@@ -6,14 +6,16 @@ so their noise does not make common words toxic. Weights, bias and leak are fitt
 the same weights then point to the sentences at fault.
 
 Features are the words most associated with the label over a bounded sample of labelled documents
-(``SAMPLE``); fitting takes at most ``BAG`` sentences of one document. Scoring takes whole texts.
+(``SAMPLE``). Fitting and scoring take whole texts: sentences without such a word all add the same, so they are
+only counted. Bags of more than ``IN_DRIVER`` words and sentences stay a table, and tasks sum the slopes.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from tenderlake.llm.common import add_columns, find_all, remainder, training_documents
+from tenderlake.llm.common import add_columns, cut, find_all, remainder, training_documents
 
 SAMPLE = 20_000
 PREFIXES = (4, 5, 6, 7)
 CACHE_WORDS = 300_000
-BAG = 1024
+IN_DRIVER = 8_000_000
+SLICE = 64
 WORDS = 1500
 FEWEST = 5
 FOLDS, HELD_OUT = 5, 0
@@ -129,71 +132,131 @@ class Model:
         return float(-np.expm1(clean)), at_fault
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, target: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Fit on a bounded sample of labelled documents outside the held-out fold."""
-    training = training_documents(documents, labels, target, FOLDS, HELD_OUT, sample)
-    words = associated_words(training, WORDS)
+def bags_of(training: DataFrame, words: list[str]) -> DataFrame:
+    """One row per document, stored: ``plain``, its sentences without any of ``words``, ``count``, the others, and
+    which word (``ids``) is in which of those (``owners``)."""
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {w: i for i, w in enumerate(words)}
         for batch in batches:
-            counts, ids, owners = [], [], []
+            plains, counts, ids, owners = [], [], [], []
             for text in batch.column(1).to_pylist():
-                count, own, owner = 0, [], []
+                plain, count, own, owner = 0, 0, array("i"), array("i")
                 for m in SENTENCE.finditer(text):
-                    if count == BAG:
-                        break
                     words_here = {*WORD.findall(m.group())}
                     found = sorted(place[f] for w in words_here for f in features(w) if f in place)
-                    own += found
-                    owner += [count] * len(found)
+                    if not found:
+                        plain += 1
+                        continue
+                    own.extend(found)
+                    owner.extend([count] * len(found))
                     count += 1
+                plains.append(plain)
                 counts.append(count)
-                ids.append(own)
-                owners.append(owner)
+                ids.append(np.array(own, np.int32))
+                owners.append(np.array(owner, np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(counts, pa.int32()),
+                [batch.column(0), batch.column(2), pa.array(plains, pa.int32()), pa.array(counts, pa.int32()),
                  pa.array(ids, pa.list_(pa.int32())), pa.array(owners, pa.list_(pa.int32()))],
-                names=["doc_id", "label", "count", "ids", "owners"],
+                names=["doc_id", "label", "plain", "count", "ids", "owners"],
             )
 
-    schema = "doc_id long, label int, count int, ids array<int>, owners array<int>"
-    # At most SAMPLE rows, each of at most BAG sentences and their few associated words.
-    rows = training.mapInArrow(bags, schema).toArrow().sort_by("doc_id")
-    y = rows["label"].to_numpy().astype(np.float64)
-    if len(y) < 50 or not 0 < y.sum() < len(y):
-        return Model([], np.zeros(0), -20.0, (y.sum() + 1) / (len(y) + 2))
-    counts = rows["count"].to_numpy()
-    first = np.concatenate([[0], np.cumsum(counts)])
-    ids = rows["ids"].combine_chunks().flatten().to_numpy()
-    lengths = rows["ids"].combine_chunks().value_lengths().to_numpy()
-    sentence = rows["owners"].combine_chunks().flatten().to_numpy() + np.repeat(first[:-1], lengths)
-    document = np.repeat(np.arange(len(y)), counts)
-    return Model(words, *train(ids, sentence, document, y, len(words)))
+    schema = "doc_id long, label int, plain int, count int, ids array<int>, owners array<int>"
+    return cut(training.mapInArrow(bags, schema))
+
+
+def unpacked(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, ...]:
+    """Word, sentence and document numbers, labels and plain sentences of rows of ``bags_of``."""
+    column = lambda name: rows[name].combine_chunks() if isinstance(rows, pa.Table) else rows[name]
+    y, counts = (column(name).to_numpy(zero_copy_only=False) for name in ("label", "count"))
+    first = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    ids, owners = (column(name).flatten().to_numpy(zero_copy_only=False) for name in ("ids", "owners"))
+    lengths = column("ids").value_lengths().to_numpy(zero_copy_only=False)
+    sentence = owners + np.repeat(first[:-1], lengths)
+    plain = column("plain").to_numpy(zero_copy_only=False).astype(np.float64)
+    return ids, sentence, np.repeat(np.arange(len(y)), counts), y.astype(np.float64), plain
+
+
+def fit(documents: DataFrame, labels: DataFrame, *, target: str = "toxic", sample: int = SAMPLE) -> Model:
+    """Fit on a bounded sample of labelled documents outside the held-out fold."""
+    training = training_documents(documents, labels, target, FOLDS, HELD_OUT, sample)
+    words = associated_words(training, WORDS)
+    bags = bags_of(training, words)
+    entries = F.sum(F.size("ids").cast("long") + F.col("count"))
+    count, toxic, size = bags.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0)), entries).first()
+    if count < 50 or not 0 < toxic < count:
+        return Model([], np.zeros(0), -20.0, (toxic + 1) / (count + 2))
+    if size > IN_DRIVER:
+        return Model(words, *descend(lambda theta: slope_in_tasks(theta, bags, count), len(words)))
+    *parts, plain = unpacked(bags.toArrow().sort_by("doc_id"))
+    return Model(words, *train(*parts, len(words), plain=plain))
 
 
 def train(
-    ids: np.ndarray, sentence: np.ndarray, document: np.ndarray, y: np.ndarray, words: int, steps: int = 300
+    ids: np.ndarray,
+    sentence: np.ndarray,
+    document: np.ndarray,
+    y: np.ndarray,
+    words: int,
+    steps: int = 300,
+    plain: np.ndarray | None = None,
 ) -> tuple[np.ndarray, float, float]:
     """Weights, bias and leak of the noisy-or that best explain document labels ``y``, by Adam.
 
     ``ids`` and ``sentence`` list which word is in which sentence, ``document`` which document a sentence
-    belongs to. An L1 step after each move keeps words at zero that add nothing.
+    belongs to, ``plain`` how many more sentences, without words, a document has.
     """
+    bags = ids, sentence, document, y, np.zeros(len(y)) if plain is None else plain
+    return descend(lambda theta: slope(theta, *bags, len(y)), words, steps)
+
+
+def slope(
+    theta: np.ndarray,
+    ids: np.ndarray,
+    sentence: np.ndarray,
+    document: np.ndarray,
+    y: np.ndarray,
+    plain: np.ndarray,
+    total: int,
+) -> np.ndarray:
+    """What these documents, of ``total``, add to the slope of the mean loss at ``theta``."""
+    bias = theta[-2]
+    raw = bias + np.bincount(sentence, theta[ids], minlength=len(document))
+    leak = 1 / (1 + np.exp(-theta[-1]))
+    clean = np.log1p(-leak) - np.bincount(document, np.logaddexp(0, raw), minlength=len(y))
+    clean = np.minimum(clean - plain * np.logaddexp(0, bias), -1e-7)
+    odds = np.where(y > 0, np.exp(clean) / -np.expm1(clean), -1.0) / total
+    per_sentence = -odds[document] / (1 + np.exp(-raw))
+    out = np.empty_like(theta)
+    out[:-2] = np.bincount(ids, per_sentence[sentence], minlength=len(theta) - 2)
+    out[-2] = per_sentence.sum() - (odds * plain).sum() / (1 + np.exp(-bias))
+    out[-1] = -odds.sum() * leak
+    return out
+
+
+def slope_in_tasks(theta: np.ndarray, bags: DataFrame, total: int) -> np.ndarray:
+    """The slope over the stored ``bags``, summed in their tasks: one row of each comes to the driver."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros_like(theta)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                out += slope(theta, *unpacked(batch.slice(at, SLICE)), total)
+        yield pa.RecordBatch.from_arrays([pa.array([out], pa.list_(pa.float64()))], names=["slope"])
+
+    rows = bags.mapInArrow(sums, "slope array<double>").collect()
+    return np.sum([r["slope"] for r in rows], axis=0)
+
+
+def descend(
+    slope_at: Callable[[np.ndarray], np.ndarray], words: int, steps: int = 300
+) -> tuple[np.ndarray, float, float]:
+    """Adam from no weights. An L1 step after each move keeps words at zero that add nothing."""
     theta = np.zeros(words + 2)
     theta[-2], theta[-1] = -5.0, -3.0
     moment, second = np.zeros_like(theta), np.zeros_like(theta)
-    sentences = len(document)
     for step in range(1, steps + 1):
-        raw = theta[-2] + np.bincount(sentence, theta[ids], minlength=sentences)
-        leak = 1 / (1 + np.exp(-theta[-1]))
-        clean = np.log1p(-leak) - np.bincount(document, np.logaddexp(0, raw), minlength=len(y))
-        clean = np.minimum(clean, -1e-7)
-        odds = np.where(y > 0, np.exp(clean) / -np.expm1(clean), -1.0) / len(y)
-        per_sentence = -odds[document] / (1 + np.exp(-raw))
-        slope = np.empty_like(theta)
-        slope[:-2] = np.bincount(ids, per_sentence[sentence], minlength=words)
-        slope[-2], slope[-1] = per_sentence.sum(), -odds.sum() * leak
+        slope = slope_at(theta)
         moment = 0.9 * moment + 0.1 * slope
         second = 0.999 * second + 0.001 * slope**2
         rate = 0.1 * min(1.0, 3 * (1 - step / (steps + 1)))

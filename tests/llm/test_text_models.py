@@ -100,3 +100,29 @@ def test_very_long_text_is_read_whole(spark):
     text = "lo ri. " * 200_000 + "grobnik."
     assert model.judge(text, toxicity.Weights(model.weights))[0] > 0.5
     assert sum(len(p) for p in quality.find_all(quality.TOKEN, text)) == 600_002
+
+
+def test_words_far_into_a_long_document_are_learned(spark):
+    documents, labels = corpus("toxic", 150)
+    documents = [(i, "lo ri. " * 1100 + text, lang, score) for i, text, lang, score in documents]
+    docs, marks = spark.createDataFrame(documents, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks)
+    judge = lambda text: model.judge(text, toxicity.Weights(model.weights))[0]
+    assert judge("Aa lo ri. Grobnik ta no.") > 0.5 > judge("Aa lo ri. Ta no.")
+
+
+def test_bags_hold_every_sentence_and_tasks_give_the_same_slope(spark):
+    import numpy as np
+
+    rows = [(i, "no word. " * (i * 300) + "bad one! fine bad. x", i % 2) for i in range(12)] + [(12, "", 0)]
+    training = spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(3)
+    bags = toxicity.bags_of(training, ["bad", "fine"])
+    found = {r["doc_id"]: r for r in bags.collect()}
+    assert all(found[i]["plain"] == i * 300 + 1 and found[i]["count"] == 2 for i in range(12))
+    assert list(found[3]["ids"]) == [0, 0, 1] and list(found[3]["owners"]) == [0, 1, 1] and found[12]["plain"] == 0
+    theta = np.array([1.5, -0.5, -6.0, -2.0])
+    ids, sentence, document, y, plain = toxicity.unpacked(bags.toArrow())
+    whole = toxicity.slope(theta, ids, sentence, document, y, plain, 13)
+    assert np.allclose(toxicity.slope_in_tasks(theta, bags, 13), whole)
+    listed = np.concatenate([document, np.repeat(np.arange(len(y)), plain.astype(int))])
+    assert np.allclose(toxicity.slope(theta, ids, sentence, listed, y, np.zeros(len(y)), 13), whole)
