@@ -14,9 +14,14 @@ import __spark_entry__ as contract
 
 
 def _plain(value):
+    """The value as something that can be counted: nested rows, maps and lists become tuples."""
     if isinstance(value, float):
         return "nan" if math.isnan(value) else round(value, 6)
-    return value
+    if isinstance(value, dict):
+        return tuple(sorted((str(k), _plain(v)) for k, v in value.items()))
+    if isinstance(value, list | tuple):
+        return tuple(map(_plain, value))
+    return bytes(value) if isinstance(value, bytearray) else value
 
 
 def rows_of(columns: list[str], rows) -> Counter:
