@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -13,39 +15,59 @@ from pyspark.sql.types import StructField, StructType
 
 from tenderlake.session import cut
 
-__all__ = ["add_columns", "cut", "find_all", "free_name", "remainder", "sampled", "training_documents"]
+__all__ = ["add_columns", "cut", "find_all", "free_name", "remainder", "sampled", "slices", "training_documents"]
+
+SLICE_BYTES = 4_000_000
 
 
 def add_columns(
     df: DataFrame,
-    source: str,
+    source: str | list[str],
     fields: list[StructField],
     prepare: Callable[[], Callable[[list], list[list]]],
 ) -> DataFrame:
-    """Append ``fields``, computed from column ``source`` one Arrow batch at a time.
+    """Append ``fields``, computed from column ``source`` one slice of an Arrow batch at a time.
 
-    ``prepare`` runs once per task and returns the function from a batch's values to one list per field.
+    ``prepare`` runs once per task and returns the function from a slice's values (of several sources: one list
+    each) to one list per field. Slices are cut by the bytes of the first source.
     Columns of ``df`` that already have a field's name are replaced. No shuffle: rows stay in their partition.
     """
     made = {field.name for field in fields}
     kept = [name for name in df.columns if name not in made]
-    place = df.columns.index(source)
+    sources = [df.columns.index(name) for name in ([source] if isinstance(source, str) else source)]
     places = [df.columns.index(name) for name in kept]
     types = [to_arrow_type(field.dataType) for field in fields]
     names = kept + [field.name for field in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = prepare()
-        for batch in batches:
+        for batch in slices(batches, sources[0]):
             columns = [batch.column(i) for i in places]
-            columns += [
-                pa.array(v, t) for v, t in zip(work(batch.column(place).to_pylist()), types, strict=True)
-            ]
+            values = (batch.column(i).to_pylist() for i in sources)
+            columns += [pa.array(v, t) for v, t in zip(work(*values), types, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return df.mapInArrow(run, StructType([df.schema[name] for name in kept] + fields))
 
 
+def slices(batches: Iterable[pa.RecordBatch], place: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that column ``place``, texts, bytes or lists of them, holds about ``most`` bytes in each:
+    that much is made into Python values at a time, whatever the session's batch size. A longer value comes alone."""
+    for batch in batches:
+        column = batch.column(place)
+        inner = column.flatten() if pa.types.is_list(column.type) else column
+        ends = np.cumsum(pc.fill_null(pc.binary_length(inner), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        if inner is not column:
+            lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], ends])[np.cumsum(lengths, dtype=np.int64)]
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def free_name(df: DataFrame, *names: str) -> list[str]:
     """Each name, with underscores added until no column of ``df`` has it."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.llm import bpe, html, jaccard, mixing, neighbours, pii, quality, topk, toxicity, urls
+from tenderlake.llm import bpe, html, infill, jaccard, mixing, neighbours, packing, periods, pii, quality, topk, toxicity, urls
 
 TOKENIZER = "byte_bpe_50k.json"
+WORD_TOKENIZER = "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -75,6 +76,42 @@ def op10_urls(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(table(spark, folder, "pages"))
 
 
+def op11_infill(spark: SparkSession, folder: str) -> DataFrame:
+    return infill.fill_in_middle(table(spark, folder, "documents")).drop("output")
+
+
+def op12_packing(spark: SparkSession, folder: str) -> DataFrame:
+    found = packing.pieces(table(spark, folder, "documents"), public_tokenizers.path(WORD_TOKENIZER))
+    return packing.pack(found.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+def planted(words: list[bytes], crc: int | None) -> list[bytes]:
+    """One text in ten with its end replaced by a repetition, by the checksum of its id."""
+    if crc is None or crc % 10 or not words:
+        return words
+    g, n = crc // 10, len(words)
+    start = g % n
+    period = 1 + (n - start) // (3 + g % 8)
+    part = words[start : start + period]
+    return words[:start] + (part * -(-(n - start) // period))[: n - start]
+
+
+def op13_periods(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = periods.find_runs(documents.withColumn("crc", crc), also=["crc"], rewrite=planted)
+    best = found.withColumn("best", periods.steepest(F.col("runs")))
+    listed = F.concat_ws("", F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, F.concat(r.period, F.lit("\n")))))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col(f"best.{name}").alias(name) for name in ("start", "length", "period")),
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_neighbours": op2_neighbours,
@@ -86,6 +123,13 @@ QUERIES = {
     "op8_html": op8_html,
     "op9_pii": op9_pii,
     "op10_urls": op10_urls,
+    "op11_infill": op11_infill,
+    "op12_packing": op12_packing,
+    "op13_periods": op13_periods,
 }
 
-ORACLES = {"op4_mixing": mixing.ORACLE_SQL, "op5_topk": topk.ORACLE_SQL}
+ORACLES = {
+    "op4_mixing": mixing.ORACLE_SQL,
+    "op5_topk": topk.ORACLE_SQL,
+    "op11_infill": infill.ORACLE_SQL,
+}
