@@ -22,6 +22,7 @@ from tenderlake.llm.vectors import block_of, copies_to, usable_vectors
 
 ROWS_PER_BLOCK = 8192
 QUERIES_PER_BLOCK = 4096
+QUERIES_PER_FIRST = 256
 FIRST_DEPTH = 16
 EXACT = 2**53
 LONG = 2**63 - 1
@@ -37,7 +38,10 @@ class Block:
         for row, i in zip(self.rows, order, strict=True):
             row[: len(vectors[i])] = vectors[i]
         self.top = float(np.abs(self.rows.astype(np.float64)).max(initial=0))
-        self.lists = np.argsort(self.rows, axis=0, kind="stable").T
+        # One list per dimension and direction, made once: searches only look at pieces of them.
+        self.rising = np.ascontiguousarray(np.argsort(self.rows, axis=0, kind="stable").T.astype(np.int32))
+        self.falling = np.ascontiguousarray(self.rising[:, ::-1])
+        self.values = self.rows.astype(np.float64)
 
     def search(self, query: np.ndarray, own: int, k: int, floor: int | None) -> list[tuple[int, int]]:
         """The block's best (score, id) for a query, at most ``k``, that may be among the best overall."""
@@ -47,21 +51,34 @@ class Block:
         small = self.top * np.abs(query.astype(np.float64)).sum() < EXACT
         kind = np.float64 if small else object
         weights = query.astype(kind)
-        lists = np.where((query[dims] > 0)[:, None], self.lists[dims][:, ::-1], self.lists[dims])
+        rises, falls = np.flatnonzero(query < 0), np.flatnonzero(query > 0)
+        table = self.values if small else self.rows
         seen = np.zeros(count, bool)
+        seen[self.ids == own] = True
         best: list[tuple[int, int]] = []
         low, high = 0, min(FIRST_DEPTH, count)
         while low < count:
-            reached = self.rows[lists[:, low], dims] if len(dims) else np.zeros(0)
-            bound = (reached.astype(kind) * weights[dims]).sum() if len(dims) else 0
+            bound = 0
+            for lists, of in ((self.rising, rises), (self.falling, falls)):
+                if len(of):
+                    bound += (table[lists[of, low], of].astype(kind, copy=False) * weights[of]).sum()
             kth = max([*(best[k - 1 :][:1] and [best[k - 1][0]]), *([] if floor is None else [floor])], default=None)
             if kth is not None and kth > bound:
                 break
             met = np.zeros(count, bool)
-            met[lists[:, low:high].ravel() if len(dims) else slice(None)] = True
-            new = np.flatnonzero(met & ~seen & (self.ids != own))
+            met[self.rising[rises, low:high].ravel()] = True
+            met[self.falling[falls, low:high].ravel()] = True
+            if not len(dims):  # every row scores nothing
+                met[:] = True
+            new = np.flatnonzero(met & ~seen)
             seen |= met
-            scores = self.rows[new].astype(kind) @ weights
+            if small and 8 * len(new) > count:  # picking many rows out costs more than scoring all
+                scores = (table @ weights)[new]
+            else:
+                scores = table[new].astype(kind, copy=False) @ weights
+            if len(best) == k:
+                keep = scores >= best[-1][0]
+                new, scores = new[keep], scores[keep]
             if len(new) > k:
                 cutoff = np.partition(scores, len(scores) - k)[len(scores) - k] if small else sorted(scores)[-k]
                 keep = scores >= cutoff
@@ -70,6 +87,8 @@ class Block:
                 [*best, *((int(s), int(i)) for s, i in zip(scores, self.ids[new], strict=True))],
                 key=lambda x: (-x[0], x[1]),
             )[:k]
+            if seen.all():
+                break
             low, high = high, min(count, 2 * high)
         return best
 
@@ -106,9 +125,11 @@ def top_products(
     dealt = rows.withColumn("block", block_of("id", row_blocks, 1))
 
     def run(part: DataFrame, asked: DataFrame, first: bool) -> DataFrame:
+        # One block only meets the first search: smaller groups of queries give it enough tasks.
+        groups = max(1, -(-size[2] // min(QUERIES_PER_FIRST, QUERIES_PER_BLOCK))) if first else query_blocks
         blocks = F.lit(0) if first else copies_to(row_blocks, 1)
-        left = part.withColumn("q", copies_to(query_blocks))
-        right = asked.withColumn("q", block_of("id", query_blocks, 2)).withColumn("block", blocks)
+        left = part.withColumn("q", copies_to(groups))
+        right = asked.withColumn("q", block_of("id", groups, 2)).withColumn("block", blocks)
         return (
             left.groupBy("block", "q")
             .cogroup(right.groupBy("block", "q"))
