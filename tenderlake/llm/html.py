@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from tenderlake.llm.common import add_columns, sampled
+from tenderlake.llm.common import add_columns, sampled, slices
 
 SAMPLE = 2000
 FEATURES = 5000
@@ -243,7 +243,7 @@ def fit(pages: DataFrame, *, html: str = "html", sample: int = SAMPLE) -> Weight
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        for batch in batches:
+        for batch in slices(batches, 0):
             for page in batch.column(0).to_pylist():
                 place = Place()
                 for kind, value, attributes in tokens(page):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from tenderlake.llm.common import add_columns, cut, find_all, remainder, training_documents
+from tenderlake.llm.common import add_columns, cut, find_all, remainder, slices, training_documents
 
 SAMPLE = 20_000
 PREFIXES = (4, 5, 6, 7)
@@ -58,7 +58,7 @@ def associated_words(training: DataFrame, words: int) -> list[str]:
                 names=["word", "zeros", "ones"],
             )
 
-        for batch in batches:
+        for batch in slices(batches, 0):
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = {w for part in find_all(WORD, text) for w in set(part)}
                 seen[label].update({f for w in own for f in features(w)})
@@ -138,7 +138,7 @@ def bags_of(training: DataFrame, words: list[str]) -> DataFrame:
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {w: i for i, w in enumerate(words)}
-        for batch in batches:
+        for batch in slices(batches, 1):
             plains, counts, ids, owners = [], [], [], []
             for text in batch.column(1).to_pylist():
                 plain, count, own, owner = 0, 0, array("i"), array("i")
@@ -184,7 +184,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, target: str = "toxic", sampl
     bags = bags_of(training, words)
     entries = F.sum(F.size("ids").cast("long") + F.col("count"))
     count, toxic, size = bags.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0)), entries).first()
-    if count < 50 or not 0 < toxic < count:
+    if not 0 < toxic < count:
         return Model([], np.zeros(0), -20.0, (toxic + 1) / (count + 2))
     if size > IN_DRIVER:
         return Model(words, *descend(lambda theta: slope_in_tasks(theta, bags, count), len(words)))
