@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tenderlake.functions.text import present, resolve_url
 from tenderlake.operators.joins import lookup
 from tenderlake.session import cut
 
@@ -58,6 +59,52 @@ def _round(reached: DataFrame, jumps: DataFrame) -> DataFrame:
     )
 
 
+def next_links(listing: DataFrame) -> DataFrame:
+    """(url, next_url) of listing pages from the rows at position -1 of ``extract_listing``, by page.
+
+    The link resolves against its page; NULL on a last page, and where it is an event target, which no address
+    names. Of several fetches of a page the last counts.
+    """
+    target = F.when(present(F.col("link")) & ~F.col("link").contains("$"), resolve_url(F.col("url"), F.col("link")))
+    pages = listing.filter(F.col("pos") == -1).select("page_id", "url", target.alias("next_url"))
+    return pages.groupBy("url").agg(F.max_by(F.struct("next_url"), "page_id").alias("last")).select("url", "last.next_url")
+
+
+def extend_chains(links: DataFrame, stored: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a run adds to the chains of earlier runs, and where they end now.
+
+    ``links`` (url, next_url) are the listing pages the run has fetched, ``stored`` (seed_url, url, depth) the pages
+    of all chains so far, ``ends`` (seed_url, next_url, depth) the chains that wait for a page. Only these are
+    followed on, and pages that nothing leads to begin chains of their own; closed chains are not looked at, but
+    for the addresses they hold: a chain ends where it comes back to itself. Returns new rows for ``stored`` and
+    the ``ends`` that take the place of the old ones.
+    """
+    links, ends = cut(links), cut(ends)
+    named = links.select(F.col("next_url").alias("url")).union(ends.select(F.col("next_url").alias("url")))
+    known = stored.select("url").union(named.filter("url IS NOT NULL")).distinct()
+    begun = lookup(links.select("url"), known, ["url"], "left_anti").select(F.col("url").alias("seed_url"), F.col("url").alias("wanted"), F.lit(0).alias("base"))
+    waiting = ends.select("seed_url", F.col("next_url").alias("wanted"), F.col("depth").alias("base")).union(begun)
+    waiting = cut(waiting.distinct())
+    followed = lookup(links, waiting.select(F.col("wanted").alias("url"), F.lit(True).alias("is_seed")).distinct(), ["url"], "left")
+    pieces = page_chain(followed.withColumn("is_seed", F.coalesce("is_seed", F.lit(False))), F.col("is_seed"))
+    found = pieces.select(F.col("seed_url").alias("wanted"), "url", "depth").join(waiting, "wanted")
+    found = cut(found.select("seed_url", "url", (F.col("base") + F.col("depth")).alias("depth")))
+    # A chain that comes to a page it holds ends before it.
+    held = stored.select("seed_url", "url").distinct()
+    again = lookup(found, held, ["seed_url", "url"], "left_semi").groupBy("seed_url").agg(F.min("depth").alias("stop"))
+    kept = lookup(found, again, ["seed_url"], "left").filter("stop IS NULL OR depth < stop")
+    rows = cut(kept.select("seed_url", "url", "depth", F.col("stop").isNotNull().alias("back")))
+    last = rows.groupBy("seed_url").agg(F.max_by(F.struct("url", "depth", "back"), "depth").alias("last"))
+    tips = lookup(last.select("seed_url", "last.*"), links, ["url"], "inner").filter("next_url IS NOT NULL AND NOT back")
+    # A next page that was fetched and is no part of the chain would have been followed: it leads back.
+    fetched = links.select(F.col("url").alias("next_url"))
+    own = held.union(rows.select("seed_url", "url")).withColumnRenamed("url", "next_url")
+    opened = lookup(lookup(tips, fetched, ["next_url"], "left_anti"), own, ["seed_url", "next_url"], "left_anti")
+    opened = opened.select("seed_url", "next_url", "depth")
+    closed = lookup(ends.select("seed_url", "next_url", "depth"), fetched, ["next_url"], "left_anti")
+    return rows.select("seed_url", "url", "depth"), cut(opened.union(closed))
+
+
 def chain_items(chain: DataFrame, items: DataFrame) -> DataFrame:
     """Items of all pages of each chain, with the page's place in it."""
     return items.join(chain, "url")

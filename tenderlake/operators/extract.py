@@ -1,8 +1,9 @@
 """Pages and recipes to rows. One pass parses each page once and emits small raw rows; all
 pattern, trim, hash and type work follows as column expressions.
 
-Pages are ``(page_id, url, html)`` and may carry ``scraper`` (else the recipe is the scraper) and
-``recipe_id`` (then only that recipe applies, else every recipe does). ``html`` is read in the scan's own partitions, never shuffled.
+Pages are ``(page_id, url, html)`` and may carry ``scraper`` (else the recipe is the scraper), and ``recipe_id`` or
+``recipe_ids`` (then only that recipe or those apply, else every recipe does). ``html`` is read in the scan's own
+partitions, never shuffled; rows leave as they are made, so a batch of large pages is never held whole.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from tenderlake.schemas import ITEM_FIELDS
 from tenderlake.sources.recipes import Recipe, Task, pattern_groups
 
 LIST_TASK, DETAIL_TASK = "GET_LINKS", "GET_DETAILS"
+ROWS_AT_ONCE = 2_000
 PAGE_KEYS = "page_id bigint, url string, scraper string, recipe_id string"
 
 Emit = Callable[[Page, Recipe], Iterator[tuple]]
@@ -44,10 +46,21 @@ def _scan(pages: DataFrame, recipes: list[Recipe], emit: Emit, columns: str) ->
     known = {r.recipe_id: r for r in recipes}  # small and checked when loaded; part of the task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+
+        def packed() -> pa.RecordBatch:
+            columns_ = zip(*rows) if rows else [[] for _ in schema]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(c), f.type) for c, f in zip(columns_, schema)], schema=schema
+            )
+
         for batch in batches:
-            rows = []
-            for page_id, url, scraper, recipe_id, html in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                chosen = known.values() if recipe_id is None else filter(None, [known.get(recipe_id)])
+            for i in range(batch.num_rows):
+                page_id, url, scraper, recipe_id, several, html = (batch.column(c)[i].as_py() for c in range(6))
+                if several is not None:
+                    chosen = filter(None, map(known.get, several))
+                else:
+                    chosen = known.values() if recipe_id is None else filter(None, [known.get(recipe_id)])
                 parsed: dict[bool, Page] = {}
                 for recipe in chosen:
                     entities = recipe.charset is None
@@ -55,13 +68,14 @@ def _scan(pages: DataFrame, recipes: list[Recipe], emit: Emit, columns: str) ->
                         parsed[entities] = Page(html or "", entities)
                     head = (page_id, url, recipe.recipe_id if scraper is None else scraper, recipe.recipe_id)
                     rows.extend(head + row for row in emit(parsed[entities], recipe))
-            columns_ = zip(*rows) if rows else [[] for _ in schema]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), f.type) for c, f in zip(columns_, schema)], schema=schema
-            )
+                if len(rows) >= ROWS_AT_ONCE:
+                    yield packed()
+                    rows.clear()
+        yield packed()
 
+    kinds_of = {"scraper": "string", "recipe_id": "string", "recipe_ids": "array<string>"}
     optional = [
-        F.col(c) if c in pages.columns else F.lit(None).cast("string").alias(c) for c in keys[2:]
+        F.col(c) if c in pages.columns else F.lit(None).cast(kind).alias(c) for c, kind in kinds_of.items()
     ]
     return pages.select("page_id", "url", *optional, "html").mapInArrow(run, f"{PAGE_KEYS}, {columns}")
 
@@ -112,6 +126,15 @@ def _emit_items(page: Page, recipe: Recipe) -> Iterator[tuple]:
         yield (position, href or "", *texts)
 
 
+def _emit_listing(page: Page, recipe: Recipe) -> Iterator[tuple]:
+    """The page itself, at position -1 with its link to the next page, and its items."""
+    task = recipe.task(LIST_TASK)
+    if task is not None:
+        target = _first_href(page, task.selectors.get("nextPage", ()), None)
+        yield (-1, target, *(None for _ in ITEM_FIELDS))
+        yield from _emit_items(page, recipe)
+
+
 def _emit_notice(page: Page, recipe: Recipe) -> Iterator[tuple]:
     task = recipe.task(DETAIL_TASK)
     if task is None:
@@ -190,8 +213,18 @@ def _patterned(df: DataFrame, recipes: list[Recipe], task_id: str) -> tuple[Data
 
 def extract_items(pages: DataFrame, recipes: list[Recipe]) -> DataFrame:
     """List items with position, link (postbacks unwrapped), field texts and identity hash."""
+    return _listed(pages, recipes, _emit_items)
+
+
+def extract_listing(pages: DataFrame, recipes: list[Recipe]) -> DataFrame:
+    """Items as ``extract_items`` gives them, and a row for each listing page at position -1: its link leads to the
+    next page. Each page is parsed once for both; a page without items has its own row alone."""
+    return _listed(pages, recipes, _emit_listing)
+
+
+def _listed(pages: DataFrame, recipes: list[Recipe], emit: Emit) -> DataFrame:
     columns = ", ".join(["pos int", "link string"] + [f"{f} string" for f in ITEM_FIELDS])
-    raw, text = _patterned(_scan(pages, recipes, _emit_items, columns), recipes, LIST_TASK)
+    raw, text = _patterned(_scan(pages, recipes, emit, columns), recipes, LIST_TASK)
     texts = [text(f).alias(f) for f in ITEM_FIELDS]
     items = raw.select(
         "page_id", "url", "scraper", "recipe_id", "pos", link_target(F.col("link")).alias("link"), *texts

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tenderlake.functions.text import is_uri, present, resolve_url
 from tenderlake.operators.joins import distinct_keys, lookup
+from tenderlake.sources.tables import pruned
 
 IDENTITY = ["scraper", "_hash"]
-BUCKET, BUCKETS = "scraper_bucket", 256
 
 
 def identified(items: DataFrame) -> DataFrame:
@@ -18,20 +18,8 @@ def identified(items: DataFrame) -> DataFrame:
 
 
 def prior_of(items: DataFrame, results: DataFrame) -> DataFrame:
-    """The stored results of the scrapers in a (materialised) run.
-
-    Where the table is stored in buckets of scrapers, only those are read that the run has a scraper of.
-    There are ``BUCKETS`` of them, however many scrapers.
-    """
-    if BUCKET not in results.columns:
-        return results
-    wanted = items.select(scraper_bucket().alias("bucket")).distinct().collect()
-    return results.filter(F.col(BUCKET).isin([row.bucket for row in wanted])).drop(BUCKET)
-
-
-def scraper_bucket() -> Column:
-    """The bucket of a stored row's scraper."""
-    return F.pmod(F.xxhash64("scraper"), F.lit(BUCKETS)).cast("int")
+    """The stored results of the scrapers in a (materialised) run, of a table in buckets only those buckets."""
+    return pruned(results, items)
 
 
 def prior_index(results: DataFrame, order: str) -> DataFrame:
@@ -114,10 +102,12 @@ def join_details(items: DataFrame, details: DataFrame, link: str = "link") -> Da
 
 
 def frontier(items: DataFrame, pages: DataFrame, link: str = "link") -> DataFrame:
-    """Links still to be fetched, once each."""
-    wanted = items.filter(present(F.col(link))).select(F.col(link).alias("link")).distinct()
-    fetched = pages.select(F.col("url").alias("link")).distinct()
-    return wanted.join(fetched, "link", "left_anti")
+    """Links still to be fetched, once each. Where pages belong to recipes, one that another recipe asks for has not
+    been fetched for that one."""
+    keys = ["link", *(c for c in ("recipe_id",) if c in items.columns and c in pages.columns)]
+    wanted = items.filter(present(F.col(link))).withColumn("link", F.col(link)).select(*keys).distinct()
+    fetched = pages.withColumn("link", F.col("url")).select(*keys).distinct()
+    return wanted.join(fetched, keys, "left_anti").select("link").distinct()
 
 
 def postback_requests(resolved: DataFrame, forms: DataFrame) -> DataFrame:

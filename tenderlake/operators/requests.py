@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tenderlake.functions.notice import date_text
 from tenderlake.functions.text import present
-from tenderlake.operators.ordered import BUCKET_WIDTH, with_running_sum
+from tenderlake.operators.ordered import with_running_sum
 
 MIN_DELAY = 1000
 
@@ -71,7 +71,7 @@ def request_delay(delay: Column, randomize: Column, unit: Column) -> Column:
     return F.when(given >= MIN_DELAY, F.when(randomize, spread).otherwise(MIN_DELAY).cast("bigint"))
 
 
-def crawl_plan(requests: DataFrame, width: int = BUCKET_WIDTH) -> DataFrame:
+def crawl_plan(requests: DataFrame) -> DataFrame:
     """Add ``wait_ms`` and ``start_ms``: when each of a recipe's requests starts, one after the other.
 
     ``(recipe, seq, delay, randomizeDelay)`` rows in; the random part derives from recipe and seq, so
@@ -80,4 +80,4 @@ def crawl_plan(requests: DataFrame, width: int = BUCKET_WIDTH) -> DataFrame:
     digits = F.substring(F.md5(F.concat("recipe", F.col("seq").cast("string"))), 1, 4)
     unit = F.conv(digits, 16, 10).cast("double") / 65536
     waits = requests.withColumn("wait_ms", request_delay(F.col("delay"), F.col("randomizeDelay"), unit))
-    return with_running_sum(waits, "recipe", "seq", F.col("wait_ms"), "start_ms", width)
+    return with_running_sum(waits, "recipe", "seq", F.col("wait_ms"), "start_ms")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tenderlake.functions.notice import literal_map
 from tenderlake.operators.incremental import IDENTITY
 from tenderlake.operators.joins import distinct_keys, lookup
-from tenderlake.operators.ordered import BUCKET_WIDTH, with_previous
+from tenderlake.operators.ordered import with_previous
 
 # Result codes of file tasks.
 RESULT_CODES = {
@@ -54,20 +54,21 @@ REPORT_TEMPLATE = """<html><body>
 </body></html>"""
 
 
-def run_stats(items: DataFrame, results: DataFrame, notices: DataFrame | None = None) -> DataFrame:
+def run_stats(listing: DataFrame, results: DataFrame, notices: DataFrame | None = None) -> DataFrame:
     """Per scraper: items with identity, new ones among them, notices made, and listing pages read.
 
-    Pages count by their first item, so no distinct count is needed and the items are read once.
+    Pages have a row of their own in the listing, at position -1; where it holds items alone, pages count by
+    their first item. Either way no distinct count is needed, and the listing is read once.
     """
     known = distinct_keys(results, IDENTITY).withColumn("__known", F.lit(True))
     # Items without identity have no key to look up.
-    keyed = items.withColumn("_hash", F.nullif("_hash", F.lit("")))
+    keyed = listing.withColumn("_hash", F.when(F.col("pos") >= 0, F.nullif("_hash", F.lit(""))))
     counted = lookup(keyed, known, IDENTITY, "left")
     found = F.col("_hash").isNotNull()
     stats = counted.groupBy("scraper").agg(
         F.count_if(found).alias("totalBiddings"),
         F.count_if(found & F.col("__known").isNull()).alias("newBiddings"),
-        F.count_if(F.col("pos") == 0).alias("totalPages"),
+        F.greatest(F.count_if(F.col("pos") == -1), F.count_if(F.col("pos") == 0)).alias("totalPages"),
     )
     if notices is None:
         stats = stats.withColumn("totalExtracted", F.lit(0).cast("bigint"))
@@ -101,9 +102,9 @@ def render_report(stats: DataFrame, template: str, start: Column, name: Column,
     return stats.withColumn("report", F.concat(*parts))
 
 
-def changed_progress(progress: DataFrame, width: int = BUCKET_WIDTH) -> DataFrame:
+def changed_progress(progress: DataFrame) -> DataFrame:
     """Snapshots that differ from the one before them of their task in a reported field."""
-    previous = with_previous(progress, "task", "seq", PROGRESS_FIELDS, width)
+    previous = with_previous(progress, "task", "seq", PROGRESS_FIELDS)
     changed = F.col("__prev").isNull()
     for field in PROGRESS_FIELDS:
         changed = changed | ~F.col(field).eqNullSafe(F.col(f"__prev.{field}"))

@@ -20,7 +20,7 @@ from tenderlake.plans.views import Tables
 from tenderlake.session import scratch_path
 from tenderlake.sources.pages import decode_pages, list_files
 from tenderlake.sources.recipes import Recipe, Task, parse_recipes
-from tenderlake.sources.results import append_new, read_table, with_defaults
+from tenderlake.sources.results import append_new, table, with_defaults
 
 JS_CLASS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
@@ -162,7 +162,7 @@ def results_append(t: Tables) -> DataFrame:
     append_new(rows.filter("modality < 4"), path)
     append_new(rows.filter("modality >= 4"), path)
     append_new(rows, path)
-    return _stored(read_table(t.spark, path, rows.schema))
+    return _stored(table(t.spark, path, rows.schema).read())
 
 
 @query()

@@ -14,7 +14,7 @@ from tenderlake.plans.batch import run_batch
 from tenderlake.plans.catalog import query
 from tenderlake.plans.catalog.extraction import MENU, SITE_RECIPE, task
 from tenderlake.plans.views import Tables
-from tenderlake.sources.recipes import Recipe, compile_recipes, parse_recipes
+from tenderlake.sources.recipes import Recipe, check_recipes, parse_recipes
 
 RUN_TS = "2024-01-01 06:00:00"
 
@@ -194,6 +194,32 @@ def incremental_batch_recipes(t: Tables) -> DataFrame:
     return batch.notices.select("scraper", "_hash", "number", "website")
 
 
+FILES = "http://files.example"
+
+
+@query(
+    r"""
+    WITH {views} l AS (SELECT *, concat('http://files.example', link) AS resolved FROM v_items WHERE link LIKE '/%'),
+    d AS (SELECT url, trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)) AS h1,
+            trim(regexp_replace(regexp_extract(html, '(?s)<li>(.*?)</li>', 1), '<[^>]*>', '', 'g')) AS li
+          FROM (SELECT concat('http://files.example', regexp_extract(html, '<nav><ul><li><a href="([^"]*)"', 1)) AS url,
+                  max_by(html, page_id) AS html FROM pages GROUP BY 1))
+    SELECT l.scraper, md5(resolved) AS _hash, CASE l.page_id % 2 WHEN 0 THEN h1 ELSE li END AS number, resolved AS website
+    FROM l JOIN d ON d.url = resolved
+    WHERE NOT EXISTS (SELECT 1 FROM l p WHERE p.page_id % 3 = 0 AND p.scraper = l.scraper AND p.resolved = l.resolved)
+    """
+)
+def incremental_batch_hosts(t: Tables) -> DataFrame:
+    """All details lie on a host of no recipe, and carry no recipe: each is read by the recipes that link to it."""
+    recipes = [_recipe("r0", "article", "h1"), _recipe("r1", "nav", "li:nth-child(1)")]
+    lists = t.site_pages().withColumns(
+        {"recipe_id": F.concat(F.lit("r"), F.col("page_id") % 2), "html": F.replace("html", F.lit('<a href="/'), F.lit(f'<a href="{FILES}/'))}
+    )
+    details = t.detail_pages().withColumn("url", F.concat(F.lit(FILES), F.regexp_extract("url", r"^[a-z]+://[^/?#]+(.*)$", 1)))
+    prior = t.items().filter("page_id % 3 = 0").select("scraper", F.md5(F.concat(F.lit(FILES), "link")).alias("_hash"))
+    return run_batch(lists, details, recipes, prior, run_time()).notices.select("scraper", "_hash", "number", "website")
+
+
 @query(
     """
     SELECT DISTINCT url, concat('t$', page_id, '$', pos) AS event_target, concat('t$', page_id, '$', pos) AS sent, 5 AS n_fields
@@ -212,23 +238,27 @@ def postback_requests(t: Tables) -> DataFrame:
 
 @query(
     """
-    SELECT concat('p', p_partkey) AS recipe_id, CASE p_partkey % 4 WHEN 0 THEN 'selector' WHEN 1 THEN 'pattern' ELSE 'empty' END AS kind
-    FROM part WHERE p_partkey % 4 < 3
+    SELECT concat('p', p_partkey) AS recipe_id, CASE p_partkey % 5 WHEN 0 THEN 'selector not supported: ''' || p_name || ', b'''
+      WHEN 1 THEN 'pattern not supported in p' || p_partkey || ': number' WHEN 2 THEN 'empty' ELSE 'no tasks' END AS reason
+    FROM part WHERE p_partkey % 5 < 4
     """
 )
 def recipe_rejects(t: Tables) -> DataFrame:
-    """Recipes that cannot run are set aside one by one, each with its reason."""
-    turn = F.col("p_partkey") % 4
-    body = F.when(turn == 2, "{}").otherwise(
-        F.concat(
-            F.lit('{"routine":[{"id":"GET_LINKS","selectors":{"link":"'), F.when(turn == 0, "a, b").otherwise("a"),
-            F.lit('"},"patterns":{"number":"'), F.when(turn == 1, "[^]").otherwise("[0-9]+"), F.lit('"}}]}'),
+    """Recipes that cannot run are set aside one by one, each with its reason; every part has texts of its own."""
+    turn = F.col("p_partkey") % 5
+    body = (
+        F.when(turn == 2, "{}")
+        .when(turn == 3, '{"name": "idle"}')
+        .otherwise(
+            F.concat(
+                F.lit('{"routine":[{"id":"GET_LINKS","selectors":{"link":"'),
+                F.when(turn == 0, F.concat("p_name", F.lit(", b"))).otherwise("a"),
+                F.lit('"},"patterns":{"number":"'), "p_partkey", F.when(turn == 1, "[^]").otherwise("[0-9]+"), F.lit('"}}]}'),
+            )
         )
     )
     tasks, unread = parse_recipes(t.part.select(F.concat(F.lit("p"), "p_partkey").alias("recipe_id"), body.alias("body")))
-    _, unsupported = compile_recipes(tasks)
-    kind = F.when(F.col("reason").startswith("pattern"), "pattern").otherwise("selector")
-    return unread.select("recipe_id", F.col("reason").alias("kind")).union(unsupported.select("recipe_id", kind))
+    return unread.unionByName(check_recipes(tasks)[1])
 
 
 @query(

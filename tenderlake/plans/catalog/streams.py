@@ -28,7 +28,7 @@ def stream_new_items(t: Tables) -> DataFrame:
     root = scratch_path(t.spark, "new-items")
     jobs.stream_new_items(pages, [SITE_RECIPE], root).awaitTermination()
     jobs.stream_new_items(pages, [SITE_RECIPE], root, run="again").awaitTermination()
-    return t.spark.read.parquet(f"{root}/out").select("page_id", "scraper", "pos", "link", "_hash")
+    return jobs.stored_items(t.spark, root).read().select("page_id", "scraper", "pos", "link", "_hash")
 
 
 @query(PROGRESS_SQL)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenderlake.operators.joins import lookup
 from tenderlake.operators.ordered import with_previous
 
 SITE = r"^([a-z]+://[^/?#]+)"
@@ -79,11 +80,12 @@ class Tables:
     def chain_pages(self) -> DataFrame:
         """Pages of a host in sequence, each naming the next."""
         listed = self.site_pages().select("page_id", F.col("scraper").alias("host"), "url")
-        # The page after is the page before in descending order; a host of many pages is cut into buckets.
+        # The page after is the page before in descending order.
         ahead = with_previous(listed.withColumn("back", -F.col("page_id")), "host", "back", ["url"])
-        ahead = ahead.select("page_id", "host", "url", F.col("__prev.url").alias("next_url"))
-        behind = with_previous(ahead, "host", "page_id", ["page_id"])
-        return behind.withColumn("is_seed", F.col("__prev").isNull()).drop("__prev")
+        first = listed.groupBy("host").agg(F.min("page_id").alias("first"))
+        return lookup(ahead, first, ["host"], "left").select(
+            "page_id", "host", "url", F.col("__prev.url").alias("next_url"), (F.col("page_id") == F.col("first")).alias("is_seed")
+        )
 
     def scrapers(self) -> DataFrame:
         last = self.orders.groupBy("o_custkey").agg(F.max("o_orderdate").alias("lastRunDate"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.errors import IllegalArgumentException
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,42 +95,75 @@ class Recipe:
         return next((t for t in self.tasks if t.id == task_id), None)
 
 
+_GROUPS: dict[str, int] = {}
+
+
 def pattern_groups(spark: SparkSession, pattern: str) -> int:
-    """Number of capture groups as the JVM counts them; 0 makes the whole match the result."""
-    return spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern).matcher("").groupCount()
+    """Number of capture groups as the JVM counts them; 0 makes the whole match the result. Each different
+    pattern is asked for once."""
+    if pattern not in _GROUPS:
+        _GROUPS[pattern] = spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern).matcher("").groupCount()
+    return _GROUPS[pattern]
+
+
+def _unsupported_selectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bad: dict[str, str] = {}
+        for text in batch.column(0).to_pylist():
+            try:
+                Selector(text)
+            except ValueError as error:
+                bad[text] = str(error)
+        yield pa.RecordBatch.from_pydict(
+            {"text": pa.array(list(bad), pa.string()), "reason": pa.array(list(bad.values()), pa.string())}
+        )
 
 
-def compile_recipes(tasks: DataFrame) -> tuple[list[Recipe], DataFrame]:
-    """Recipes compiled on the driver, and the rejected ones with a reason.
+def check_recipes(tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The task rows of recipes that can run, and the other recipes with a reason.
 
-    A recipe with a selector or pattern that is not supported is rejected whole; the others run.
+    A recipe with a selector or pattern that is not supported, or without any task, is rejected whole; its first
+    fault is the reason. Different texts are checked once each, where they are: selectors by the page scan's own
+    parser, patterns by the JVM's. No recipe passes through the driver.
     """
-    spark = tasks.sparkSession
-    rows = tasks.filter(F.col("task_idx").isNotNull()).orderBy("recipe_id", "task_idx").collect()
+    keys = ["recipe_id", "task_idx"]
+    given = tasks.filter(F.col("task_idx").isNotNull())
+    selectors = given.select(*keys, F.explode("selectors").alias("name", "texts")).select(
+        *keys, "name", F.explode("texts").alias("text")
+    )
+    foreign = selectors.select("text").distinct().filter("text IS NOT NULL").mapInArrow(
+        _unsupported_selectors, "text string, reason string"
+    )
+    patterns = given.select(*keys, F.explode("patterns").alias("name", "text")).filter("text IS NOT NULL")
+    compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col("text"))
+    broken = patterns.select("text").distinct().filter(compiled.isNull())
+    why = F.concat(F.lit("pattern not supported in "), "recipe_id", F.lit(": "), "name")
+    faults = (
+        patterns.join(broken, "text").select(*keys, F.lit(0).alias("turn"), "name", why.alias("reason"))
+        .union(selectors.join(foreign, "text").select(*keys, F.lit(1), "name", "reason"))
+        .union(
+            tasks.filter(F.col("task_idx").isNull()).select(*keys, F.lit(2), F.lit(""), F.lit("no tasks"))
+        )
+    )
+    rejects = faults.groupBy("recipe_id").agg(F.min_by("reason", F.struct("task_idx", "turn", "name", "reason")).alias("reason"))
+    return tasks.join(rejects.select("recipe_id"), "recipe_id", "left_anti"), rejects
+
+
+def compile_recipes(tasks: DataFrame) -> tuple[list[Recipe], DataFrame]:
+    """The recipes that can run, compiled for the page scan, and the rejected ones with a reason."""
+    usable, rejects = check_recipes(tasks)
     recipes: dict[str, Recipe] = {}
-    rejected: dict[str, str] = {}
-    for row in rows:
-        try:
-            task = _compile(spark, row)
-        except ValueError as error:
-            rejected.setdefault(row.recipe_id, str(error))
-            continue
+    for row in usable.orderBy("recipe_id", "task_idx").toLocalIterator():
         known = recipes.get(row.recipe_id)
         recipes[row.recipe_id] = Recipe(
-            row.recipe_id, row.charset, bool(row.aspnet), (known.tasks if known else ()) + (task,), row.baseURI, row.delay
+            row.recipe_id, row.charset, bool(row.aspnet), (known.tasks if known else ()) + (_compile(row),), row.baseURI, row.delay
         )
-    kept = [recipe for name, recipe in recipes.items() if name not in rejected]
-    return kept, spark.createDataFrame(sorted(rejected.items()), "recipe_id string, reason string")
+    return list(recipes.values()), rejects
 
 
-def _compile(spark: SparkSession, row) -> Task:
-    patterns = row.patterns or {}
-    for name, pattern in patterns.items():
-        try:
-            pattern_groups(spark, pattern)
-        except IllegalArgumentException as error:
-            raise ValueError(f"pattern not supported in {row.recipe_id}: {name}") from error
+def _compile(row) -> Task:
     selectors = {k: tuple(Selector(s) for s in v) for k, v in (row.selectors or {}).items()}
+    patterns = {k: v for k, v in (row.patterns or {}).items() if v is not None}
     return Task(row.task_id, row.is_list, row.pagination, selectors, patterns)
 
 

@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tenderlake.operators.incremental import BUCKET, new_items, prior_of, scraper_bucket
+from tenderlake.operators.incremental import new_items, prior_of
 from tenderlake.schemas import RESULT
 from tenderlake.session import cut
+from tenderlake.sources.tables import LogTable
 
 # Defaults of stored results.
 DEFAULTS = {"amount": 0.0, "approved": False, "ignored": False, "exclusive": False}
@@ -40,20 +41,15 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 def append_new(df: DataFrame, path: str) -> None:
     """Append the rows whose ``(scraper, _hash)`` the table lacks. Repeating an append adds nothing.
 
-    A missing scraper is stored as the empty one, so that it meets itself again. The table is cut into a
-    fixed number of buckets of scrapers: folders do not grow with the scrapers, and a run reads only the
-    buckets it has scrapers of. Rows are rebalanced by bucket before writing, so a small bucket makes one
-    file and one with a huge scraper is split over several tasks.
+    A missing scraper is stored as the empty one, so that it meets itself again. Readers see all of an append or
+    nothing of it, and only the buckets are read that the rows have a scraper of.
     """
     rows = cut(df.withColumn("scraper", F.coalesce("scraper", F.lit(""))))
-    stored = read_buckets(df.sparkSession, path, df.schema)
-    fresh = new_items(rows, prior_of(rows, stored)).withColumn(BUCKET, scraper_bucket())
-    fresh.hint("rebalance", F.col(BUCKET)).write.mode("append").partitionBy(BUCKET).parquet(path)
+    table(df.sparkSession, path, df.schema).append(lambda stored: new_items(rows, prior_of(rows, stored)))
 
 
-def read_buckets(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The table at ``path`` with the bucket of each row."""
-    return read_table(spark, path, T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())]))
+def table(spark: SparkSession, path: str, schema: T.StructType) -> LogTable:
+    return LogTable(spark, path, schema)
 
 
 def append_results(df: DataFrame, path: str) -> None:
@@ -61,5 +57,5 @@ def append_results(df: DataFrame, path: str) -> None:
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Stored results, with the bucket by which a run prunes them."""
-    return read_buckets(spark, path, RESULT)
+    """Stored results, with the buckets by which a run prunes them."""
+    return table(spark, path, RESULT).read()

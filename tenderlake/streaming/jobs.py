@@ -14,17 +14,27 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from tenderlake.operators.extract import extract_items
-from tenderlake.operators.incremental import BUCKET, new_items, prior_of, scraper_bucket
-from tenderlake.operators.ordered import BUCKET_WIDTH
+from tenderlake.operators.incremental import new_items, prior_of
 from tenderlake.operators.runs import STATE_FIELDS, changed_progress
 from tenderlake.operators.schedules import due
+from tenderlake.schemas import ITEM_FIELDS
 from tenderlake.session import cut
 from tenderlake.sources.recipes import Recipe
-from tenderlake.sources.results import read_buckets, read_table
+from tenderlake.sources.results import read_table
+from tenderlake.sources.tables import LogTable
 
 RETENTION_SECONDS = 5
+ITEM_ROW = StructType(
+    [
+        StructField("page_id", LongType()),
+        *(StructField(c, StringType()) for c in ("url", "scraper", "recipe_id")),
+        StructField("pos", IntegerType()),
+        *(StructField(c, StringType()) for c in ("link", *ITEM_FIELDS, "_hash")),
+    ]
+)
 
 
 def _start(
@@ -78,35 +88,36 @@ def _advance(df: DataFrame, root: str, batch: int) -> None:
     _drop(df.sparkSession, _version(root, "state", batch - 2))
 
 
-def new_items_step(recipes: list[Recipe], root: str, run: str) -> Callable[[DataFrame, int], None]:
-    out = os.path.join(root, "out")
+def stored_items(spark, root: str) -> LogTable:
+    """The items of a job: a base and small parts, one per batch until they are merged."""
+    return LogTable(spark, os.path.join(root, "items"), ITEM_ROW)
+
 
+def new_items_step(recipes: list[Recipe], root: str, run: str) -> Callable[[DataFrame, int], None]:
     def step(batch: DataFrame, number: int) -> None:
         items = cut(extract_items(batch, recipes))
-        keyed = items.withColumns({"run": F.lit(run), "batch": F.lit(number)})
-        stored = read_buckets(batch.sparkSession, out, keyed.schema)
-        earlier = stored.filter((F.col("run") != run) | (F.col("batch") < number))
-        fresh = new_items(items, prior_of(items, earlier)).withColumn(BUCKET, scraper_bucket()).hint("rebalance", F.col(BUCKET))
-        path = os.path.join(out, f"run={run}", f"batch={number}")
-        fresh.write.mode("overwrite").partitionBy(BUCKET).parquet(path)
+        stored_items(batch.sparkSession, root).append(
+            lambda stored: new_items(items, prior_of(items, stored)), f"{run}/{number}"
+        )
 
     return step
 
 
 def stream_new_items(pages: DataFrame, recipes: list[Recipe], root: str, run: str = "first") -> StreamingQuery:
-    """Append the new items of each batch of pages. Stored items are read again for every batch.
+    """Append the new items of each batch of pages to ``stored_items``; of what is stored only the two key columns
+    of the batch's scrapers are read. A repeated batch adds nothing.
 
     A ``run`` of another name reads all pages again, as a repeated crawl would.
     """
     return _start(pages, root, new_items_step(recipes, root, run), f"checkpoint-{run}")
 
 
-def progress_step(root: str, width: int) -> Callable[[DataFrame, int], None]:
+def progress_step(root: str) -> Callable[[DataFrame, int], None]:
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         last = _state(spark, root, number, batch.schema)
         rows = batch.withColumn("__old", F.lit(False)).unionByName(last.withColumn("__old", F.lit(True)))
-        fresh = changed_progress(rows, width).filter(~F.col("__old")).drop("__old")
+        fresh = changed_progress(rows).filter(~F.col("__old")).drop("__old")
         fresh.write.mode("overwrite").parquet(_version(root, "out", number))
         rest = [c for c in batch.columns if c != "task"]
         state = rows.groupBy("task").agg(F.max_by(F.struct(*rest), F.col("seq")).alias("row"))
@@ -115,9 +126,9 @@ def progress_step(root: str, width: int) -> Callable[[DataFrame, int], None]:
     return step
 
 
-def stream_progress(progress: DataFrame, root: str, width: int = BUCKET_WIDTH) -> StreamingQuery:
+def stream_progress(progress: DataFrame, root: str) -> StreamingQuery:
     """Append the changed snapshots of each batch, compared with the last snapshot of earlier ones."""
-    return _start(progress, root, progress_step(root, width))
+    return _start(progress, root, progress_step(root))
 
 
 def stamped_state(updates: DataFrame, fields: list[str] = STATE_FIELDS) -> DataFrame:

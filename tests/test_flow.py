@@ -56,17 +56,31 @@ def test_lookup_keeps_rows_without_key(spark):
     assert [r.n for r in lookup(left, table, ["k"], "left_anti").collect()] == [1]
 
 
-@pytest.mark.parametrize("width", [1, 7, 1000, 10**6])
-def test_buckets_equal_one_window(spark, width):
+@pytest.mark.parametrize("batch", ["7", "500"])
+def test_scan_equals_one_window(spark, batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     rows = spark.range(3000).select(
-        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 11).alias("k"), (F.col("id") * 3).alias("seq"), (F.col("id") % 5).alias("v")
+        F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 11 > 0, F.col("id") % 11).alias("k"),
+        F.when(F.col("id") > 9, F.col("id") * F.col("id") * 3).alias("seq"),
+        F.when(F.col("id") % 4 > 0, F.col("id") % 5).alias("v"),
     )
     w = Window.partitionBy("k").orderBy("seq")
-    want = rows.select("k", "seq", F.lag("v").over(w).alias("p"), F.sum("v").over(w).alias("s"))
-    got = ordered.with_previous(rows, "k", "seq", ["v"], width).select("k", "seq", F.col("__prev.v").alias("p"))
+    want = rows.select("k", "seq", F.lag("v").over(w).alias("p"), F.coalesce(F.sum("v").over(w), F.lit(0)).alias("s")).where("seq > 3000")
+    got = ordered.with_previous(rows, "k", "seq", ["v"]).select("k", "seq", F.col("__prev.v").alias("p")).where("seq > 3000")
     assert got.exceptAll(want.drop("s")).isEmpty() and want.drop("s").exceptAll(got).isEmpty()
-    summed = ordered.with_running_sum(rows, "k", "seq", F.col("v"), "s", width).select("k", "seq", "s")
+    summed = ordered.with_running_sum(rows, "k", "seq", F.col("v"), "s").select("k", "seq", "s").where("seq > 3000")
     assert summed.exceptAll(want.drop("p")).isEmpty() and want.drop("p").exceptAll(summed).isEmpty()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+
+
+def test_scan_of_one_key_with_equal_numbers(spark):
+    rows = spark.range(100_000).select(F.lit("hot").alias("k"), F.lit(5).alias("seq"), F.col("id"), F.lit(1).alias("v"))
+    spread = ordered._ranges(rows, "k", "seq").groupBy("__range").count().collect()
+    assert len(spread) == 4 and max(r["count"] for r in spread) < 50_000
+    sums = ordered.with_running_sum(rows, "k", "seq", F.col("v"), "s")
+    assert sums.agg(F.countDistinct("s"), F.min("s"), F.max("s")).first()[:] == (100_000, 1, 100_000)
+    before = ordered.with_previous(rows, "k", "seq", ["id"])
+    assert before.agg(F.countDistinct("__prev.id"), F.count_if(F.col("__prev").isNull())).first()[:] == (99_999, 1)
 
 
 def test_chain(spark):
@@ -154,6 +168,85 @@ def test_each_recipe_reads_its_own_details(spark):
         assert sorted((r.scraper, r.number) for r in batch.notices.collect()) == [("A", "one"), ("B", "two")]
 
 
+def _recipes(spark, *bodies):
+    from tenderlake.sources.recipes import load_recipes, parse_recipes
+
+    return load_recipes(parse_recipes(spark.createDataFrame(list(bodies), "recipe_id string, body string"))[0])
+
+
+LISTING = (
+    '{"baseURI":"http://%s.example/","routine":[{"id":"GET_LINKS","list":true,"selectors":{"container":"ul","listItem":"li","link":"a",'
+    '"nextPage":"a.next"}},{"id":"GET_DETAILS","selectors":{"container":"body","number":"%s"}}]}'
+)
+PAGE = "page_id bigint, url string, html string"
+
+
+def test_details_on_a_foreign_host(spark):
+    """One recipe or several: what a page is linked by reads it, wherever it lies."""
+    a, b = _recipes(spark, ("A", LISTING % ("a", "h1")), ("B", LISTING % ("b", "h2")))
+    listing = '<body><ul><li><a href="http://files.example/1">x</a></li></ul></body>'
+    lists = spark.createDataFrame([(1, "http://a.example/l", listing), (2, "http://b.example/l", listing)], PAGE)
+    details = spark.createDataFrame([(9, "http://files.example/1", "<body><h1>one</h1><h2>two</h2></body>")], PAGE)
+    none = spark.createDataFrame([], "scraper string, _hash string")
+    alone = run_batch(lists.filter("page_id = 1"), details, [a], none, run_time())
+    both = run_batch(lists, details, [a, b], none, run_time())
+    assert [(r.scraper, r.number) for r in alone.notices.collect()] == [("A", "one")]
+    assert sorted((r.scraper, r.number) for r in both.notices.collect()) == [("A", "one"), ("B", "two")]
+    assert both.to_fetch.isEmpty()
+    # A page that was fetched for one recipe is still to be fetched for the other that asks for it.
+    partly = run_batch(lists, details.withColumn("recipe_id", F.lit("B")), [a, b], none, run_time())
+    assert [r.scraper for r in partly.notices.collect()] == ["B"]
+    assert [r.link for r in partly.to_fetch.collect()] == ["http://files.example/1"]
+
+
+def _listing(number, following):
+    ahead = f'<a class="next" href="{following}">next</a>' if following else ""
+    return (number, f"http://a.example/p{number}", f'<body><ul><li><a href="/n/{number}">x</a></li></ul>{ahead}</body>')
+
+
+def test_pages_follow_each_other_over_three_runs(spark, tmp_path):
+    from tenderlake.plans.job import store_chains, stored_chains
+
+    recipes = _recipes(spark, ("A", LISTING % ("a", "h1")))
+    details = spark.createDataFrame([], PAGE)
+    none = spark.createDataFrame([], "scraper string, _hash string")
+    path, frontiers = str(tmp_path / "chains"), []
+    runs_ = [
+        [_listing(1, "/p2"), _listing(2, "p3"), _listing(20, "/p21"), (30, "http://a.example/p30", "<body></body>")],
+        [_listing(3, "/p4"), _listing(4, "/p5"), _listing(21, None)],
+        [_listing(5, "/p2")],  # leads back: the chain ends
+    ]
+    for number, pages in enumerate(runs_):
+        lists = spark.createDataFrame(pages, PAGE)
+        batch = run_batch(lists, details, recipes, none, run_time(), chains=stored_chains(spark, path))
+        frontiers.append(sorted(r.link.rpartition("/")[2] for r in batch.next_pages.collect()))
+        assert batch.stats.first().totalPages == len(pages)
+        for _ in range(2):  # storing again changes nothing
+            store_chains(batch.chains, path, str(number))
+    assert frontiers == [["p21", "p3"], ["p5"], []]
+    rows = stored_chains(spark, path).pages.collect()
+    short = sorted((r.seed_url.rpartition("/")[2], r.depth, r.url.rpartition("/")[2]) for r in rows)
+    assert short == [("p1", i, f"p{i}") for i in range(1, 6)] + [("p20", 1, "p20"), ("p20", 2, "p21"), ("p30", 1, "p30")]
+
+
+def test_runs_of_one_scraper_at_once(spark, tmp_path):
+    from tenderlake.plans import job
+    from tenderlake.sources.claims import Claims
+
+    claims, moment = Claims(spark, str(tmp_path / "claims")), run_time()
+    ids = spark.createDataFrame([("A",), ("B",)], "id string")
+    with pytest.raises(RuntimeError), job.claimed(claims, ids, moment, "one") as first:
+        with job.claimed(claims, ids, moment, "two") as second:
+            assert second.isEmpty()
+        assert sorted(r.id for r in first.collect()) == ["A", "B"]
+        raise RuntimeError("the run fails")
+    with job.claimed(claims, ids, moment, "three") as third:
+        assert third.count() == 2
+        recipes = _recipes(spark, ("A", LISTING % ("a", "h1")), ("C", LISTING % ("c", "h1")))
+        pages = spark.createDataFrame([_listing(1, None), (2, "http://c.example/", "")], PAGE)
+        assert [r.page_id for r in job.of_scrapers(pages, third, recipes).collect()] == [1]
+
+
 def test_postbacks_become_requests_and_then_notices(spark):
     from tenderlake.plans.batch import run_batch as run
     from tenderlake.sources.recipes import load_recipes, parse_recipes
@@ -276,6 +369,7 @@ def test_job_over_folders(spark, tmp_path):
     spark.createDataFrame(pages, schema).write.parquet(folders["list-pages"])
     spark.createDataFrame(details, schema).write.parquet(folders["detail-pages"])
     arguments = ["--recipes", "tests/fixtures/recipes", "--run-ts", "2024-01-01 06:00:00"]
+    arguments += ["--chains", str(tmp_path / "chains"), "--claims", str(tmp_path / "claims")]
     for name, folder in folders.items():
         arguments += [f"--{name}", folder]
     for _ in range(2):

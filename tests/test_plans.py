@@ -8,12 +8,12 @@ import pytest
 from tenderlake.operators import incremental, runs, store
 from tenderlake.operators.extract import extract_items, extract_notices
 from tenderlake.operators.schedules import due, make_schedules
-from tenderlake.plans.batch import new_notices, wanted_pages
+from tenderlake.plans.batch import asked_pages, new_notices, through_filter
 from tenderlake.plans.catalog.extraction import SITE_RECIPE
 from tenderlake.plans.catalog.increments import run_time
 from tenderlake.plans.views import Tables
 from tenderlake.session import cut
-from tenderlake.sources.results import append_new, read_buckets
+from tenderlake.sources.results import append_new, table
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -52,8 +52,8 @@ def test_html_is_never_shuffled(t, no_broadcast):
 
 
 def test_pages_are_reduced_before_the_scan_in_python(t):
-    wanted = t.detail_pages().select(F.col("url").alias("resolved")).limit(3)
-    text = plan(extract_notices(wanted_pages(cut(wanted), t.detail_pages()), [SITE_RECIPE]))
+    wanted = t.detail_pages().select(F.col("url").alias("resolved"), F.lit("site").alias("recipe_id")).limit(3)
+    text = plan(extract_notices(asked_pages(cut(wanted), t.detail_pages()), [SITE_RECIPE]))
     assert text.index("BroadcastHashJoin") > text.index("MapInArrow")  # the tree prints from the top
 
 
@@ -73,12 +73,29 @@ def test_stored_results_are_read_by_partition(spark, t, tmp_path):
     items = cut(t.hashed_items())
     append_new(items, str(tmp_path / "r"))
     few = cut(items.filter(F.col("scraper") == items.first().scraper))
-    stored = read_buckets(spark, str(tmp_path / "r"), items.schema)
+    stored = table(spark, str(tmp_path / "r"), items.schema).read()
     text = plan(incremental.new_items(few, incremental.prior_of(few, stored)))
     assert re.search(r"PartitionFilters: \[[^\n]*scraper_bucket", text)
     assert "ReadSchema: struct<scraper:string,_hash:string>" in text
 
 
+def test_progress_needs_no_window_over_rows(t):
+    """Ranges hand on one row each; the rows themselves are compared in one pass over stored ranges."""
+    text = plan(runs.changed_progress(t.progress()))
+    windows = re.findall(r"\) Window\nInput \[\d+\]: \[([^\n]*)\]", text)
+    assert len(windows) == 1 and "totalBiddings" not in windows[0].replace("last#", "")
+    assert "BroadcastHashJoin" in text and not re.search("CartesianProduct|NestedLoop|BatchEvalPython", text)
+
+
+def test_pages_let_through_in_error(spark):
+    """The filter's share of errors does not grow with the addresses, and it never stops a wanted page."""
+    page = lambda n, start: spark.range(start, start + n).select(F.concat(F.lit("http://h.example/"), "id").alias("url"))
+    for count in (1_000, 300_000):
+        wanted = cut(page(count, 0))
+        assert through_filter(wanted, page(count, 0), count).count() == count
+        assert through_filter(wanted, page(100_000, 10_000_000), count).count() < 2_000
+
+
 def test_top_rows_need_no_full_sort(t):
     assert "TakeOrderedAndProject" in plan(store.last_run(t.scrapers()))
 
@@ -87,7 +104,6 @@ def test_joins_are_equalities(t, no_broadcast):
     made, _ = make_schedules(t.schedule_requests())
     for df in (
         due(made, t.ticks()),
-        runs.changed_progress(t.progress()),
         incremental.known_items(t.hashed_items(), t.prior(), "seq"),
         store.pending_with_scraper(t.results(), t.scrapers()),
     ):

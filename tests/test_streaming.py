@@ -30,7 +30,7 @@ def same(a, b):
 def test_progress(spark, tmp_path):
     t = Tables(spark, FOLDER)
     stream = in_parts(spark, t.events, str(tmp_path / "in"), "event_id", 4)
-    run = jobs.stream_progress(t.progress(stream), str(tmp_path / "job"), width=100)
+    run = jobs.stream_progress(t.progress(stream), str(tmp_path / "job"))
     run.awaitTermination()
     assert run.lastProgress.batchId >= 3
     got = spark.read.parquet(str(tmp_path / "job/out")).drop("batch")
@@ -41,7 +41,7 @@ def test_new_items_follow_each_other(spark, tmp_path):
     t = Tables(spark, FOLDER)
     stream = in_parts(spark, t.site_pages(), str(tmp_path / "in"), "page_id", 3)
     jobs.stream_new_items(stream, [SITE_RECIPE], str(tmp_path / "job")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "job/out"))
+    got = jobs.stored_items(spark, str(tmp_path / "job")).read()
     everything = extract_items(t.site_pages(), [SITE_RECIPE]).select("scraper", "_hash").distinct()
     assert same(got.select("scraper", "_hash").distinct(), everything)
     # A key stored by one batch is not taken up by a later one: all its rows are of one batch of pages.
@@ -85,7 +85,7 @@ def test_repeated_batch_changes_nothing(spark, tmp_path):
     t = Tables(spark, FOLDER)
     root = str(tmp_path)
     halves = [t.events.filter("event_id < 500"), t.events.filter("event_id >= 500")]
-    step = jobs.progress_step(root, 1000)
+    step = jobs.progress_step(root)
     for number, attempts in ((0, 2), (1, 3)):
         for _ in range(attempts):
             step(t.progress(halves[number]), number)
@@ -100,7 +100,7 @@ def test_repeated_batch_of_items(spark, tmp_path):
     for run in ("first", "first", "other"):
         jobs.new_items_step([SITE_RECIPE], root, run)(t.site_pages(), 0)
     columns = ["page_id", "scraper", "pos", "link", "_hash"]
-    assert same(spark.read.parquet(f"{root}/out").select(columns), t.hashed_items().select(columns))
+    assert same(jobs.stored_items(spark, root).read().select(columns), t.hashed_items().select(columns))
 
 
 def test_due_takes_a_stream_of_ticks(spark, tmp_path):
