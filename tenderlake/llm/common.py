@@ -4,22 +4,36 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
 from tenderlake.session import cut
 
-__all__ = ["add_columns", "cut", "find_all", "free_name", "remainder", "sampled", "slices", "training_documents"]
+__all__ = ["add_columns", "cut", "find_all", "free_name", "remainder", "sampled", "slices", "small_batches", "training_documents"]
 
 SLICE_BYTES = 4_000_000
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Jobs started inside hand Python at most ``rows`` rows at a time: for rows with long lists, of which a default
+    batch would fill buffers on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def add_columns(
     df: DataFrame,
     source: str | list[str],

@@ -14,29 +14,31 @@ class at once, so copies never meet each other. Between classes:
   indexed alone as well; sets near that size do both, so every pair has a form in common.
 * Round one verifies each member of an index list against the list's first member only: as many pairs as
   list entries, found by one pass over sorted lists. That already joins most of a group of near copies.
-* Round two verifies members of one list that round one left in different components. Pairs inside a
-  component need no further look, so a group's pairs are never all made.
+* Round two goes on with members of one list that round one left in different components: again one member
+  against all, pass by pass, and at the end the few pairs left. Pairs inside a component need no further look,
+  so a group's pairs are never all made.
 
 Sizes, positions and sketches bound the overlap before a pair's whole sets are brought together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Iterable, Iterator
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenderlake.llm.common import cut
+from tenderlake.llm.common import cut, small_batches
 
 FREQUENT_ABOVE = 32
 FREQUENT_TOKENS = 1 << 18
 COMBINED = 2
 COMBINED_SIZE = 512
-COUNTED_AT_ONCE = 4_000_000
+SEEN_BITS = 27
+TOKENS_AT_ONCE = 200_000
 SEEN_SETS = 500_000
 FILTER_WORDS = 1 << 16
 SKETCH_WIDTHS = (8, 18)
@@ -64,28 +66,37 @@ def _needed(percent: int, n1: Column, n2: Column, overlap: Column) -> Column:
     return 100 * overlap >= percent * (n1 + n2 - overlap)
 
 
+def by_tokens(batches: Iterable[pa.RecordBatch], place: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the lists of column ``place`` hold about ``TOKENS_AT_ONCE`` values in each."""
+    for batch in batches:
+        ends = np.cumsum(batch.column(place).value_lengths().to_numpy(), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + TOKENS_AT_ONCE, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def frequent_tokens(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``FREQUENT_TOKENS`` tokens above ``FREQUENT_ABOVE`` documents, sorted, with their counts."""
+    """At most ``FREQUENT_TOKENS`` tokens above ``FREQUENT_ABOVE`` documents, sorted, with their counts.
 
-    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+    A task passes over the first document of each token it meets: a bit set of fixed size tells which hashes have
+    been there. Two tokens on one bit only bring a count too many to the exact sum.
+    """
 
-        def counts():
-            tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n > 1
-            return pa.RecordBatch.from_arrays(
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = np.zeros(1 << (SEEN_BITS - 3), np.uint8)
+        for batch in by_tokens(batches, 0):
+            tokens, n = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
+            spot = tokens & ((1 << SEEN_BITS) - 1)
+            byte, bit = spot >> 3, np.left_shift(1, spot & 7).astype(np.uint8)
+            often = (n > 1) | ((met[byte] & bit) > 0)
+            np.bitwise_or.at(met, byte, bit)
+            yield pa.RecordBatch.from_arrays(
                 [pa.array(tokens[often]), pa.array(n[often].astype(np.int64))], names=["token", "n"]
             )
 
-        for batch in batches:
-            held.append(batch.column(0).flatten().to_numpy(zero_copy_only=False))
-            size += len(held[-1])
-            if size >= COUNTED_AT_ONCE:
-                yield counts()
-                held, size = [], 0
-        if held:
-            yield counts()
-
     rows = (
         sets.select("hashes")
         .mapInArrow(repeated, "token long, n long")
@@ -121,7 +132,7 @@ def index_entries(sets: DataFrame, percent: int) -> DataFrame:
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = shared.value
         seen: dict[tuple[int, int], int] = {}
-        for batch in batches:
+        for batch in by_tokens(batches, 3):
             ids, k1s, k2s = (batch.column(i).to_numpy() for i in range(3))
             lists = batch.column(3)
             flat = lists.flatten().to_numpy(zero_copy_only=False)
@@ -259,7 +270,7 @@ def with_sketch(sets: DataFrame) -> DataFrame:
     """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_tokens(batches, 3):
             lists = batch.column(3)
             sizes = lists.value_lengths().to_numpy()
             rows = np.repeat(np.arange(batch.num_rows), sizes)
@@ -383,6 +394,64 @@ def _pairs(rows: DataFrame, a: str, b: str, percent: int) -> DataFrame:
     return kept.groupBy(*keys).agg(*(F.min(c).alias(c) for c in ("a_id", "a_n", "b_id", "b_n")))
 
 
+MEMBER = ("sig", "pos", "k1", "k2", "n", "id")
+
+
+def _open_members(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """Entries of the lists that hold more than one component, with ``component``, stored."""
+    known = rows.select(*MEMBER).join(near, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    lists = known.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    return cut(known.join(lists.select("sig"), "sig").select(*MEMBER, "component"))
+
+
+def _merged(near: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component) after links (u, v) between components; what they join are components, so only these are."""
+    named = links
+    for end in ("u", "v"):
+        name = near.select(F.col("id").alias(end), F.col("component").alias(f"{end}_c"))
+        named = named.join(name, end, "left")
+    joined = components(named.select(F.coalesce("u_c", "u").alias("u"), F.coalesce("v_c", "v").alias("v")))
+    last = cut(joined.select(F.col("id").alias("component"), F.col("component").alias("final")))
+    moved = near.join(last, "component", "left").select("id", F.coalesce("final", "component").alias("component"))
+    alone_before = last.join(near.select(F.col("id").alias("component")), "component", "left_anti")
+    return cut(moved.union(alone_before.select("component", "final")))
+
+
+def _joined_across_lists(
+    lists: DataFrame, near: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int
+) -> DataFrame:
+    """(id, component) once the lists' members that round one left in different components are compared too.
+
+    Each pass compares one member of every list with all others of other components, as many pairs as entries,
+    and takes it out: it has met them all. What links joins needs no more comparing. Passes go on while they
+    link anything and the pairs left outnumber the entries; the rest is compared pair by pair.
+    """
+    members, linking = _open_members(lists, near), True
+    for number in count():
+        each = members.groupBy("sig", "component").agg(F.count("*").cast("double").alias("m"))
+        of_list = each.groupBy("sig").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("s"))
+        entries, pairs = of_list.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("s")) / 2)).first()
+        if not pairs:
+            return near
+        other, one_each = members, linking and pairs > entries
+        if one_each:
+            first = F.min(F.struct(F.xxhash64(F.lit(number), "id").alias("turn"), *MEMBER[1:], "component"))
+            other = cut(members.groupBy("sig").agg(first.alias("f")).select("sig", "f.*").drop("turn"))
+        left = members.select("sig", *(F.col(c).alias(f"l_{c}") for c in members.columns[1:]))
+        right = other.select("sig", *(F.col(c).alias(f"r_{c}") for c in members.columns[1:]))
+        apart = left.join(right, "sig").where(
+            f"l_component {'<>' if one_each else '<'} r_component"
+            f" and 100 * least(l_n, r_n) >= {percent} * greatest(l_n, r_n)"
+            f" and (100 + {percent}) * least(l_n - l_pos, r_n - r_pos) >= {percent} * (l_n + r_n)"
+        )
+        links = verified(_pairs(apart, "l_", "r_", percent), sets, sketches, percent, False)
+        near = _merged(near, links)
+        if not one_each:
+            return near
+        linking = not links.isEmpty()
+        members = _open_members(members.join(other.select("sig", "id"), ["sig", "id"], "left_anti"), near)
+
+
 def jaccard_components(
     df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 3, percent: int = 90
 ) -> DataFrame:
@@ -402,35 +471,14 @@ def jaccard_components(
     )
     usable = sets.where("n > 0 and id is not null")
 
-    sketches = cut(with_sketch(usable))
-    lists = cut(with_first(index_entries(usable, percent)))
+    with small_batches(df.sparkSession):
+        sketches = cut(with_sketch(usable))
+        entries = index_entries(usable, percent)
+        lists = cut(with_first(entries))
     first = verified(_pairs(lists, "", "f_", percent), usable, sketches, percent, True)
     near = cut(components(first))
 
-    # Members that round one left apart, in lists that still have more than one component.
-    known = lists.join(near, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_lists = (
-        known.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    )
-    members = cut(known.join(open_lists.select("sig"), "sig").select("sig", "pos", "k1", "k2", "n", "id", "component"))
-    left = members.select("sig", *(F.col(c).alias(f"l_{c}") for c in members.columns[1:]))
-    right = members.select("sig", *(F.col(c).alias(f"r_{c}") for c in members.columns[1:]))
-    apart = left.join(right, "sig").where(
-        "l_component < r_component"
-        f" and 100 * least(l_n, r_n) >= {percent} * greatest(l_n, r_n)"
-        f" and (100 + {percent}) * least(l_n - l_pos, r_n - r_pos) >= {percent} * (l_n + r_n)"
-    )
-    second = verified(_pairs(apart, "l_", "r_", percent), usable, sketches, percent, False)
-    # What round two joins are components of round one, so only these are joined further.
-    name = near.select(F.col("id"), "component")
-    named = second
-    for end in ("u", "v"):
-        named = named.join(name.select(F.col("id").alias(end), F.col("component").alias(f"{end}_c")), end, "left")
-    joined = components(named.select(F.coalesce("u_c", "u").alias("u"), F.coalesce("v_c", "v").alias("v")))
-    last = cut(joined.select(F.col("id").alias("component"), F.col("component").alias("final")))
-    moved = near.join(last, "component", "left").select("id", F.coalesce("final", "component").alias("component"))
-    alone_before = last.join(near.select(F.col("id").alias("component")), "component", "left_anti")
-    linked = cut(moved.union(alone_before.select("component", "final")))
+    linked = _joined_across_lists(lists, near, usable, sketches, percent)
 
     classes = usable.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("rows"))
     roots = cut(

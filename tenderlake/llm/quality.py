@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
-from tenderlake.llm.common import add_columns, find_all, remainder, training_documents
+from tenderlake.llm.common import add_columns, find_all, remainder, slices, training_documents
 
 SAMPLE = 12_000
 WORDS = 2048
@@ -34,14 +35,14 @@ HIDDEN = 32
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
 CACHE_WORDS = 300_000
+HELD_WORDS = 100_000
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
 def shape(token: str) -> str:
     """The kinds of characters of a token, each run once: ``Word`` is ``<Xx>``, ``A1`` is ``<X9>``."""
-    kinds = ["X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in token[:32]]
-    runs = [k for i, k in enumerate(kinds) if not i or kinds[i - 1] != k]
-    return "<" + "".join(runs[:4]) + ">"
+    kinds = ("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in token)
+    return "<" + "".join(kind for kind, _ in groupby(kinds)) + ">"
 
 
 class Places(dict):
@@ -75,12 +76,12 @@ def vocabulary(training: DataFrame, words: int) -> list[str]:
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
-        for batch in batches:
+        for batch in slices(batches, 0):
             for text in batch.column(0).to_pylist():
                 own = {token for part in find_all(TOKEN, text) for token in part}
                 seen.update(own)
                 seen.update({shape(token) for token in own})
-                if len(seen) > 500_000:
+                if len(seen) > HELD_WORDS:
                     yield pa.RecordBatch.from_pydict({"token": list(seen), "n": list(seen.values())})
                     seen.clear()
         yield pa.RecordBatch.from_pydict({"token": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
@@ -105,25 +106,27 @@ def word_vectors(training: DataFrame, words: list[str]) -> np.ndarray:
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fixed, total, places = fixed_vectors(len(words)), np.zeros((len(words), SIZE), np.int64), Places(words)
-        pairs: list[np.ndarray] = []
-
-        def flush():
-            code, n = np.unique(np.concatenate(pairs), return_counts=True)
-            np.add.at(total, code // len(words), fixed[code % len(words)] * n[:, None])
-            pairs.clear()
-
-        for batch in batches:
+        # How often word b stands beside word a: a table of the vocabulary's size squared, whatever the texts.
+        beside = np.zeros(len(words) * len(words), np.int64)
+        some = False
+        for batch in slices(batches, 0):
             for text in batch.column(0).to_pylist():
+                carried = np.zeros(0, np.int64)
                 for part in find_all(TOKEN, text):
                     ids = np.fromiter(map(places.__getitem__, part), np.int64, len(part))
-                    ids = ids[ids >= 0]
+                    ids = np.concatenate([carried, ids[ids >= 0]])
                     for step in range(1, WINDOW + 1):
-                        a, b = ids[:-step], ids[step:]
-                        pairs += [a * len(words) + b, b * len(words) + a]
-                if sum(map(len, pairs)) > 4_000_000:
-                    flush()
-        if pairs:
-            flush()
+                        # Pairs within what was carried over have been counted.
+                        first = max(0, len(carried) - step)
+                        a, b = ids[first : len(ids) - step], ids[first + step :]
+                        np.add.at(beside, a * len(words) + b, 1)
+                        np.add.at(beside, b * len(words) + a, 1)
+                    carried = ids[-WINDOW:]
+                    some = True
+        if some:
+            for at in range(0, len(words), 64):
+                # Doubles hold these whole numbers exactly.
+                total[at : at + 64] = beside.reshape(len(words), -1)[at : at + 64].astype(float) @ fixed.astype(float)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(len(words))), pa.array(list(total))], names=["word", "v"]
             )
@@ -164,7 +167,8 @@ class Network:
         draw = np.random.RandomState(5)
         self.mean, self.spread = x.mean(0), x.std(0) + 1e-6
         order = draw.permutation(len(x))
-        held = order[: len(x) // 5]
+        # With fewer than five rows the same ones serve both ends.
+        held = order[: len(x) // 5] if len(x) >= 5 else order
         rest = order[len(x) // 5 :]
         z = (x - self.mean) / self.spread
         self.layers = [
@@ -235,7 +239,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, target: str = "quality", sam
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = Places(words)
-        for batch in batches:
+        for batch in slices(batches, 1):
             x = pooled(batch.column(1).to_pylist(), places, vectors)
             arrays = [batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "label", "x"])
@@ -243,7 +247,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, target: str = "quality", sam
     # One vector of fixed length per sampled document.
     rows = sorted(training.mapInArrow(features, "doc_id long, label int, x array<double>").collect())
     y = np.array([r["label"] for r in rows], np.float64)
-    if len(rows) < 50 or not 0 < y.sum() < len(y):
+    if not 0 < y.sum() < len(y):
         return Classifier(words, vectors, Constant(y))
     return Classifier(words, vectors, Network(np.array([r["x"] for r in rows]), y))
 

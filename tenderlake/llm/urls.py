@@ -1,12 +1,14 @@
-"""URL filter: rules where they fit, and trust spread over the link graph of hosts where none does.
+"""URL filter: rules where they fit, and PageRank over the link graph of hosts where none does.
 
 A rule names a host and a path; it fits its host and all subdomains, for paths that start with the rule's,
 and the longest fitting rule decides. For the other pages their host decides, by two numbers from 0 to 1.
-Distrust is the share of a host's pages that rules block, plus, for the share without a rule, the distrust of
-the hosts they link to, averaged over those links and damped once a link. Trust is the share that rules allow
-plus, for the share without a rule, that of the hosts that link to it, in the same way. A host is blocked if
-its distrust reaches ``threshold`` and exceeds its trust. Neither falls when others link to a host, nor
-depends on hosts that no path leads to: a host that links to blocked hosts only has 0.85 however many do.
+
+Trust flows along links, by personalised PageRank from the hosts' shares of allowed pages; distrust flows against
+them, from the shares of blocked pages: who links to blocked hosts is suspect. A rank alone thins out where a host
+hands it to many, so it is held against the rank that the same host receives in the same direction when all hosts
+start alike: the part of what comes in that stems from trusted, or blocked, ones. To this, damped once and for the
+share of its pages without a rule, a host adds its own share. A host is blocked if its distrust reaches
+``threshold`` and exceeds its trust. Both ranks go through the same rounds, so one table carries them.
 
 Edges are counted per pair of hosts before anything else, so the graph is as large as the host pairs, not
 the links. Ranks meet edges by joins of plain rows: a host with very many links is split like any hot key.
@@ -14,7 +16,7 @@ the links. Ranks meet edges by joins of plain rows: a host with very many links
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +34,7 @@ RULES = (
 )
 DAMPING = 0.85
 STEADY = 1e-6
+ROUNDS_PER_TABLE = 4
 # Sums in another order differ by less.
 NOISE = 1e-9
 THRESHOLD = 0.5
@@ -75,70 +78,52 @@ def host_edges(pages: DataFrame, host: str, html: str) -> DataFrame:
     )
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
-    """Personalised PageRank (host, rank) over weighted edges (src, dst, n) from ``seeds`` (host, seed).
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING) -> DataFrame:
+    """Personalised PageRank over weighted edges (src, dst, n), for every column of ``seeds`` beside ``host`` at once.
 
-    Ranks keep the scale of the seeds: what hosts without outgoing edges hold goes back to the seeds in
-    proportion. They are masses, which thin out along links, so no threshold is held against them.
+    A rank is what a walk leaves at a host that starts at the seeds and ends with the same chance at each step; at a
+    host without edges it ends anyway. So ranks add up over seeds, and a larger seed never gives a smaller rank.
+    Rounds end when they move no rank by ``STEADY``; ``ROUNDS_PER_TABLE`` of them are one written table.
     """
+    columns = [c for c in seeds.columns if c != "host"]
     out = edges.groupBy("src").agg(F.sum("n").alias("all"))
     shares = cut(
-        edges.join(out, "src")
-        .select(F.col("src").alias("host"), "dst", (damping * F.col("n") / F.col("all")).alias("share"))
+        edges.join(out, "src").select(F.col("src").alias("host"), "dst", (damping * F.col("n") / F.col("all")).alias("share"))
     )
-    ends = shares.select("host").distinct()
-    seeds = cut(seeds.where("seed > 0").select("host", "seed"))
-    whole = seeds.agg(F.sum("seed")).first()[0] or 0.0
-
-    def back(ranks: DataFrame) -> float:
-        loose = ranks.join(ends, "host", "left_anti").agg(F.sum("rank")).first()[0] or 0.0
-        return (1 - damping) + (damping * loose / whole if whole else 0.0)
-
-    return _settled(shares, seeds, back, rounds)
-
-
-def reach(edges: DataFrame, hosts: DataFrame, damping: float = DAMPING) -> DataFrame:
-    """(host, rank): ``seed`` plus ``damping`` times ``open`` times the mean rank of ``src`` over a host's edges.
-
-    Edges (src, dst, n) hand ranks from ``src`` to ``dst``; ``hosts`` (host, seed, open) has what takes part.
-    Ranks stay within 0 and 1 where ``seed`` and ``open`` add up to at most 1.
-    """
-    whole = edges.groupBy("dst").agg(F.sum("n").alias("all"))
-    takes = hosts.where("open > 0").select(F.col("host").alias("dst"), "open").join(whole, "dst")
-    shares = cut(
-        edges.join(takes, "dst").select(
-            F.col("src").alias("host"), "dst", (damping * F.col("open") * F.col("n") / F.col("all")).alias("share")
-        )
-    )
-    return _settled(shares, cut(hosts.where("seed > 0").select("host", "seed")), lambda ranks: 1.0)
-
-
-def _settled(
-    shares: DataFrame, seeds: DataFrame, back: Callable[[DataFrame], float], rounds: int | None = None
-) -> DataFrame:
-    """Ranks (host, rank) that equal ``back`` times the seeds plus what ``shares`` (host, dst, share) bring.
-
-    Ends when no rank moves by ``STEADY``: damping shrinks the moves by the same part every round, so it does.
-    Each round is a table.
-    """
-    ranks = seeds.select("host", F.col("seed").alias("rank"))
-    done = 0
-    while rounds is None or done < rounds:
-        moved = ranks.join(shares, "host").select(F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
-        none = F.lit(0.0).alias("old")
-        new = cut(
-            moved.select("host", "rank", none)
-            .union(seeds.select("host", (back(ranks) * F.col("seed")).alias("rank"), none))
-            .union(ranks.select("host", F.lit(0.0).alias("rank"), F.col("rank").alias("old")))
-            .groupBy("host")
-            .agg(F.sum("rank").alias("rank"), F.sum("old").alias("old"))
+    starts = cut(seeds.groupBy("host").agg(*(((1 - damping) * F.sum(c)).alias(c) for c in columns)))
+    if shares.isEmpty():
+        return starts
+    ranks, old = starts, [f"old_{c}" for c in columns]
+    while True:
+        new = ranks
+        for _ in range(ROUNDS_PER_TABLE):
+            before = new
+            moved = before.join(shares, "host").select(F.col("dst").alias("host"), *((F.col(c) * F.col("share")).alias(c) for c in columns))
+            new = moved.union(starts.select("host", *columns)).groupBy("host").agg(*(F.sum(c).alias(c) for c in columns))
+        # The last round beside the one before it: their difference bounds all that is still to come.
+        zero, last = F.lit(0.0), [F.col(c).alias(o) for c, o in zip(columns, old, strict=True)]
+        both = new.select("host", *columns, *(zero.alias(o) for o in old)).union(
+            before.select("host", *(zero.alias(c) for c in columns), *last)
         )
-        change = new.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0]
-        ranks = new.select("host", "rank")
-        done += 1
-        if (change or 0.0) < STEADY:
-            break
-    return ranks
+        both = cut(both.groupBy("host").agg(*(F.sum(c).alias(c) for c in (*columns, *old))))
+        moves = [F.max(F.abs(F.col(c) - F.col(o))) for c, o in zip(columns, old, strict=True)]
+        ranks = both.select("host", *columns)
+        if max(both.agg(*moves).first(), default=0.0) < STEADY:
+            return ranks
+
+
+def flow(edges: DataFrame, shares: DataFrame, own: str) -> DataFrame:
+    """(host, rank): a host's share ``own``, plus, damped and for its share ``open``, the part of the PageRank it
+    receives that stems from such shares."""
+    known = edges.select(F.col("src").alias("host")).union(edges.select(F.col("dst").alias("host")))
+    known = known.union(shares.select("host")).distinct()
+    seeds = known.join(shares.select("host", F.col(own).alias("own")), "host", "left")
+    ranks = spread(edges, seeds.select("host", F.coalesce("own", F.lit(0.0)).alias("own"), F.lit(1.0).alias("every")))
+    came = F.col("rank_own") - (1 - DAMPING) * F.col(own)
+    all_came = F.col("every") - (1 - DAMPING)
+    part = F.when(all_came > NOISE, F.least(F.greatest(came, F.lit(0.0)) / all_came, F.lit(1.0))).otherwise(0.0)
+    joined = shares.join(ranks.withColumnRenamed("own", "rank_own"), "host")
+    return joined.select("host", (F.col(own) + DAMPING * F.col("open") * part).alias("rank"))
 
 
 def judge_urls(
@@ -172,8 +157,7 @@ def judge_urls(
         )
     )
     against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    trust = reach(edges, shares.select("host", F.col("allow").alias("seed"), "open"))
-    distrust = reach(against, shares.select("host", F.col("block").alias("seed"), "open"))
+    trust, distrust = flow(edges, shares, "allow"), flow(against, shares, "block")
     hosts = cut(
         shares.select("host")
         .join(trust.withColumnRenamed("rank", "trust"), "host", "left")

@@ -45,6 +45,16 @@ def test_one_of_each_group_stays(spark, odd):
     assert sorted(d for d in kept if d is not None) == sorted(want) and kept.count(None) == 1
 
 
+def test_texts_that_share_an_id_are_judged_each(spark, docs):
+    long = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(3, long), (5, long + " end"), (5, other), (5, other), (5, None), (6, other + " end"), (7, "alone")]
+    df = spark.createDataFrame([(d, t, "en", None, 0) for d, t in rows], docs.schema)
+    kept = sorted((r["doc_id"], r["text"] or "") for r in corpus_pipeline.one_of_each(spark, df, FOLDER).collect())
+    # Of the two rows named 5 that are near copies of others, each stands for its own group.
+    assert kept == sorted([(5, ""), (5, long + " end"), (5, other), (7, "alone")])
+
+
 def test_no_personal_data_is_left(spark, odd):
     rows = corpus_pipeline.without_personal_data(spark, odd, FOLDER).collect()
     assert len(rows) == odd.count()

@@ -39,14 +39,13 @@ def test_rules(spark):
     assert urls.judge_urls(df.limit(0)).collect() == []
 
 
-def brute_rank(edges, seeds, rounds=200):
+def brute_rank(edges, seeds, rounds=300):
     out = {}
     for (a, _), n in edges.items():
         out[a] = out.get(a, 0) + n
-    rank, whole = dict(seeds), sum(seeds.values())
+    rank = {h: (1 - urls.DAMPING) * s for h, s in seeds.items()}
     for _ in range(rounds):
-        loose = sum(v for h, v in rank.items() if h not in out)
-        new = {h: s * (1 - urls.DAMPING + urls.DAMPING * loose / whole) for h, s in seeds.items()}
+        new = {h: (1 - urls.DAMPING) * s for h, s in seeds.items()}
         for (a, b), n in edges.items():
             new[b] = new.get(b, 0) + urls.DAMPING * rank.get(a, 0) * n / out[a]
         rank = new
@@ -57,18 +56,23 @@ def test_spread_equals_plain_iteration(spark):
     edges = {("a", "b"): 2, ("a", "c"): 1, ("b", "c"): 1, ("c", "a"): 1, ("d", "c"): 5}
     seeds = {"a": 1.0, "d": 0.5}
     table = spark.createDataFrame([(*e, n) for e, n in edges.items()], "src string, dst string, n long")
-    start = spark.createDataFrame(list(seeds.items()), "host string, seed double")
-    got = {r["host"]: r["rank"] for r in urls.spread(table, start, rounds=100).collect()}
+    start = spark.createDataFrame([(h, s, 1.0) for h, s in seeds.items()], "host string, own double, every double")
+    got = {r["host"]: r for r in urls.spread(table, start).collect()}
     for host, want in brute_rank(edges, seeds).items():
-        assert abs(got.get(host, 0) - want) < 1e-4
+        assert abs(got[host]["own"] - want) < 1e-4
+    for host, want in brute_rank(edges, dict.fromkeys(seeds, 1.0)).items():
+        assert abs(got[host]["every"] - want) < 1e-4
 
 
-def test_hosts_that_link_to_blocked_ones_are_blocked(spark):
+def test_verdicts_follow_the_ranks(spark, monkeypatch):
     link = '<a href="https://bad.net/es/1">x</a> <a HREF=//Bad.net>y</a> <a href="/own">z</a>'
     rows = [(i, f"http://bad.net/es/{i}", None, None) for i in range(4)]
     rows += [(10, "http://fan.net/x", link, None), (11, "http://calm.net/x", "<p>bad.net</p>", None)]
-    got = {r["page_id"]: r["verdict"] for r in urls.judge_urls(spark.createDataFrame(rows, SCHEMA), threshold=0.3).collect()}
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r["page_id"]: r["verdict"] for r in urls.judge_urls(df).collect()}
     assert got[10] == "block" and got[11] == "allow" and got[0] == "block"
+    monkeypatch.setattr(urls, "spread", lambda edges, seeds: seeds)
+    assert {r["page_id"]: r["verdict"] for r in urls.judge_urls(df).collect()}[10] == "allow"
 
 
 def page(i, host, *targets, path="/x"):
@@ -95,7 +99,9 @@ def test_linkers_do_not_clear_a_blocked_host(spark):
     blocked = [page(i, "bad.net", path="/es/1") for i in range(49)] + [page(49, "bad.net", path="/free")]
     got = verdicts(spark, [*blocked, page(60, "a.org", "bad.net"), page(61, "b.org", "a.org")])
     assert got[49]["rule"] is None and got[49]["verdict"] == "block"
-    assert got[60]["verdict"] == got[61]["verdict"] == "block"
+    # Distrust fades with the distance: a linker's linker is not blocked.
+    assert got[60]["verdict"] == "block" and got[61]["verdict"] == "allow"
+    assert got[60]["distrust"] > got[61]["distrust"] > 0.3
 
 
 def test_trust_and_distrust_equal_plain_iteration(spark):
@@ -115,15 +121,15 @@ def test_trust_and_distrust_equal_plain_iteration(spark):
                 edges[host, t] = edges.get((host, t), 0) + 1
     share = {h: [x / max(sum(v), 1) for x in v] for h, v in share.items() if sum(v)}
     want = []
-    for which, far in ((0, 0), (1, 1)):  # trust comes from those who link here, distrust from those linked to
-        rank = dict.fromkeys(names, 0.0)
-        for _ in range(300):
-            new = {}
-            for h, v in share.items():
-                own = [(e[far], n) for e, n in edges.items() if e[1 - far] == h]
-                mean = sum(rank[x] * n for x, n in own) / sum(n for _, n in own) if own else 0.0
-                new[h] = v[which] + urls.DAMPING * v[2] * mean
-            rank = {**rank, **new}
+    for which in (0, 1):  # trust goes along the links, distrust against them
+        way = {(a, b) if which == 0 else (b, a): n for (a, b), n in edges.items()}
+        hosts = {h for e in way for h in e} | set(share)
+        own = brute_rank(way, {h: share.get(h, [0, 0, 0])[which] for h in hosts})
+        every = brute_rank(way, dict.fromkeys(hosts, 1.0))
+        rank = {}
+        for h, v in share.items():
+            came, all_came = (r[h] - (1 - urls.DAMPING) * s for r, s in ((own, v[which]), (every, 1.0)))
+            rank[h] = v[which] + urls.DAMPING * v[2] * (came / all_came if all_came > 1e-9 else 0.0)
         want.append(rank)
     got = verdicts(spark, pages)
     for r in got.values():
