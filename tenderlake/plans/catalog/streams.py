@@ -15,16 +15,32 @@ from tenderlake.session import scratch_path
 from tenderlake.streaming import jobs
 
 
-def _stream(t: Tables, table: str) -> DataFrame:
-    schema = getattr(t, table).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.folder)
+FILES = 4
 
 
-@query("SELECT page_id, scraper, pos, link, _hash FROM v_hashed")
+def _stream(t: Tables, table: str, order: str) -> DataFrame:
+    """The table as a stream of several files, one per micro-batch, cut at even steps of ``order``."""
+    rows, path = getattr(t, table), scratch_path(t.spark, f"stream-{table}")
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    at = F.floor((F.col(order) - low) * FILES / (high - low + 1))
+    for i in range(FILES):
+        rows.filter(at == i).coalesce(1).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query(
+    f"""
+    SELECT page_id, scraper, pos, link, _hash FROM (
+      SELECT *, min(part) OVER (PARTITION BY scraper, _hash) AS first_part FROM (
+        SELECT *, floor((page_id - low) * {FILES} / (high - low + 1)) AS part FROM v_hashed,
+          (SELECT min(page_id) AS low, max(page_id) AS high FROM pages)))
+    WHERE part = first_part
+    """
+)
 def stream_new_items(t: Tables) -> DataFrame:
-    """All items of the first batch are new, copies included; a second run of the pages adds none."""
+    """A batch keeps its copies of an item that no earlier one has; a second run of the pages adds none."""
     host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
-    pages = _stream(t, "pages").withColumn("scraper", host)
+    pages = _stream(t, "pages", "page_id").withColumn("scraper", host)
     root = scratch_path(t.spark, "new-items")
     jobs.stream_new_items(pages, [SITE_RECIPE], root).awaitTermination()
     jobs.stream_new_items(pages, [SITE_RECIPE], root, run="again").awaitTermination()
@@ -34,7 +50,7 @@ def stream_new_items(t: Tables) -> DataFrame:
 @query(PROGRESS_SQL)
 def stream_progress(t: Tables) -> DataFrame:
     root = scratch_path(t.spark, "progress")
-    jobs.stream_progress(t.progress(_stream(t, "events")), root).awaitTermination()
+    jobs.stream_progress(t.progress(_stream(t, "events", "event_id")), root).awaitTermination()
     return t.spark.read.parquet(f"{root}/out").drop("batch")
 
 
@@ -48,14 +64,15 @@ def stream_progress(t: Tables) -> DataFrame:
 )
 def stream_task_state(t: Tables) -> DataFrame:
     root = scratch_path(t.spark, "task-state")
-    jobs.stream_task_state(t.updates(_stream(t, "events")), root).awaitTermination()
-    return jobs.current_state(t.spark, root)
+    updates = t.updates(_stream(t, "events", "event_id"))
+    jobs.stream_task_state(updates, root).awaitTermination()
+    return jobs.current_state(t.spark, root, updates)
 
 
 @query(DUE_SQL)
 def stream_due(t: Tables) -> DataFrame:
     schedules, _ = make_schedules(t.schedule_requests())
-    ticks = _stream(t, "events").select(tick().alias("tick"))
+    ticks = _stream(t, "events", "event_id").select(tick().alias("tick"))
     root = scratch_path(t.spark, "due")
     jobs.stream_due(ticks, schedules, root).awaitTermination()
     return t.spark.read.parquet(f"{root}/out").select("scraper", "frequency", "tick")

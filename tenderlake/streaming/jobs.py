@@ -1,15 +1,15 @@
 """Streams as repeated micro-batch steps over the batch operators.
 
-State lives in tables next to the output, one version per micro-batch, and each step overwrites the
-version of its own batch id: a step repeated after a failure writes the same rows again. Keyed
-state processing would hand all rows of a task to one worker; these steps aggregate before the shuffle
-and cut ordered work into buckets, so a task that holds a third of the rows is split.
+State lives in tables next to the output: a batch adds the rows of the keys it touched, under its own number, and
+a step repeated after a failure finds them there. Steps aggregate before the shuffle and scan ordered work by
+ranges, so a task that holds a third of the rows is split; what a batch reads of the state are the buckets of its keys.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,13 +18,14 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 
 from tenderlake.operators.extract import extract_items
 from tenderlake.operators.incremental import new_items, prior_of
+from tenderlake.operators.joins import lookup
 from tenderlake.operators.runs import STATE_FIELDS, changed_progress
 from tenderlake.operators.schedules import due
 from tenderlake.schemas import ITEM_FIELDS
 from tenderlake.session import cut
 from tenderlake.sources.recipes import Recipe
 from tenderlake.sources.results import read_table
-from tenderlake.sources.tables import LogTable
+from tenderlake.sources.tables import LogTable, pruned
 
 RETENTION_SECONDS = 5
 ITEM_ROW = StructType(
@@ -57,37 +58,6 @@ def output(spark, root: str, schema) -> DataFrame:
     return read_table(spark, os.path.join(root, "out"), schema)
 
 
-def _state(spark, root: str, number: int, schema) -> DataFrame:
-    """The state before batch ``number``: empty before the first, and never silently lost after it."""
-    path = _version(root, "state", number - 1)
-    target, files = _files(spark, path)
-    if number > 0 and not files.exists(target):
-        raise FileNotFoundError(f"the state of batch {number - 1} is missing: {path}")
-    return read_table(spark, path, schema)
-
-
-def _files(spark, path: str):
-    """The path and its file system."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _drop(spark, path: str) -> None:
-    target, files = _files(spark, path)
-    files.delete(target, True)
-
-
-def _last_version(spark, root: str, name: str) -> int:
-    target, files = _files(spark, os.path.join(root, name))
-    return max(int(f.getPath().getName().removeprefix("batch=")) for f in files.listStatus(target))
-
-
-def _advance(df: DataFrame, root: str, batch: int) -> None:
-    """Write this batch's state version; only the one before is still needed, for a repeat."""
-    df.write.mode("overwrite").parquet(_version(root, "state", batch))
-    _drop(df.sparkSession, _version(root, "state", batch - 2))
-
-
 def stored_items(spark, root: str) -> LogTable:
     """The items of a job: a base and small parts, one per batch until they are merged."""
     return LogTable(spark, os.path.join(root, "items"), ITEM_ROW)
@@ -112,32 +82,57 @@ def stream_new_items(pages: DataFrame, recipes: list[Recipe], root: str, run: st
     return _start(pages, root, new_items_step(recipes, root, run), f"checkpoint-{run}")
 
 
+def _last_of_tasks(rows: DataFrame, order: str) -> DataFrame:
+    """The last row of each task."""
+    rest = [c for c in rows.columns if c != "task"]
+    last = rows.groupBy("task").agg(F.max_by(F.struct(*rest), F.col(order)).alias("row"))
+    return last.select("task", "row.*").select(*rows.columns)
+
+
+def _task_table(spark, root: str, schema: StructType, fold: Callable[[DataFrame, str | None], DataFrame]) -> LogTable:
+    """State by task: a batch adds the rows of the tasks it touched, merges keep the last of each."""
+    return LogTable(spark, os.path.join(root, "state"), schema, "task", fold)
+
+
+def _of_tasks(table: LogTable, rows: DataFrame) -> DataFrame:
+    """Stored rows of the tasks of (materialised) ``rows``; of the others' buckets none is read."""
+    stored = pruned(table.read(), rows, "task")
+    return lookup(stored, rows.select("task").distinct(), ["task"], "left_semi")
+
+
 def progress_step(root: str) -> Callable[[DataFrame, int], None]:
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        last = _state(spark, root, number, batch.schema)
+        table = _task_table(batch.sparkSession, root, batch.schema, lambda rows, _: _last_of_tasks(rows.select(*batch.columns), "seq"))
+        if table.has(f"batch/{number}"):
+            return  # its output was written before its state
+        touched = cut(_last_of_tasks(batch, "seq"))
+        last = _last_of_tasks(_of_tasks(table, touched).select(*batch.columns), "seq")
         rows = batch.withColumn("__old", F.lit(False)).unionByName(last.withColumn("__old", F.lit(True)))
         fresh = changed_progress(rows).filter(~F.col("__old")).drop("__old")
         fresh.write.mode("overwrite").parquet(_version(root, "out", number))
-        rest = [c for c in batch.columns if c != "task"]
-        state = rows.groupBy("task").agg(F.max_by(F.struct(*rest), F.col("seq")).alias("row"))
-        _advance(state.select("task", "row.*").select(*batch.columns), root, number)
+        table.append(lambda _: touched, f"batch/{number}")
 
     return step
 
 
 def stream_progress(progress: DataFrame, root: str) -> StreamingQuery:
-    """Append the changed snapshots of each batch, compared with the last snapshot of earlier ones."""
+    """Append the changed snapshots of each batch, compared with the last snapshot of earlier ones.
+
+    What a batch reads and writes of the state goes with the tasks it touches, one row each, also for a task that
+    holds a third of the rows.
+    """
     return _start(progress, root, progress_step(root))
 
 
 def stamped_state(updates: DataFrame, fields: list[str] = STATE_FIELDS) -> DataFrame:
     """Per task the last supplied value of each field, with the order number and time it came at."""
 
-    def last(field: str) -> Column:
-        return F.max_by(F.struct(field, "seq", "ts"), F.when(F.col(field).isNotNull(), F.col("seq")))
+    return updates.groupBy("task").agg(*_last_values(fields))
+
 
-    return updates.groupBy("task").agg(*[last(f).alias(f) for f in fields])
+def _last_values(fields: list[str]) -> list[Column]:
+    given = lambda f: F.when(F.col(f).isNotNull(), F.col("seq"))
+    return [F.max_by(F.struct(f, "seq", "ts"), given(f)).alias(f) for f in fields]
 
 
 def _as_updates(state: DataFrame, fields: list[str]) -> DataFrame:
@@ -170,35 +165,68 @@ def stream_task_state(
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        empty = stamped_state(batch.limit(0), fields).withColumn("clock", F.lit(None).cast("timestamp_ntz"))
-        stored = _state(spark, root, number, empty.schema)
-        times = batch.select("ts").unionByName(stored.select(F.col("clock").alias("ts")))
-        clock = F.lit(str(times.agg(F.max("ts")).first()[0])).try_cast("timestamp_ntz")
-        rows = batch.select("task", "seq", "ts", *fields).unionByName(_as_updates(stored, fields))
-        folded = stamped_state(rows, fields).withColumn("clock", clock)
-        over = F.col("running.running") == F.lit(False)
-        expired = F.col("running.ts") + F.expr(f"INTERVAL {int(retention)} SECOND") < F.col("clock")
-        _advance(folded.filter(~F.coalesce(over & expired, F.lit(False))), root, number)
+        empty = stamped_state(batch.limit(0), fields).withColumn("version", F.lit(0))
+        table = _state_table(batch.sparkSession, root, empty.schema, retention)
+        if table.has(f"batch/{number}"):
+            return
+        # One row per task from here on.
+        made = batch.groupBy("task").agg(F.max("ts").alias("__ts"), *_last_values(fields))
+        touched = cut(made)
+        earlier = table.state()[1].get("mark")
+        latest = touched.agg(F.max("__ts").cast("string")).first()[0]
+        stored = _last_of_tasks(_of_tasks(table, touched).select(*empty.columns), "version")
+        stored = stored.filter(~_has_left(earlier, retention))  # a task that left starts anew
+        rows = _as_updates(touched, fields).unionByName(_as_updates(stored, fields))
+        folded = stamped_state(rows, fields).withColumn("version", F.lit(number))
+        clock = max((c for c in (earlier, latest) if c), key=_moment, default=None)
+        table.append(lambda _: folded, f"batch/{number}", clock)
 
     return _start(updates, root, step)
 
 
-def current_state(spark, root: str, fields: list[str] = STATE_FIELDS) -> DataFrame:
-    """The state after the last batch."""
-    state = spark.read.parquet(_version(root, "state", _last_version(spark, root, "state")))
-    return state.select("task", *[F.col(f"{f}.{f}").alias(f) for f in fields])
+def _moment(clock: str) -> datetime:
+    return datetime.fromisoformat(clock)
+
+
+def _has_left(clock: str | None, retention: int) -> Column:
+    """Whether a task finished more than ``retention`` seconds before the clock."""
+    over = F.col("running.running") == F.lit(False)
+    expired = F.col("running.ts") + F.expr(f"INTERVAL {int(retention)} SECOND") < F.lit(clock).try_cast("timestamp_ntz")
+    return F.coalesce(over & expired, F.lit(False))
+
 
+def _state_table(spark, root: str, schema: StructType, retention: int) -> LogTable:
+    def fold(rows: DataFrame, clock: str | None) -> DataFrame:
+        last = _last_of_tasks(rows.select(*schema.names), "version")
+        return last.filter(~_has_left(clock, retention))
 
-def stream_due(ticks: DataFrame, schedules: DataFrame, root: str) -> StreamingQuery:
-    """Append the schedules due at each tick not seen before."""
+    return _task_table(spark, root, schema, fold)
+
+
+def current_state(
+    spark, root: str, updates: DataFrame, retention: int = RETENTION_SECONDS, fields: list[str] = STATE_FIELDS
+) -> DataFrame:
+    """The state after the last batch of a job over ``updates`` (its columns' types are those of the state)."""
+    empty = spark.createDataFrame([], updates.schema)
+    schema = stamped_state(empty, fields).withColumn("version", F.lit(0)).schema
+    table = _state_table(spark, root, schema, retention)
+    state = _last_of_tasks(table.read().select(*schema.names), "version")
+    kept = state.filter(~_has_left(table.state()[1].get("mark"), retention))
+    return kept.select("task", *[F.col(f"{f}.{f}").alias(f) for f in fields])
+
+
+def stream_due(ticks: DataFrame, schedules: DataFrame, root: str, late: str = "1 day") -> StreamingQuery:
+    """Append the schedules due at each tick not seen before.
+
+    Ticks are remembered until the latest one is ``late`` ahead of them; a tick that comes even later is past its
+    time and starts nothing. So the state has the ticks of that span, however long the stream runs.
+    """
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', tick)")
+    # Event time needs a point on the time line: the tick's own digits, whatever the session's time zone.
+    timed = ticks.filter("tick IS NOT NULL").select("tick", F.timestamp_micros(micros).alias("at"))
+    fresh = timed.withWatermark("at", late).dropDuplicatesWithinWatermark(["at"]).select("tick")
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        known = batch.select("tick", F.lit(0).alias("batch")).schema
-        seen = read_table(spark, os.path.join(root, "ticks"), known).filter(F.col("batch") < number)
-        fresh = batch.select("tick").distinct().join(seen.select("tick"), "tick", "left_anti")
-        due(schedules, fresh).write.mode("overwrite").parquet(_version(root, "out", number))
-        fresh.write.mode("overwrite").parquet(_version(root, "ticks", number))
-
-    return _start(ticks, root, step)
+        due(schedules, batch).write.mode("overwrite").parquet(_version(root, "out", number))
+
+    return _start(fresh, root, step)

@@ -71,7 +71,7 @@ def test_task_state_leaves_and_starts_anew(spark, tmp_path):
         stream = spark.readStream.schema(df.schema).parquet(path)
         for _ in range(2):  # the second start finds nothing new
             jobs.stream_task_state(stream, str(tmp_path / "job")).awaitTermination()
-        state = jobs.current_state(spark, str(tmp_path / "job"))
+        state = jobs.current_state(spark, str(tmp_path / "job"), df)
         seen.append({r.task: (r.running, r.code, r.message) for r in state.collect()})
     assert seen == [
         {1: (False, 203, "one"), 2: (True, 204, "two")},
