@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderlake.llm import bpe, jaccard, mixing, pii, quality
+from tenderlake.llm.common import cut, free_name
 from tenderlake.session import scratch_path
 
 # Near copies: five-word shingles, a similarity of 0.8.
 WORDS, PERCENT = 5, 80
+MOST_BROADCAST = 100_000
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -29,17 +31,30 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id, once.
 
-    Documents without an id belong to no group and stay.
+    Documents without an id belong to no group and stay. Rows of one id with different texts are documents of
+    their own: each is judged by its text, and in a group they go before the others. Rows with one id and text
+    stay once, the smallest by its other columns.
     """
-    found = jaccard.jaccard_components(docs, words=WORDS, percent=PERCENT)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    # Repeated rows of one id stay once: any of them, chosen by text.
-    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
-    columns = [c for c in docs.columns if c != "doc_id"]
-    once = named.groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in columns if c != "text"))).alias("row"))
-    return (
-        once.select("doc_id", "row.*").select(docs.columns).union(docs.where("doc_id is null"))
+    key, several = free_name(docs, "row_key_", "several_texts_")
+    named = docs.where("doc_id is not null")
+    print_of = F.xxhash64("text", F.col("text").isNull())
+    ids = cut(
+        named.groupBy("doc_id")
+        .agg(F.min(print_of).alias("low"), F.max(print_of).alias("high"))
+        .where("low <> high")
+        .select("doc_id", F.lit(True).alias(several))
+    )
+    # Such ids are rare; a table of many meets the documents by an ordinary join.
+    few = ids.count() <= MOST_BROADCAST
+    own = -F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.col("text").isNull()), 1) - 1
+    keyed = named.join(F.broadcast(ids) if few else ids, "doc_id", "left").withColumn(
+        key, F.when(F.col(several), own).otherwise(F.col("doc_id"))
     )
+    found = jaccard.jaccard_components(keyed.select(key, "text"), doc_id=key, words=WORDS, percent=PERCENT)
+    gone = found.where(F.col("component_id") != F.col(key)).select(key).distinct()
+    columns = ["doc_id", *(c for c in docs.columns if c != "doc_id")]
+    once = keyed.join(gone, key, "left_anti").groupBy(key).agg(F.min(F.struct(columns)).alias("row"))
+    return once.select("row.*").select(docs.columns).union(docs.where("doc_id is null"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
