@@ -14,9 +14,9 @@ class at once, so copies never meet each other. Between classes:
   indexed alone as well; sets near that size do both, so every pair has a form in common.
 * Round one verifies each member of an index list against the list's first member only: as many pairs as
   list entries, found by one pass over sorted lists. That already joins most of a group of near copies.
-* Round two goes on with members of one list that round one left in different components: again one member
-  against all, pass by pass, and at the end the few pairs left. Pairs inside a component need no further look,
-  so a group's pairs are never all made.
+* Round two compares members of one list that round one left in different components, where a sketch of a few
+  bytes that they carry allows it. Pairs inside a component need no further look, so a group's pairs are never
+  all made.
 
 Sizes, positions and sketches bound the overlap before a pair's whole sets are brought together.
 """
@@ -24,7 +24,7 @@ Sizes, positions and sketches bound the overlap before a pair's whole sets are b
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import combinations, count
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -395,6 +395,7 @@ def _pairs(rows: DataFrame, a: str, b: str, percent: int) -> DataFrame:
 
 
 MEMBER = ("sig", "pos", "k1", "k2", "n", "id")
+FOLDED = ("sketch_0", "sketch_1", "sketch_2", "sketch_3")
 
 
 def _open_members(rows: DataFrame, near: DataFrame) -> DataFrame:
@@ -417,39 +418,34 @@ def _merged(near: DataFrame, links: DataFrame) -> DataFrame:
     return cut(moved.union(alone_before.select("component", "final")))
 
 
+def _folded(sketches: DataFrame) -> DataFrame:
+    """(id, k1, k2) with the sketch at its least width, as ``FOLDED`` numbers."""
+    words = (1 << SKETCH_WIDTHS[0]) // 64
+    parts = (
+        F.first(F.expr(f"aggregate(filter(sketch, (x, i) -> i % {words} = {j}), 0L, (a, x) -> a ^ x)")).alias(name)
+        for j, name in enumerate(FOLDED)
+    )
+    return sketches.groupBy("id", "k1", "k2").agg(*parts)
+
+
 def _joined_across_lists(
     lists: DataFrame, near: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int
 ) -> DataFrame:
     """(id, component) once the lists' members that round one left in different components are compared too.
 
-    Each pass compares one member of every list with all others of other components, as many pairs as entries,
-    and takes it out: it has met them all. What links joins needs no more comparing. Passes go on while they
-    link anything and the pairs left outnumber the entries; the rest is compared pair by pair.
+    Members carry the narrow sketch, so the join itself gives only pairs that sizes, positions and sketch allow.
     """
-    members, linking = _open_members(lists, near), True
-    for number in count():
-        each = members.groupBy("sig", "component").agg(F.count("*").cast("double").alias("m"))
-        of_list = each.groupBy("sig").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("s"))
-        entries, pairs = of_list.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("s")) / 2)).first()
-        if not pairs:
-            return near
-        other, one_each = members, linking and pairs > entries
-        if one_each:
-            first = F.min(F.struct(F.xxhash64(F.lit(number), "id").alias("turn"), *MEMBER[1:], "component"))
-            other = cut(members.groupBy("sig").agg(first.alias("f")).select("sig", "f.*").drop("turn"))
-        left = members.select("sig", *(F.col(c).alias(f"l_{c}") for c in members.columns[1:]))
-        right = other.select("sig", *(F.col(c).alias(f"r_{c}") for c in members.columns[1:]))
-        apart = left.join(right, "sig").where(
-            f"l_component {'<>' if one_each else '<'} r_component"
-            f" and 100 * least(l_n, r_n) >= {percent} * greatest(l_n, r_n)"
-            f" and (100 + {percent}) * least(l_n - l_pos, r_n - r_pos) >= {percent} * (l_n + r_n)"
-        )
-        links = verified(_pairs(apart, "l_", "r_", percent), sets, sketches, percent, False)
-        near = _merged(near, links)
-        if not one_each:
-            return near
-        linking = not links.isEmpty()
-        members = _open_members(members.join(other.select("sig", "id"), ["sig", "id"], "left_anti"), near)
+    members = cut(_open_members(lists, near).join(_folded(sketches), ["id", "k1", "k2"]))
+    left = members.select("sig", *(F.col(c).alias(f"l_{c}") for c in members.columns if c != "sig"))
+    right = members.select("sig", *(F.col(c).alias(f"r_{c}") for c in members.columns if c != "sig"))
+    bits = " + ".join(f"bit_count(l_{name} ^ r_{name})" for name in FOLDED)
+    apart = left.join(right, "sig").where(
+        "l_component < r_component"
+        f" and 100 * least(l_n, r_n) >= {percent} * greatest(l_n, r_n)"
+        f" and (100 + {percent}) * least(l_n - l_pos, r_n - r_pos) >= {percent} * (l_n + r_n)"
+        f" and (100 + {percent}) * ({bits}) <= (100 - {percent}) * (l_n + r_n)"
+    )
+    return _merged(near, verified(_pairs(apart, "l_", "r_", percent), sets, sketches, percent, False))
 
 
 def jaccard_components(
