@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderlake.functions.text import path_name, present
+from tenderlake.operators.ordered import with_running_sum
 
 
 def route_files(requests: DataFrame) -> DataFrame:
@@ -82,6 +83,13 @@ def list_archives(archives: DataFrame) -> DataFrame:
     )
 
 
+def with_index(files: DataFrame) -> DataFrame:
+    """Add ``idx``, a file's place in its archive by path, from 0. An archive may hold any number of files: they are
+    counted by ranges of paths."""
+    counted = with_running_sum(files, "archive_id", "path", F.lit(1), "idx")
+    return counted.withColumn("idx", (F.col("idx") - 1).cast("int"))
+
+
 def pick_notice(listing: DataFrame) -> DataFrame:
     """Per archive the last file whose path speaks of an ``edital``: its index, else -1, and name."""
     match = F.lower("path").contains("edital")

@@ -47,8 +47,8 @@ VIEWS = {
         o_totalprice AS amount FROM orders""",
     "v_schedule": """
       SELECT concat('s', p_partkey) AS scraper, CASE WHEN p_size % 2 = 0 THEN 'weekly' ELSE 'daily' END AS frequency,
-        CASE p_partkey % 10 WHEN 0 THEN '* 30 11 * * 1-5' WHEN 1 THEN '0 10,44 14 ? 3 WED'
-          WHEN 2 THEN '0 15 10 ? * MON-FRI' WHEN 3 THEN 'not cron'
+        CASE p_partkey % 10 WHEN 0 THEN '5 45 7 * * 2-4' WHEN 1 THEN '0 5,35 9 ? 11 TUE'
+          WHEN 2 THEN '0 20 18 ? * WED-SAT' WHEN 3 THEN 'not cron'
           WHEN 4 THEN concat(p_partkey % 70, ' 5 * * 1') WHEN 5 THEN '*/5 0 * XYZ 1'
           ELSE concat(p_partkey % 60, ' ', p_partkey % 24, ' * * ', p_partkey % 7) END AS cron FROM part""",
     "v_ticks": "SELECT DISTINCT date_trunc('minute', ts) AS tick FROM events",

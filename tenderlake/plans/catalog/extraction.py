@@ -109,22 +109,23 @@ def recipe_tasks(t: Tables) -> DataFrame:
 
 @query(
     r"""
-    SELECT page_id, page_id % 4 = 2 AS entities, page_id % 4 = 3 AS rejected,
-      CASE WHEN page_id % 4 <> 3 THEN md5(h) END AS html_md5,
-      CASE WHEN page_id % 4 <> 3 THEN CAST(length(h) AS INT) END AS n_chars
-    FROM (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN regexp_replace(html, '[^\x{00}-\x{FF}]', '?', 'g')
+    SELECT page_id, page_id % 8 = 2 AS entities, page_id % 8 = 3 AS rejected,
+      CASE WHEN page_id % 8 <> 3 THEN md5(h) END AS html_md5,
+      CASE WHEN page_id % 8 <> 3 THEN CAST(length(h) AS INT) END AS n_chars
+    FROM (SELECT page_id, CASE WHEN page_id % 8 = 0 THEN regexp_replace(html, '[^\x{00}-\x{FF}]', '?', 'g')
                           ELSE html END AS h FROM pages)
     """
 )
 def pages_decode(t: Tables) -> DataFrame:
-    """Pages encoded in two character sets, without a named one, and under an unknown name."""
-    turn = F.col("page_id") % 4
+    """Pages encoded in several character sets, without a named one, and under an unknown name."""
+    turn = F.col("page_id") % 8
     latin = F.encode(F.regexp_replace("html", r"[^\x00-\xFF]", "?"), "ISO-8859-1")
-    raw = t.pages.select(
-        "page_id",
-        F.when(turn == 0, latin).otherwise(F.encode("html", "UTF-8")).alias("body"),
-        F.when(turn == 0, "ISO-8859-1").when(turn == 1, "utf-8").when(turn == 3, "koi8-r").alias("charset"),
-    )
+    wide = {4: ("UTF-16LE", "utf-16le", ""), 5: ("UTF-16BE", "UTF-16", "\ufeff"), 6: ("UTF-16LE", "utf-16", ""), 7: ("UTF-32", "utf-32", "")}
+    body, charset = F.when(turn == 0, latin), F.when(turn == 0, "ISO-8859-1").when(turn == 1, "utf-8").when(turn == 3, "koi8-r")
+    for number, (kind, name, mark) in wide.items():
+        body = body.when(turn == number, F.encode(F.concat(F.lit(mark), "html"), kind))
+        charset = charset.when(turn == number, name)
+    raw = t.pages.select("page_id", body.otherwise(F.encode("html", "UTF-8")).alias("body"), charset.alias("charset"))
     return decode_pages(raw).select(
         "page_id", "entities", "rejected", F.md5("html").alias("html_md5"), F.length("html").alias("n_chars")
     )
@@ -245,8 +246,8 @@ def link_targets(t: Tables) -> DataFrame:
 
 @query(
     """
-    SELECT page_id, pos, link, "text" AS description, CAST(NULL AS VARCHAR) AS number FROM v_items
-    UNION ALL SELECT page_id, pos, NULL, NULL, NULL FROM v_items
+    SELECT page_id, pos, link, "text" AS description FROM v_items
+    UNION ALL SELECT page_id, pos, NULL, NULL FROM v_items
     """
 )
 def item_projection(t: Tables) -> DataFrame:
@@ -255,8 +256,8 @@ def item_projection(t: Tables) -> DataFrame:
     items = extract_items(t.site_pages(), [recipe])
     linked = item_fields(items, ["link", "description"])
     bare = item_fields(items, ["description"])
-    both = linked.unionByName(bare).withColumn("number", F.lit(None).cast("string"))
-    return both.select("page_id", "pos", "link", "description", "number")
+    # A field that the recipe has and the projection does not name is no column at all.
+    return linked.unionByName(bare).drop("url", "scraper", "recipe_id")
 
 
 @query(

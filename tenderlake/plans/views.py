@@ -121,9 +121,9 @@ class Tables:
         turn = key % 10
         plain = F.concat_ws(" ", key % 60, key % 24, F.lit("* *"), key % 7)
         cron = (
-            F.when(turn == 0, "* 30 11 * * 1-5")
-            .when(turn == 1, "0 10,44 14 ? 3 WED")
-            .when(turn == 2, "0 15 10 ? * MON-FRI")
+            F.when(turn == 0, "5 45 7 * * 2-4")
+            .when(turn == 1, "0 5,35 9 ? 11 TUE")
+            .when(turn == 2, "0 20 18 ? * WED-SAT")
             .when(turn == 3, "not cron")
             .when(turn == 4, F.concat(key % 70, F.lit(" 5 * * 1")))
             .when(turn == 5, "*/5 0 * XYZ 1")

@@ -158,4 +158,17 @@ def test_decode(spark):
     df = spark.createDataFrame(rows, "page_id int, body binary, charset string")
     got = [(r.html, r.entities, r.rejected) for r in decode_pages(df).orderBy("page_id").collect()]
     assert got == [("São", False, False), ("São", False, False), ("São", True, False), (None, False, True), ("“São” €", False, False), ("São", False, False),
-        ("a\ufffdb", False, False), ("a\ufffd", False, False), (None, False, True)]
+        ("a\ufffdb", False, False), ("a\ufffd", False, False), ("Ø", False, False)]
+
+
+def test_decode_of_wide_characters(spark):
+    text = "<p>Edital nº 7 \U0001f600 + 50%</p>"
+    rows = [
+        ("utf-16le", text.encode("utf-16-le"), text), ("UTF-16", text.encode("utf-16"), text), ("utf-16", text.encode("utf-16-le"), text),
+        ("utf-16", b"\xfe\xff" + text.encode("utf-16-be"), text), ("utf-16be", text.encode("utf-16-be"), text),
+        ("utf-32", text.encode("utf-32"), text), ("utf-32le", text.encode("utf-32-le"), text), ("UTF-32", text.encode("utf-32-be"), text),
+        ("utf-16le", "ab".encode("utf-16-le") + b"\x00", "ab\ufffd"), ("utf-16", b"", ""), ("utf-16", None, None),
+    ]
+    df = spark.createDataFrame([(i, c, b) for i, (c, b, _) in enumerate(rows)], "n int, charset string, body binary")
+    got = decode_pages(df).orderBy("n").collect()
+    assert [r.html for r in got] == [want for *_, want in rows] and not any(r.rejected for r in got)
