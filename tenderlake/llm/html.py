@@ -174,6 +174,15 @@ class Place:
             if last == name:
                 return
 
+    def foreign(self) -> list[str]:
+        """Features of the elements inside the article whose name or class tells that they are no part of it."""
+        out, within = [], False
+        for name, own, _ in self.stack:
+            if within and any(f in STRUCTURAL or f.lstrip(".") in BAD for f in own):
+                out += [f for f in own if f in STRUCTURAL or f[0] == "."]
+            within = within or name in LABEL
+        return out
+
     @property
     def weight(self) -> float:
         return self.stack[-1][2] if self.stack else 0.0
@@ -254,7 +263,11 @@ def fit(pages: DataFrame, *, html: str = "html", sample: int = SAMPLE) -> Weight
                     elif words := len(value.split()):
                         inside = any(place.open[name] for name in LABEL)
                         features = [f for _, own, _ in place.stack for f in own]
-                        if not inside:
+                        # What is no main text by its name stays that within an article: comments, adverts, notices.
+                        foreign = place.foreign() if inside else []
+                        if foreign:
+                            inside, features = False, foreign
+                        elif not inside:
                             told = [f for f in features if f in STRUCTURAL or f[0] == "."]
                             features = told or [f for f in features if f not in ("html", "body")]
                         for f in set(features):

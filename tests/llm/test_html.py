@@ -82,3 +82,27 @@ def test_query_equals_the_marked_articles(spark):
     assert len(rows) == len(pages)
     for r in rows:
         assert r["text"] == marked_article(pages[r["page_id"]]) and r["n_chars"] == len(r["text"])
+
+
+def test_comments_inside_an_article_stay_out(spark):
+    draw = random.Random(8)
+    say = lambda n: " ".join(draw.choice(["lorem", "ipsum", "dolor", "sit", "amet"]) for _ in range(n))
+    pages, want = [], []
+    for i in range(60):
+        body, extra = say(draw.randint(30, 60)), say(draw.randint(60, 120))
+        pages.append((i, f"<nav>{say(5)}</nav><article><p>{body}</p><div class='comments'><p>{extra}</p></div></article><footer>x</footer>"))
+        want.append(body)
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    rows = sorted(html.main_text(df).collect(), key=lambda r: r["page_id"])
+    assert [r["text"] for r in rows] == want
+
+
+def test_pages_that_do_not_mark_their_article(spark):
+    """Weights learned from marked pages serve others whose article is a plain element, and that fit never saw."""
+    folder = "/root/testdata/sf0.01"
+    pages = [(r["page_id"], r["html"]) for r in spark.read.parquet(f"{folder}/pages.parquet").collect()]
+    marked = spark.createDataFrame([p for p in pages if p[0] % 2], "page_id long, html string")
+    weights = html.fit(marked)
+    others = [h for i, h in pages if i % 2 == 0]
+    right = sum(html.extract(re.sub("(</?)article>", r"\1div>", h), weights) == marked_article(h) for h in others)
+    assert right >= 0.95 * len(others)
