@@ -44,8 +44,25 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+_FOLDERS: dict[str, str] = {}
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This application's own folder below the shared one. The file system deletes it when the application ends:
+    what lies in it is read by results that may be asked for until then."""
+    application = spark.sparkContext.applicationId
+    if application not in _FOLDERS:
+        path = os.path.join(shared_dir(spark), f"tenderlake-{application}-{uuid.uuid4().hex[:8]}")
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(target)
+        files.deleteOnExit(target)
+        _FOLDERS[application] = path
+    return _FOLDERS[application]
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(run_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
 def cut(df: DataFrame) -> DataFrame:
