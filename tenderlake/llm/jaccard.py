@@ -37,8 +37,10 @@ FREQUENT_ABOVE = 32
 FREQUENT_TOKENS = 1 << 18
 COMBINED = 2
 COMBINED_SIZE = 512
-SEEN_BITS = 27
-TOKENS_AT_ONCE = 200_000
+SEEN_BITS = 26
+MOST_BROADCAST = 500_000
+TOKENS_AT_ONCE = 100_000
+ENTRIES_AT_ONCE = 30_000
 SEEN_SETS = 500_000
 FILTER_WORDS = 1 << 16
 SKETCH_WIDTHS = (8, 18)
@@ -173,7 +175,7 @@ def index_entries(sets: DataFrame, percent: int) -> DataFrame:
                     column += values
                 for column, value in zip(out[2:], (*key, n, doc), strict=True):
                     column += [value] * len(signatures)
-                if len(out[0]) >= 100_000:
+                if len(out[0]) >= ENTRIES_AT_ONCE:
                     yield _batch(out)
                     out = [[], [], [], [], [], []]
             yield _batch(out)
@@ -400,7 +402,8 @@ FOLDED = ("sketch_0", "sketch_1", "sketch_2", "sketch_3")
 
 def _open_members(rows: DataFrame, near: DataFrame) -> DataFrame:
     """Entries of the lists that hold more than one component, with ``component``, stored."""
-    known = rows.select(*MEMBER).join(near, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    few = near.count() <= MOST_BROADCAST
+    known = rows.select(*MEMBER).join(F.broadcast(near) if few else near, "id", "left").withColumn("component", F.coalesce("component", "id"))
     lists = known.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     return cut(known.join(lists.select("sig"), "sig").select(*MEMBER, "component"))
 
