@@ -17,11 +17,18 @@ from tenderlake.session import scratch_path
 # Near copies: five-word shingles, a similarity of 0.8.
 WORDS, PERCENT = 5, 80
 MOST_BROADCAST = 100_000
+ROWS_PER_BATCH = 1_000
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are large rows: Python gets this many at a time, in this and all later stages of the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
+    small_batches(spark)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, model, out="quality_score_").where(
         F.col("quality_score_") >= quality.THRESHOLD
@@ -35,6 +42,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     their own: each is judged by its text, and in a group they go before the others. Rows with one id and text
     stay once, the smallest by its other columns.
     """
+    small_batches(spark)
     key, several = free_name(docs, "row_key_", "several_texts_")
     named = docs.where("doc_id is not null")
     print_of = F.xxhash64("text", F.col("text").isNull())
@@ -75,6 +83,7 @@ def in_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, packed in four bytes each, in the mixture's order; and whether they decode to it."""
+    small_batches(spark)
     path = public_tokenizers.path(TOKENIZER)
     encoded = bpe.encode(docs.select("doc_id", "source", "text"), path, out="ids")
     return bpe.decode(encoded, path, out="decoded").select(
