@@ -22,7 +22,7 @@ SLICE_BYTES = 4_000_000
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Jobs started inside hand Python at most ``rows`` rows at a time: for rows with long lists, of which a default
     batch would fill buffers on both sides."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
