@@ -18,7 +18,7 @@ from tenderlake.session import cut
 
 __all__ = ["add_columns", "cut", "find_all", "free_name", "remainder", "sampled", "slices", "small_batches", "training_documents"]
 
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 
 
 @contextmanager

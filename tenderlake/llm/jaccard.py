@@ -40,7 +40,7 @@ COMBINED_SIZE = 512
 SEEN_BITS = 26
 MOST_BROADCAST = 500_000
 TOKENS_AT_ONCE = 100_000
-ENTRIES_AT_ONCE = 30_000
+ENTRIES_AT_ONCE = 10_000
 SEEN_SETS = 500_000
 FILTER_WORDS = 1 << 16
 SKETCH_WIDTHS = (8, 18)

@@ -34,7 +34,7 @@ WINDOW = 2
 HIDDEN = 32
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 HELD_WORDS = 100_000
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 
