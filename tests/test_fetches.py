@@ -20,6 +20,6 @@ def folder(spark, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["detail_join"])
+@pytest.mark.parametrize("name", ["detail_join", "enrich_results"])
 def test_every_fetch_counts(spark, folder, name):
     assert compare(spark, duck(folder), folder, name) is None
