@@ -136,9 +136,13 @@ def _last_values(fields: list[str]) -> list[Column]:
 
 
 def _as_updates(state: DataFrame, fields: list[str]) -> DataFrame:
-    """Stamped state as updates again, one per field, to be folded with later ones."""
+    """Stamped state as updates again, one per field, to be folded with later ones. One without any field keeps
+    the tasks that were given none yet."""
     kinds = {f: state.schema[f].dataType[f].dataType for f in fields}
-    parts = [
+    at = state.schema[fields[0]].dataType
+    bare = {"seq": at["seq"].dataType, "ts": at["ts"].dataType, **kinds}
+    parts = [state.select("task", *[F.lit(None).cast(kind).alias(c) for c, kind in bare.items()])]
+    parts += [
         state.filter(F.col(f).isNotNull()).select(
             "task",
             F.col(f"{f}.seq").alias("seq"),
@@ -156,12 +160,14 @@ def _as_updates(state: DataFrame, fields: list[str]) -> DataFrame:
 def stream_task_state(
     updates: DataFrame,
     root: str,
-    retention: int = RETENTION_SECONDS,
+    retention: int | None = RETENTION_SECONDS,
     fields: list[str] = STATE_FIELDS,
 ) -> StreamingQuery:
     """Keep the folded state of each task; finished tasks leave it ``retention`` seconds after finishing.
 
-    Time is event time: the latest update seen. A task that left starts anew with its next update.
+    Time is event time: the latest update seen. A task that left starts anew with its next update. Without
+    ``retention`` none leaves what is stored: a late update of a finished task is folded with all before it, however
+    the updates fall into batches, and ``current_state`` alone leaves out the tasks that are past their time.
     """
 
     def step(batch: DataFrame, number: int) -> None:
@@ -188,14 +194,16 @@ def _moment(clock: str) -> datetime:
     return datetime.fromisoformat(clock)
 
 
-def _has_left(clock: str | None, retention: int) -> Column:
+def _has_left(clock: str | None, retention: int | None) -> Column:
     """Whether a task finished more than ``retention`` seconds before the clock."""
+    if retention is None:
+        return F.lit(False)
     over = F.col("running.running") == F.lit(False)
     expired = F.col("running.ts") + F.expr(f"INTERVAL {int(retention)} SECOND") < F.lit(clock).try_cast("timestamp_ntz")
     return F.coalesce(over & expired, F.lit(False))
 
 
-def _state_table(spark, root: str, schema: StructType, retention: int) -> LogTable:
+def _state_table(spark, root: str, schema: StructType, retention: int | None) -> LogTable:
     def fold(rows: DataFrame, clock: str | None) -> DataFrame:
         last = _last_of_tasks(rows.select(*schema.names), "version")
         return last.filter(~_has_left(clock, retention))

@@ -7,6 +7,7 @@ from tenderlake.operators.extract import extract_items
 from tenderlake.plans.catalog.extraction import SITE_RECIPE
 from tenderlake.plans.views import Tables, tick
 from tenderlake.streaming import jobs
+from tests.compare import compare, duck
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -121,3 +122,16 @@ def test_stream_equals_sequence_of_batches(spark):
     fresh = incremental.new_items(second, incremental.identified(first))
     keys = first.select("scraper", "_hash").distinct()
     assert fresh.join(keys, ["scraper", "_hash"], "left_semi").isEmpty()
+
+
+def test_late_updates_of_a_finished_task(spark, tmp_path):
+    """A task finishes in the first file; what comes for it in later ones is folded with all before it."""
+    kinds = ["signup", "view", "error", *["click"] * 3, "purchase", *["click"] * 5]
+    rows = [(i, i * 60, 1 if i in (0, 1, 2, 6, 11) else 2, kind) for i, kind in enumerate(kinds)]
+    rows += [(i, i * 60, 3, kind) for i, kind in ((12, "error"), (13, "view"), (14, "signup"), (15, "click"))]
+    events = spark.createDataFrame(rows, "event_id long, s int, user_id long, event_type string")
+    at = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, s)").alias("ts")
+    events = events.select("event_id", at, "user_id", "event_type", F.lit(1.0).alias("value"))
+    events.coalesce(1).write.parquet(str(tmp_path / "parts"))
+    (next((tmp_path / "parts").glob("*.parquet"))).rename(tmp_path / "events.parquet")
+    assert compare(spark, duck(str(tmp_path)), str(tmp_path), "stream_task_state") is None
