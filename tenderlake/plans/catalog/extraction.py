@@ -246,8 +246,8 @@ def link_targets(t: Tables) -> DataFrame:
 
 @query(
     """
-    SELECT page_id, pos, link, "text" AS description FROM v_items
-    UNION ALL SELECT page_id, pos, NULL, NULL FROM v_items
+    SELECT page_id, pos, link, "text" AS description, CAST(NULL AS VARCHAR) AS number FROM v_items
+    UNION ALL SELECT page_id, pos, NULL, NULL, NULL FROM v_items
     """
 )
 def item_projection(t: Tables) -> DataFrame:
@@ -255,9 +255,10 @@ def item_projection(t: Tables) -> DataFrame:
     recipe = Recipe("menu", "utf-8", False, (task("GET_LINKS", {**MENU, "description": "a", "number": "a"}),))
     items = extract_items(t.site_pages(), [recipe])
     linked = item_fields(items, ["link", "description"])
-    bare = item_fields(items, ["description"])
-    # A field that the recipe has and the projection does not name is no column at all.
-    return linked.unionByName(bare).drop("url", "scraper", "recipe_id")
+    bare = item_fields(items, ["description", "number"])
+    # A field that the recipe has and the projection does not name is no column: of ``number`` only the second has one.
+    both = linked.unionByName(bare, allowMissingColumns=True)
+    return both.select("page_id", "pos", "link", "description", "number")
 
 
 @query(

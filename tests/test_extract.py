@@ -4,6 +4,7 @@ import pytest
 
 from tenderlake.operators.dom import Page, Selector
 from tenderlake.operators.extract import extract_items, extract_notices, page_links
+from tenderlake.plans.catalog import QUERIES
 from tenderlake.plans.catalog.extraction import task
 from tenderlake.sources.pages import decode_pages
 from tenderlake.sources.recipes import Recipe, load_recipes, parse_recipes, read_recipes
@@ -172,3 +173,11 @@ def test_decode_of_wide_characters(spark):
     df = spark.createDataFrame([(i, c, b) for i, (c, b, _) in enumerate(rows)], "n int, charset string, body binary")
     got = decode_pages(df).orderBy("n").collect()
     assert [r.html for r in got] == [want for *_, want in rows] and not any(r.rejected for r in got)
+
+
+def test_projection_names_fields_without_a_link(spark):
+    """The number is a column of its own: NULL where the projection does not have it, and without a link."""
+    rows = QUERIES["item_projection"](spark, "/root/testdata/sf0.001")
+    assert rows.columns == ["page_id", "pos", "link", "description", "number"]
+    assert rows.filter("number IS NOT NULL").isEmpty()
+    assert rows.filter("link IS NULL").count() * 2 == rows.count()
