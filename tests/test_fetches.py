@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 import pytest
 
+from tenderlake.operators import chains
 from tenderlake.plans.views import Tables
 from tests.compare import compare, duck
 
@@ -20,6 +21,20 @@ def folder(spark, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["detail_join", "enrich_results"])
+@pytest.mark.parametrize("name", ["detail_join", "enrich_results", "page_chain"])
 def test_every_fetch_counts(spark, folder, name):
     assert compare(spark, duck(folder), folder, name) is None
+
+
+def test_chains_branch_at_addresses_fetched_again(spark):
+    """Two fetches of ``b``: one leads on, one into a cycle; and a page that two others name."""
+    rows = [(1, "a", "b", True), (2, "b", "c", False), (3, "b", "a", False), (4, "c", "d", False), (5, "e", "d", True),
+            (6, "d", "f", False), (7, "f", "c", False), (8, "f", "gone", False)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, next_url string, is_seed boolean")
+    got = chains.fetch_chains(pages, F.col("is_seed")).groupBy("seed_url", "url", "depth").agg(F.sum("n")).collect()
+    assert {tuple(r) for r in got} == {
+        ("a", "a", 1, 1), ("a", "b", 2, 2), ("a", "c", 3, 1), ("a", "d", 4, 1), ("a", "f", 5, 2),
+        ("e", "e", 1, 1), ("e", "d", 2, 1), ("e", "f", 3, 2), ("e", "c", 4, 1),
+    }
+    counted = spark.createDataFrame([(1, 3), (2, 25_000)], "k int, n long")
+    assert dict(chains.repeated(counted, "n").groupBy("k").count().collect()) == {1: 3, 2: 25_000}
