@@ -189,7 +189,8 @@ _FORM_INPUTS = [Selector(f"#{k}") for k in FORM_KEYS]
 def _patterned(df: DataFrame, recipes: list[Recipe], task_id: str) -> tuple[DataFrame, Callable[[str], Column]]:
     """Attach each recipe's patterns and give the reduced text of a field.
 
-    The pattern table has one row per recipe; Spark broadcasts it when its size allows.
+    The pattern table has one row per recipe, and the scan's tasks hold all recipes, so it is broadcast: texts are not
+    shuffled, and the rows of one recipe are not one task's work.
     """
     tasks = {r.recipe_id: r.task(task_id) for r in recipes}
     used = [f for f in ITEM_FIELDS if any(t and f in t.patterns for t in tasks.values())]
@@ -201,7 +202,7 @@ def _patterned(df: DataFrame, recipes: list[Recipe], task_id: str) -> tuple[Data
         rows.append((recipe_id, *given, *(p and pattern_groups(df.sparkSession, p) for p in given)))
     columns = ", ".join([f"_p_{f} string" for f in used] + [f"_g_{f} int" for f in used])
     table = df.sparkSession.createDataFrame(rows, f"recipe_id string, {columns}")
-    joined = df.join(table, "recipe_id", "left")
+    joined = df.join(F.broadcast(table), "recipe_id", "left")
 
     def text(name: str) -> Column:
         if name not in used:

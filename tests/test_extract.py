@@ -181,3 +181,17 @@ def test_projection_names_fields_without_a_link(spark):
     assert rows.columns == ["page_id", "pos", "link", "description", "number"]
     assert rows.filter("number IS NOT NULL").isEmpty()
     assert rows.filter("link IS NULL").count() * 2 == rows.count()
+
+
+def test_notices_of_one_recipe_are_not_shuffled(spark):
+    """Patterns meet the texts where these are read: no exchange by recipe, which would be one task's work."""
+    fields = {"container": "body", "number": "h1", "description": "h1"}
+    recipes = [
+        Recipe(f"r{i}", "utf-8", False, (task("GET_DETAILS", fields, {"agency": rf"{i}([a-z]+)"}),)) for i in range(2)
+    ]
+    pages = spark.createDataFrame([(1, "http://a/1", "<body><h1>7</h1>0ab 1cd</body>")], "page_id long, url string, html string")
+    notices = extract_notices(pages, recipes)
+    rows = notices.orderBy("recipe_id").collect()
+    assert [(r.recipe_id, r.number, r.agency) for r in rows] == [("r0", "7", "ab"), ("r1", "7", "cd")]
+    plan = notices._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
