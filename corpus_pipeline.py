@@ -84,9 +84,8 @@ def in_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, packed in four bytes each, in the mixture's order; and whether they decode to it."""
     small_batches(spark)
-    path = public_tokenizers.path(TOKENIZER)
-    encoded = bpe.encode(docs.select("doc_id", "source", "text"), path, out="ids")
-    return bpe.decode(encoded, path, out="decoded").select(
+    documents = docs.select("doc_id", "source", "text")
+    return bpe.encode_decode(documents, public_tokenizers.path(TOKENIZER)).select(
         "doc_id",
         "source",
         F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),

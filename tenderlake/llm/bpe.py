@@ -247,6 +247,27 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     return add_columns(df, ids, [StructField(out, StringType())], prepare)
 
 
+def encode_decode(
+    df: DataFrame, path: str, text: str = "text", ids: str = "ids", out: str = "decoded"
+) -> DataFrame:
+    """``encode`` and ``decode`` in one pass: adds ``ids`` and ``out``, the text of those ids.
+
+    One after the other they run in a Python worker each, at the same time, and both hold the vocabulary.
+    """
+    shared = _share(df.sparkSession, path)
+
+    def prepare():
+        encoder, pieces = Encoder(shared.value), shared.value.pieces
+
+        def work(texts: list) -> list[list]:
+            packed = [encoder.encode(t) for t in texts]
+            return [packed, [decode_ids(row, pieces) for row in packed]]
+
+        return work
+
+    return add_columns(df, text, [StructField(ids, BinaryType()), StructField(out, StringType())], prepare)
+
+
 _SHARED: dict = {}
 
 

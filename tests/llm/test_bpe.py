@@ -107,3 +107,14 @@ def test_query_equals_the_library(spark, library):
         assert r["ids_sha256"] == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
         text = library.decode(want, skip_special_tokens=False)
         assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_one_pass_gives_ids_and_their_text(spark, library):
+    """Both columns come from one Python worker, which holds the vocabulary once."""
+    rows = [(1, "plain text", 5), (2, None, 6), (3, "", 7), (4, "né" * 400_000, 8), (5, "<|endoftext|> a\ud7ffb \U0001f600", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids int")
+    found = bpe.encode_decode(df, PATH)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    apart = bpe.decode(bpe.encode(df, PATH), PATH)
+    assert found.columns == apart.columns
+    assert found.orderBy("doc_id").collect() == apart.orderBy("doc_id").collect()
