@@ -123,9 +123,9 @@ def mixed(*tokens: int) -> int:
 
 
 def index_entries(sets: DataFrame, percent: int) -> DataFrame:
-    """Index entries (sig, pos, k1, k2, n, id) of the prefixes of all sets.
+    """Index entries (sig, pos, k1, n, id) of the prefixes of all sets.
 
-    A pair whose first shared entry is at ``pos`` overlaps in at most min(n - pos) of both. A task leaves
+    Entries are most of what is shuffled, so a set goes by the first of its keys and its size. A pair whose first shared entry is at ``pos`` overlaps in at most min(n - pos) of both. A task leaves
     out copies of sets it has just indexed for a smaller id.
     """
     tokens, counts = frequent_tokens(sets)
@@ -142,7 +142,7 @@ def index_entries(sets: DataFrame, percent: int) -> DataFrame:
             at = np.searchsorted(tokens, flat) if len(tokens) else np.zeros(len(flat), np.int64)
             at = np.minimum(at, max(len(tokens) - 1, 0))
             often = tokens[at] == flat if len(tokens) else np.zeros(len(flat), bool)
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for row, end in enumerate(ends):
                 start = ends[row - 1] if row else 0
                 n, key, doc = int(end - start), (int(k1s[row]), int(k2s[row])), int(ids[row])
@@ -173,22 +173,22 @@ def index_entries(sets: DataFrame, percent: int) -> DataFrame:
                     out, ([s for s, _ in signatures], [i for _, i in signatures]), strict=False
                 ):
                     column += values
-                for column, value in zip(out[2:], (*key, n, doc), strict=True):
+                for column, value in zip(out[2:], (key[0], n, doc), strict=True):
                     column += [value] * len(signatures)
                 if len(out[0]) >= ENTRIES_AT_ONCE:
                     yield _batch(out)
-                    out = [[], [], [], [], [], []]
+                    out = [[], [], [], [], []]
             yield _batch(out)
 
     def _batch(out: list[list]) -> pa.RecordBatch:
-        kinds = (np.int64, np.int32, np.int64, np.int64, np.int32, np.int64)
-        names = ["sig", "pos", "k1", "k2", "n", "id"]
+        kinds = (np.int64, np.int32, np.int64, np.int32, np.int64)
+        names = ["sig", "pos", "k1", "n", "id"]
         return pa.RecordBatch.from_arrays(
             [pa.array(np.array(c, t)) for c, t in zip(out, kinds, strict=True)], names=names
         )
 
     return sets.select("id", "k1", "k2", "hashes").mapInArrow(
-        entries, "sig long, pos int, k1 long, k2 long, n int, id long"
+        entries, "sig long, pos int, k1 long, n int, id long"
     )
 
 
@@ -198,14 +198,14 @@ def with_first(entries: DataFrame) -> DataFrame:
     One pass over sorted lists that carries the first entry along, so a list of any length takes constant
     memory. Copies of one set follow each other and are passed over.
     """
-    names = ["sig", "pos", "k1", "k2", "n", "id"]
+    names = ["sig", "pos", "k1", "n", "id"]
 
     def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(i).to_numpy() for i in range(6)]
+            columns = [batch.column(i).to_numpy() for i in range(5)]
             sig = columns[0]
             change = np.ones(len(sig), bool)
             change[1:] = sig[1:] != sig[:-1]
@@ -227,11 +227,10 @@ def with_first(entries: DataFrame) -> DataFrame:
 
     return (
         entries.repartition("sig")
-        .sortWithinPartitions("sig", "pos", "k1", "k2", "id")
+        .sortWithinPartitions("sig", "pos", "k1", "n", "id")
         .mapInArrow(
             attach,
-            "sig long, pos int, k1 long, k2 long, n int, id long,"
-            " f_pos int, f_k1 long, f_k2 long, f_n int, f_id long",
+            "sig long, pos int, k1 long, n int, id long, f_pos int, f_k1 long, f_n int, f_id long",
         )
     )
 
@@ -250,14 +249,14 @@ def _named(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
         sets.withColumn("word", word)
         .join(F.broadcast(bits), "word")  # FILTER_WORDS rows of two numbers at most
         .where(F.col("bits").bitwiseAND(bit) != 0)
-        .select("id", "k1", "k2", column)
+        .select("id", "k1", column)
     )
 
 
 def _beside(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     """Pairs with ``column`` of both sides, as ``a`` and ``b``. Repeated rows of a document repeat its pairs."""
     for side in ("a", "b"):
-        keys = [f"{side}_{name}" for name in ("id", "k1", "k2")]
+        keys = [f"{side}_{name}" for name in ("id", "k1")]
         names = [F.col(key[2:]).alias(key) for key in keys]
         pairs = pairs.join(table.select(*names, F.col(column).alias(side)), keys)
     return pairs
@@ -272,8 +271,8 @@ def with_sketch(sets: DataFrame) -> DataFrame:
     """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_tokens(batches, 3):
-            lists = batch.column(3)
+        for batch in by_tokens(batches, 2):
+            lists = batch.column(2)
             sizes = lists.value_lengths().to_numpy()
             rows = np.repeat(np.arange(batch.num_rows), sizes)
             tokens = lists.flatten().to_numpy(zero_copy_only=False)
@@ -284,10 +283,10 @@ def with_sketch(sets: DataFrame) -> DataFrame:
                 (starts // 64).astype(np.int32), np.packbits(odd, bitorder="little").view("<i8")
             )
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], sketch], names=["id", "k1", "k2", "sketch"]
+                [*batch.columns[:2], sketch], names=["id", "k1", "sketch"]
             )
 
-    return sets.select("id", "k1", "k2", "hashes").mapInArrow(add, "id long, k1 long, k2 long, sketch array<long>")
+    return sets.select("id", "k1", "hashes").mapInArrow(add, "id long, k1 long, sketch array<long>")
 
 
 def _bits_apart(a: str, b: str) -> Column:
@@ -302,7 +301,7 @@ def _bits_apart(a: str, b: str) -> Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int, forest_first: bool) -> DataFrame:
-    """Links (u, v) by id among pairs (a_k1, a_k2, a_id, a_n, b_...) that span all that reach the threshold.
+    """Links (u, v) by id among pairs (a_k1, a_id, a_n, b_...) that span all that reach the threshold.
 
     A pair whose sketches differ in more bits than sets of these sizes may differ in tokens goes first. With
     ``forest_first``, of the others each set's pair with its smallest partner has its whole sets brought
@@ -385,18 +384,17 @@ def _pairs(rows: DataFrame, a: str, b: str, percent: int) -> DataFrame:
     sizes = 100 * F.least(*(side(p, "n") for p in (a, b))) >= percent * F.greatest(
         *(side(p, "n") for p in (a, b))
     )
-    flip = F.struct(side(a, "k1"), side(a, "k2")) > F.struct(side(b, "k1"), side(b, "k2"))
+    flip = F.struct(side(a, "k1"), side(a, "n")) > F.struct(side(b, "k1"), side(b, "n"))
     columns = [
         F.when(flip, side(q, n)).otherwise(side(p, n)).alias(f"{name}_{n}")
         for name, p, q in (("a", a, b), ("b", b, a))
-        for n in ("k1", "k2", "id", "n")
+        for n in ("k1", "id", "n")
     ]
     kept = rows.where(sizes & _needed(percent, side(a, "n"), side(b, "n"), most)).select(*columns)
-    keys = ["a_k1", "a_k2", "b_k1", "b_k2"]
-    return kept.groupBy(*keys).agg(*(F.min(c).alias(c) for c in ("a_id", "a_n", "b_id", "b_n")))
+    return kept.groupBy("a_k1", "a_n", "b_k1", "b_n").agg(F.min("a_id").alias("a_id"), F.min("b_id").alias("b_id"))
 
 
-MEMBER = ("sig", "pos", "k1", "k2", "n", "id")
+MEMBER = ("sig", "pos", "k1", "n", "id")
 FOLDED = ("sketch_0", "sketch_1", "sketch_2", "sketch_3")
 
 
@@ -422,13 +420,13 @@ def _merged(near: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _folded(sketches: DataFrame) -> DataFrame:
-    """(id, k1, k2) with the sketch at its least width, as ``FOLDED`` numbers."""
+    """(id, k1) with the sketch at its least width, as ``FOLDED`` numbers."""
     words = (1 << SKETCH_WIDTHS[0]) // 64
     parts = (
         F.first(F.expr(f"aggregate(filter(sketch, (x, i) -> i % {words} = {j}), 0L, (a, x) -> a ^ x)")).alias(name)
         for j, name in enumerate(FOLDED)
     )
-    return sketches.groupBy("id", "k1", "k2").agg(*parts)
+    return sketches.groupBy("id", "k1").agg(*parts)
 
 
 def _joined_across_lists(
@@ -438,7 +436,7 @@ def _joined_across_lists(
 
     Members carry the narrow sketch, so the join itself gives only pairs that sizes, positions and sketch allow.
     """
-    members = cut(_open_members(lists, near).join(_folded(sketches), ["id", "k1", "k2"]))
+    members = cut(_open_members(lists, near).join(_folded(sketches), ["id", "k1"]))
     left = members.select("sig", *(F.col(c).alias(f"l_{c}") for c in members.columns if c != "sig"))
     right = members.select("sig", *(F.col(c).alias(f"r_{c}") for c in members.columns if c != "sig"))
     bits = " + ".join(f"bit_count(l_{name} ^ r_{name})" for name in FOLDED)

@@ -105,3 +105,14 @@ def test_query_equals_brute_force(spark):
     rows = op6_ngram_jaccard_join(spark, folder).collect()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows}
     assert got == brute({r["doc_id"]: r["text"] for r in docs})
+
+
+def test_entries_carry_one_key(spark):
+    """An index entry is 32 bytes: of a set's two keys only one goes through the shuffle of the entries."""
+    rows = [(i, [i, i + 1, i + 2], 3, i, -i) for i in range(4)]
+    sets = spark.createDataFrame(rows, "id long, hashes array<long>, n int, k1 long, k2 long")
+    entries = jaccard.index_entries(sets, 60)
+    assert sum(f.dataType.simpleString() == "bigint" for f in entries.schema) == 3 and len(entries.columns) == 5
+    assert {r["k1"] for r in entries.collect()} == {0, 1, 2, 3}
+    lists = jaccard.with_first(entries)
+    assert not {c for c in lists.columns if "k2" in c} and lists.count() == 3
