@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tenderlake.llm import bpe, jaccard, mixing, pii, quality
 from tenderlake.llm.common import cut, free_name
-from tenderlake.session import scratch_path
+from tenderlake.session import delete, passing, scratch_path
 
 # Near copies: five-word shingles, a similarity of 0.8.
 WORDS, PERCENT = 5, 80
@@ -107,10 +107,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what lies between them is written to the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; what lies between them is written to the shared folder, and deleted once the
+    next stage is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, "stage-" + "".join(c if c.isalnum() else "-" for c in name))
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with passing(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

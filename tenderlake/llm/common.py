@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
-from tenderlake.session import cut
+from tenderlake.session import cut, passing
 
-__all__ = ["add_columns", "cut", "find_all", "free_name", "remainder", "sampled", "slices", "small_batches", "training_documents"]
+__all__ = ["add_columns", "cut", "find_all", "free_name", "passing", "remainder", "sampled", "slices", "small_batches", "training_documents"]
 
 SLICE_BYTES = 1_000_000
 

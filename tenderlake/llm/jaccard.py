@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenderlake.llm.common import cut, small_batches
+from tenderlake.llm.common import cut, passing, small_batches
 
 FREQUENT_ABOVE = 32
 FREQUENT_TOKENS = 1 << 18
@@ -334,11 +334,12 @@ def verified(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, percent: in
 def _whole(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (stored) pairs whose whole sets reach the threshold, as ids (u, v), stored."""
     overlap = F.size(F.array_intersect("a", "b"))
-    return cut(
-        _beside(pairs, _named(pairs, sets, "hashes"), "hashes")
-        .where(_needed(percent, F.col("a_n"), F.col("b_n"), overlap))
-        .select(F.col("a_id").alias("u"), F.col("b_id").alias("v"))
-    )
+    with passing(pairs.sparkSession) as keep:
+        return keep(
+            _beside(pairs, _named(pairs, sets, "hashes"), "hashes")
+            .where(_needed(percent, F.col("a_n"), F.col("b_n"), overlap))
+            .select(F.col("a_id").alias("u"), F.col("b_id").alias("v"))
+        )
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -460,32 +461,35 @@ def jaccard_components(
     Repeated rows give a row each. A row without id links with nothing and has no component. Rows that
     share an id but not a text keep their own set size, and their links count as those of one document.
     """
-    sets = cut(
-        df.select(F.col(doc_id).cast("long").alias("id"), shingle_hashes(F.col(text), words).alias("hashes"))
-        .withColumn("n", F.size("hashes"))
-        .withColumn("k1", F.xxhash64("hashes"))
-        .withColumn("k2", F.xxhash64(F.lit(words), "hashes"))
-    )
-    usable = sets.where("n > 0 and id is not null")
-
-    with small_batches(df.sparkSession):
-        sketches = cut(with_sketch(usable))
-        entries = index_entries(usable, percent)
-        lists = cut(with_first(entries))
-    first = verified(_pairs(lists, "", "f_", percent), usable, sketches, percent, True)
-    near = cut(components(first))
-
-    linked = _joined_across_lists(lists, near, usable, sketches, percent)
-
-    classes = usable.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("rows"))
-    roots = cut(
-        classes.join(linked, "id", "left")
-        .where("rows > 1 or component is not null")
-        .select("k1", "k2", F.coalesce("component", "id").alias("component"))
-    )
+    # Sets and lists take more room than the stored texts: they go as soon as each row's class is known.
+    with passing(df.sparkSession) as keep:
+        sets = cut(
+            df.select(F.col(doc_id).cast("long").alias("id"), shingle_hashes(F.col(text), words).alias("hashes"))
+            .withColumn("n", F.size("hashes"))
+            .withColumn("k1", F.xxhash64("hashes"))
+            .withColumn("k2", F.xxhash64(F.lit(words), "hashes"))
+        )
+        usable = sets.where("n > 0 and id is not null")
+
+        with small_batches(df.sparkSession):
+            sketches = cut(with_sketch(usable))
+            entries = index_entries(usable, percent)
+            lists = cut(with_first(entries))
+        first = verified(_pairs(lists, "", "f_", percent), usable, sketches, percent, True)
+        near = cut(components(first))
+
+        linked = _joined_across_lists(lists, near, usable, sketches, percent)
+
+        classes = usable.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("rows"))
+        roots = keep(
+            classes.join(linked, "id", "left")
+            .where("rows > 1 or component is not null")
+            .select("k1", "k2", F.coalesce("component", "id").alias("component"))
+        )
+        rows = keep(sets.select("id", "n", "k1", "k2"))
     alone = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return (
-        sets.withColumn("c1", F.when(F.col("n") > 0, F.col("k1")))
+        rows.withColumn("c1", F.when(F.col("n") > 0, F.col("k1")))
         .join(roots.select(F.col("k1").alias("c1"), "k2", "component"), ["c1", "k2"], "left")
         .select(F.col("id").alias(doc_id), F.col("n").cast("long").alias("n_shingles"), alone.alias("component_id"))
     )

@@ -2,10 +2,12 @@
 
 import random
 import re
+from pathlib import Path
 
 import pytest
 
 from tenderlake.llm import jaccard
+from tenderlake.session import run_folder
 
 
 def word_sets(texts, words):
@@ -116,3 +118,14 @@ def test_entries_carry_one_key(spark):
     assert {r["k1"] for r in entries.collect()} == {0, 1, 2, 3}
     lists = jaccard.with_first(entries)
     assert not {c for c in lists.columns if "k2" in c} and lists.count() == 3
+
+
+def test_sets_and_lists_are_deleted(spark):
+    texts = near_copies(7)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    folder = Path(run_folder(spark))
+    before = set(folder.iterdir())
+    found = jaccard.jaccard_components(df)
+    left = [spark.read.parquet(str(p)).columns for p in set(folder.iterdir()) - before]
+    assert sorted(left) == [["id", "n", "k1", "k2"], ["k1", "k2", "component"]]
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()} == brute(texts)

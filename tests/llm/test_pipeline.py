@@ -1,6 +1,7 @@
 """The pipeline's stages, each on its own input and all together."""
 
 import re
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -8,6 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from tenderlake.session import run_folder
 from tests.llm.test_jaccard import brute
 from tests.llm.test_pii import brute as personal_data
 
@@ -78,3 +80,12 @@ def test_whole_run(spark, docs):
         ids = np.frombuffer(r["ids"], "<u4").tolist()
         text = library.decode(ids, skip_special_tokens=False)
         assert r["n_tokens"] == len(ids) and not re.search(r"[a-z]@[a-z]", text)
+
+
+def test_only_the_last_stage_is_left(spark, docs):
+    folder = Path(run_folder(spark))
+    before = set(folder.iterdir())
+    tokens = corpus_pipeline.run(spark, FOLDER)
+    left = [p.name for p in set(folder.iterdir()) - before]
+    assert len(left) == 1 and left[0].startswith("stage-mixing")
+    assert tokens.count() == spark.read.parquet(str(folder / left[0])).count() > 0
