@@ -35,16 +35,19 @@ def make_schedules(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
 def due(schedules: DataFrame, ticks: DataFrame) -> DataFrame:
     """Schedules due at each ``tick``: at their minute of the day, weekly ones on their weekday only.
 
-    Weekday 0 is Sunday. A daily schedule stands once per weekday, so one equality on day and minute
-    decides, and adaptive execution may broadcast the smaller side or split a crowded minute.
+    Weekday 0 is Sunday. Each tick stands once for its weekday and once for any day, so equalities on day and minute
+    decide and a schedule is one row. Neither side is broadcast: small files may hold many schedules, all of which
+    would go through the driver. Both are sorted, and adaptive execution may split a crowded minute.
     """
-    weekly = F.col("frequency") == "weekly"
-    days = F.when(weekly, F.array("weekday")).otherwise(F.sequence(F.lit(0), F.lit(6)))
-    slots = schedules.filter(F.col("minute_of_day").isNotNull()).withColumn("__day", F.explode(days))
+    weekly = F.coalesce(F.col("frequency") == "weekly", F.lit(False))
+    day = F.when(weekly, F.col("weekday")).otherwise(0)
+    slots = schedules.filter(F.col("minute_of_day").isNotNull()).withColumns({"__weekly": weekly, "__day": day})
     tick = F.col("tick")
+    on_day = F.struct(F.lit(True).alias("__weekly"), (F.dayofweek(tick) - 1).alias("__day"))
+    any_day = F.struct(F.lit(False).alias("__weekly"), F.lit(0).alias("__day"))
     moments = ticks.select(
         "tick",
-        (F.dayofweek(tick) - 1).alias("__day"),
+        F.inline(F.array(on_day, any_day)),
         (F.hour(tick) * 60 + F.minute(tick)).alias("minute_of_day"),
     )
-    return slots.join(moments, ["__day", "minute_of_day"]).drop("__day")
+    return slots.hint("merge").join(moments, ["__weekly", "__day", "minute_of_day"]).drop("__weekly", "__day")

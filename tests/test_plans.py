@@ -111,6 +111,23 @@ def test_joins_are_equalities(t, no_broadcast):
         assert "SortMergeJoin" in text and not re.search("CartesianProduct|NestedLoop|BatchEvalPython", text)
 
 
+def test_schedules_are_not_broadcast(spark, tmp_path):
+    """A small file may hold many schedules: its size says nothing of what a broadcast would take in the driver."""
+    key = F.col("id")
+    requests = spark.range(0, 60_000, 1, 1).select(
+        F.concat(F.lit("s"), key).alias("scraper"), F.concat_ws(" ", key % 60, key % 24, F.lit("* * 1")).alias("cron"),
+        F.when(key % 2 == 0, "weekly").otherwise("daily").alias("frequency"),
+    )
+    made = cut(make_schedules(requests)[0])
+    moments = spark.sql("SELECT explode(sequence(timestamp_ntz'2024-01-01', timestamp_ntz'2024-01-08', interval 1 minute)) AS tick")
+    for ticks in (moments, moments.limit(3)):
+        text = plan(due(made, ticks))
+        assert "SortMergeJoin" in text and "Broadcast" not in text
+    # 2024-01-01 is a Monday: a daily schedule is due on seven days, a weekly one on the first alone, but for midnight.
+    counts = due(made, moments).groupBy("frequency", F.col("minute_of_day") == 0).count().collect()
+    assert {tuple(r) for r in counts} == {("weekly", False, 29_500), ("daily", False, 210_000), ("weekly", True, 1_000)}
+
+
 def test_lookups_start_from_a_shuffle(t, no_broadcast):
     """No aggregate between the last shuffle and the join: else a hot partition could not be split."""
     text = plan(incremental.known_items(t.hashed_items(), t.prior(), "seq"))
