@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 import pytest
 
 from tenderlake.operators import chains
+from tenderlake.plans.catalog import QUERIES
 from tenderlake.plans.views import Tables
 from tests.compare import compare, duck
 
@@ -26,6 +27,24 @@ def test_every_fetch_counts(spark, folder, name):
     assert compare(spark, duck(folder), folder, name) is None
 
 
+def test_items_of_every_menu_count(spark, tmp_path):
+    """A page may have several menus, tags may carry attributes or lack their ends, and items may hold items."""
+    item = '<li><a href="/x">x</a></li>'
+    pages = [
+        f"<nav><ul>{item}{item}</ul></nav><article><ul>{item}</ul></article><nav><ul>{item}</ul></nav>",
+        f'<NAV class="side"><ul><li id="a">{item}{item}</ul></NAV >{item}<navy>{item}</navy>',
+        f"<nav>\n<ul><LI>one<li\nclass='b'>two<ul>{item}<li>four</li></ul></li></ul>\n</nav><nav></nav>",
+        f"<p>{item}</p>",
+        None,
+        f"<nav><ul>{item}<link><list>",
+    ]
+    rows = [(i, f"http://h.example/{i}", html) for i, html in enumerate(pages)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").toPandas().to_parquet(tmp_path / "pages.parquet")
+    got = QUERIES["page_chain"](spark, str(tmp_path)).select("depth", "n_items").collect()
+    assert {tuple(r) for r in got} == {(1, 3), (2, 3), (3, 4), (6, 1)}
+    assert compare(spark, duck(str(tmp_path)), str(tmp_path), "page_chain") is None
+
+
 def test_chains_branch_at_addresses_fetched_again(spark):
     """Two fetches of ``b``: one leads on, one into a cycle; and a page that two others name."""
     rows = [(1, "a", "b", True), (2, "b", "c", False), (3, "b", "a", False), (4, "c", "d", False), (5, "e", "d", True),
